@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licences, mixing, token_files, winnowing
+from . import bpe, jaccard, licences, mixing, token_files, winnowing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,12 +34,17 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.summary(licences.scan(spark, _read(spark, sf_dir, "documents")))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(spark, _read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing": op2_winnowing,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op8_token_files": op8_token_files,
     "op9_licences": op9_licences,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
