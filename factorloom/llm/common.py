@@ -75,7 +75,7 @@ def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each has about ``most`` bytes of text, or one row: bounds the working memory."""
     for batch in batches:
         _, offsets = text_view(batch.column(text))

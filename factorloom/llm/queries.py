@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, licences, mixing, token_files, winnowing
+from . import bpe, embeddings, jaccard, licences, mixing, token_files, winnowing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark, _read(spark, sf_dir, "embeddings"))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare(spark, _read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_winnowing": op2_winnowing,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
