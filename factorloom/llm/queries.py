@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embeddings, jaccard, licences, mixing, quality, token_files, winnowing
+from . import bpe, embeddings, jaccard, licences, lines, mixing, quality, token_files, winnowing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +35,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(spark, _read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_lines": op7_lines,
     "op8_token_files": op8_token_files,
     "op9_licences": op9_licences,
     "op10_jaccard": op10_jaccard,
