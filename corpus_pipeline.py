@@ -1,8 +1,62 @@
-"""A training-data pipeline over ``documents``: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A training-data pipeline over ``documents``.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next one's docs. All but the last return the columns of ``documents``.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factorloom.llm import bpe, jaccard, lines, mixing, quality
+from factorloom.llm.common import materialize
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labelled ones that are not held out, accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(spark, quality.training_rows(docs, labels))
+    return quality.score(spark, docs, model, keep=docs.columns).filter("predicted = 1").select(*docs.columns)
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur across documents are left in the first document only."""
+    out = lines.dedup(spark, docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    found = materialize(spark, jaccard.classes(spark, docs), "classes")
+    return jaccard.representatives(docs, found)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights, in the order of the mix; a document stands as often as it is taken."""
+    return mixing.mix(spark, docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix, with digests of the ids and of the decoded text."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, with_text=False)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", fresh_lines),
+    ("n-gram Jaccard join", one_of_each),
+    ("mixing sources", mixed),
+    ("BPE encoding", encoded),
+]
+
+ORACLE_SQL = None  # neither the classifier nor the encoder can be said in SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(spark, stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
