@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stats import dense_ids
@@ -35,6 +35,12 @@ def local_folder(path: str, kind: str) -> str:
     return folder if os.path.isdir(folder) else path
 
 
+def _cyrillic(text: Column) -> Column:
+    """windows-1251 text that was read byte by byte, since the CSV reader knows no such encoding."""
+    high = bytes(b for b in range(128, 256) if b != 0x98)  # 0x98 stands for nothing
+    return F.translate(text, high.decode("iso-8859-1"), high.decode("windows-1251"))
+
+
 def read(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(users, items, ratings) with the engine's ids: ``id, login, list_id``; ``id, name``; ``user_id, item_id, rating, dataset_type``.
 
@@ -45,14 +51,14 @@ def read(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFram
 
     def table(name: str) -> DataFrame:
         file, sep, schema = spec[name]
-        return spark.read.csv(f"{path}/{file}", schema=schema, sep=sep, encoding="windows-1251", quote="", mode="DROPMALFORMED")
+        return spark.read.csv(f"{path}/{file}", schema=schema, sep=sep, encoding="iso-8859-1", quote="", mode="DROPMALFORMED")
 
     # a line's place: files of one folder are read in order, partitions in the order of their bytes
     raw = table("ratings").select("user_id", "item_id", F.col("rating").cast("short").alias("rating"), F.monotonically_increasing_id().alias("pos"))
     raw = raw.groupBy("user_id", "item_id").agg(F.min_by("rating", "pos").alias("rating"), F.min("pos").alias("pos"))
     ids = dense_ids(raw.select(F.col("user_id").alias("id"), "pos"))
     users = table("users").select(F.col("user_id").alias("id"), F.col("user_id").cast("string").alias("login")).join(ids, "id", "left")
-    items = table("items").select(F.col("movie_id").alias("id"), F.rtrim("movie_title").alias("name"))
+    items = table("items").select(F.col("movie_id").alias("id"), _cyrillic(F.rtrim("movie_title")).alias("name"))
     ratings = raw.join(ids.withColumnRenamed("id", "user_id"), "user_id").select(F.col("list_id").alias("user_id"), "item_id", "rating", F.lit(UNASSIGNED).cast("short").alias("dataset_type"))
     return users, items, ratings
 
