@@ -304,14 +304,14 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 def representatives(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is their class's smallest, one row an id; rows of a null id all stay.
 
-    ``found`` is what ``classes`` returned for ``docs``.
+    ``found`` is what ``classes`` returned for ``docs``. Names from __fl_ on are reserved.
     """
-    keep = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_rows"))
-    keep = keep.select(F.col(id_col).alias("_id"), "_rows")
-    out = docs.join(keep.hint("shuffle_hash"), docs[id_col].cast("long") == keep["_id"])
-    once = out.filter("_rows = 1").select(*docs.columns)
-    if keep.filter("_rows > 1").limit(1).count():
-        once = once.unionByName(out.filter("_rows > 1").dropDuplicates([id_col]).select(*docs.columns))
+    keep = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__fl_rows"))
+    keep = keep.withColumnRenamed(id_col, "__fl_id")
+    out = docs.join(keep.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__fl_id"))
+    once = out.filter("__fl_rows = 1").select(*docs.columns)
+    if keep.filter("__fl_rows > 1").limit(1).count():
+        once = once.unionByName(out.filter("__fl_rows > 1").dropDuplicates([id_col]).select(*docs.columns))
     if docs.filter(F.col(id_col).isNull()).limit(1).count():
         once = once.unionByName(docs.filter(F.col(id_col).isNull()))
     return once

@@ -54,15 +54,15 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     Cases: null and empty texts stay as they are, with 0 and 1 lines; blank and short lines always stay; rows of one
     id are one document to the count; rows of a null id don't count and keep no first copy; an empty table gives no
-    rows; other columns stay, whatever their names; a document all of whose lines recur ends as "".
+    rows; other columns stay, but n_lines and n_dropped are replaced (names from __fl_ on are reserved); a document all of whose lines recur ends as "".
     """
-    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    drops = recurring(spark, rows, **how).groupBy("id", "text_hash").agg(F.collect_set("at").alias("_drop"))
-    drops = drops.withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_h")
-    out = keyed.join(drops.hint("shuffle_hash"), keyed[id_col].eqNullSafe(drops["_id"]) & (keyed["_hash"] == drops["_h"]), "left")
+    drops = recurring(spark, rows, **how).groupBy("id", "text_hash").agg(F.collect_set("at").alias("at"))
+    drops = drops.select(F.col("id").alias("__fl_id"), F.col("text_hash").alias("__fl_hash"), F.col("at").alias("__fl_drop"))
+    out = docs.join(drops.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__fl_id")) & (F.xxhash64(text_col) == F.col("__fl_hash")), "left")
     lines = F.split(text_col, "\n")
-    dropped = F.coalesce(F.size("_drop"), F.lit(0)).cast("long")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", dropped)
-    return out.withColumn(text_col, F.when(dropped > 0, kept).otherwise(F.col(text_col))).select(*docs.columns, "n_lines", "n_dropped")
+    dropped = F.coalesce(F.size("__fl_drop"), F.lit(0)).cast("long")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__fl_drop", i)), "\n")
+    text = F.when(dropped > 0, kept).otherwise(F.col(text_col)).alias(text_col)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*[text if c == text_col else F.col(c) for c in own], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), dropped.alias("n_dropped"))

@@ -97,9 +97,9 @@ def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents of the mix with their own columns, in as many copies as taken, globally sorted by finish time.
 
-    The plan is joined back by id: ids must be unique here. Rows with a null id are kept or dropped by a null-safe join.
+    The plan is joined back by id (null-safe), so ids must be unique here. Names from __fl_ on are reserved.
     """
-    taken = plan(spark, docs, id_col, **how).filter("copies > 0").select(F.col("doc_id").alias("_id"), "finishes", "copies")
-    out = docs.join(taken.hint("shuffle_hash"), docs[id_col].eqNullSafe(taken["_id"])).drop("_id")
-    out = out.withColumn("_finish", F.explode(F.slice("finishes", F.lit(1), F.col("copies"))))
-    return out.repartitionByRange("_finish").sortWithinPartitions("_finish", id_col).select(*docs.columns)
+    taken = plan(spark, docs, id_col, **how).filter("copies > 0").select(F.col("doc_id").alias("__fl_id"), F.slice("finishes", F.lit(1), F.col("copies")).alias("__fl_at"))
+    out = docs.join(taken.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__fl_id")))
+    out = out.withColumn("__fl_at", F.explode("__fl_at"))
+    return out.repartitionByRange("__fl_at").sortWithinPartitions("__fl_at", id_col).select(*docs.columns)
