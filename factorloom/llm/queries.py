@@ -69,4 +69,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CLASSES = "reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x), least AS (SELECT x, min(y) y FROM reach GROUP BY 1)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_embeddings": rf"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) e FROM embeddings),
+usable AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id x, b.vec_id y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+{_CLASSES}, n AS (SELECT x, count(*) n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(y, vec_id)) component_id, vec_id = least(vec_id, coalesce(y, vec_id)) kept FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN least ON least.x = vec_id""",
+    "op7_lines": rf"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) ln, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents),
+t AS (SELECT doc_id, pos, ln, list_transform(list_filter(string_split_regex(ln, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) t FROM l),
+k AS (SELECT doc_id, pos, unnest(CASE WHEN len(t) < {lines.MIN_TOKENS} THEN [] WHEN len(t) < {lines.HALF_TOKENS} THEN ['0 ' || array_to_string(t, ' ')] ELSE ['0 ' || array_to_string(t, ' '), '1 ' || len(t) || ' ' || array_to_string(t[:len(t) // 2], ' '), '2 ' || len(t) || ' ' || array_to_string(t[len(t) // 2 + 1:], ' ')] END) k FROM t),
+c AS (SELECT k, min(doc_id) f FROM k GROUP BY 1 HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}),
+d AS (SELECT DISTINCT doc_id, pos FROM k JOIN c USING (k) WHERE doc_id <> f),
+kept AS (SELECT doc_id, count(*) n_lines, count(d.pos) n_dropped, string_agg(ln, chr(10) ORDER BY l.pos) FILTER (WHERE d.pos IS NULL) kept FROM l LEFT JOIN d USING (doc_id, pos) GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped, length(CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END) kept_chars, sha256(CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END) kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)""",
+    "op10_jaccard": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) g FROM w),
+z AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+meet AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM meet JOIN z p ON p.doc_id = x JOIN z q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+{_CLASSES}
+SELECT doc_id, coalesce(n, 0) n_shingles, least(doc_id, coalesce(y, doc_id)) component_id FROM documents LEFT JOIN z USING (doc_id) LEFT JOIN least ON least.x = doc_id""",
+}
