@@ -18,7 +18,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier, trained on the labelled ones that are not held out, accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(spark, quality.training_rows(docs, labels))
-    return quality.score(spark, docs, model, keep=docs.columns).filter("predicted = 1").select(*docs.columns)
+    scored = quality.score(spark, docs, model, keep=docs.columns, names=("__fl_score", "__fl_good"))
+    return scored.filter("__fl_good = 1").select(*docs.columns)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
