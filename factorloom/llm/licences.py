@@ -118,7 +118,7 @@ def _unary(f):
 
 
 def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digest of ``scan``'s places: counts and bounds of the base notices, labels and the best score."""
+    """Digest of ``scan``'s places: counts and bounds of the base notices, labels and the best score to 6 decimals."""
     base = F.filter("places", lambda p: p["base"])
     labels = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda p: p["label"]))), ",")
     starts = F.transform(base, lambda p: p["start"])
@@ -130,5 +130,5 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.array_max(starts).cast("long").alias("last_word"),
         labels(base).alias("base_labels"),
         labels(F.col("places")).alias("labels"),
-        F.least(F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)), F.lit(1.0)).alias("score"),
+        F.round(F.least(F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)), F.lit(1.0)), 6).alias("score"),
     )

@@ -65,7 +65,7 @@ def _running(df: DataFrame, group: list[str], order: list[str], slice_col: str,
 def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, seed: int = 7, slices: int = SLICES) -> DataFrame:
     """How often the mix takes each row: ``doc_id, source, size, source_size, target, taken, copies`` and the finish time.
 
-    ``taken`` = size x copies; no row is taken more than ``repeats`` times. The order is a hash of id, size and seed, so
+    ``taken`` = size x copies; no row is taken more than ``repeats`` times. The order is by md5 of seed, id, size and source, so
     reruns agree; rows equal in all of these are interchangeable.
 
     Cases: null text has size 0; rows of size 0 are taken no times; a null source is a source of its own, last in
@@ -73,8 +73,8 @@ def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     are all 0 has targets 0 and takes nothing. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size", "source"))
-    rows = rows.withColumn("slice", F.pmod("order", F.lit(slices)).cast("int")).withColumn("order", F.xxhash64("order"))
+    rows = rows.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string"), "source")))
+    rows = rows.withColumn("slice", F.floor(F.conv(F.substring("order", 1, 4), 16, 10).cast("int") * slices / 65536).cast("int"))
     rows = materialize(spark, rows, "sizes")  # texts are read once; all below works on these few numbers a row
     quota = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats).withColumnRenamed("source", "_source")
     ran = _running(rows, ["source"], ["order", "doc_id"], "slice", "size", "ran")

@@ -72,7 +72,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CLASSES = "reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x), least AS (SELECT x, min(y) y FROM reach GROUP BY 1)"
 
+_NOTICES = ", ".join(f"('{n.label}', {str(n.base).lower()}, {n.key.split()}, {n.text.split()}, {next(i for i in range(99) if n.text.split()[i:][: len(n.key.split())] == n.key.split())})" for n in licences.NOTICES)
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) size FROM documents),
+o AS (SELECT *, md5(concat_ws(':', '7', doc_id, size, source)) ord FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM o GROUP BY 1),
+q AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) rnk, CAST(source_size AS DOUBLE) * 3 cap FROM s),
+w AS (SELECT *, CAST([5, 2, 1][(rnk - 1) % 3 + 1] AS DOUBLE) weight FROM q),
+f AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0) lft, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) share FROM w WINDOW b AS (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, first_value(CASE WHEN lft * weight < cap * share THEN lft / share END IGNORE NULLS) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) lvl FROM f),
+t AS (SELECT source, source_size, least(lvl * weight, cap) target FROM g),
+r AS (SELECT o.*, source_size, target, sum(size) OVER (PARTITION BY o.source ORDER BY ord, doc_id ROWS UNBOUNDED PRECEDING) ran FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT r.*, CAST(k * source_size + ran AS DOUBLE) / nullif(target, 0) finish FROM r, (VALUES (0), (1), (2)) n(k) WHERE size > 0),
+c AS (SELECT doc_id, sum(size) OVER (ORDER BY finish, ord, doc_id ROWS UNBOUNDED PRECEDING) queued FROM e),
+m AS (SELECT doc_id, count(*) copies FROM c WHERE queued <= (SELECT sum(size) FROM o) GROUP BY 1)
+SELECT r.doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) taken, source, CAST(coalesce(copies, 0) AS INTEGER) copies FROM r LEFT JOIN m ON m.doc_id = r.doc_id""",
+    "op9_licences": rf"""WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+notices(label, base, key, txt, off) AS (VALUES {_NOTICES}),
+voc AS (SELECT DISTINCT unnest(txt) v FROM notices),
+idf AS (SELECT v, ln(((SELECT count(*) FROM w) + 1) / (count(doc_id) + 1)) + 1e-6 idf FROM voc LEFT JOIN w ON list_contains(w.w, v) GROUP BY 1),
+places AS (SELECT doc_id, label, base, key, txt, off, w, unnest(list_filter(range(1, len(w) - len(key) + 2), lambda i: w[i:i + len(key) - 1] = key)) s FROM w, notices),
+words AS (SELECT doc_id, label, s, off, key, w, unnest(txt) v, generate_subscripts(txt, 1) j FROM places),
+scored AS (SELECT doc_id, label, s, sum(CASE WHEN j - 1 >= off AND j - 1 < off + len(key) OR (s - off + j - 1 >= 1 AND w[s - off + j - 1] = words.v) THEN idf ELSE 0 END) / sum(idf) score FROM words JOIN idf ON idf.v = words.v GROUP BY ALL),
+p AS (SELECT places.doc_id, places.label, base, places.s - 1 s, score FROM places JOIN scored ON scored.doc_id = places.doc_id AND scored.label = places.label AND scored.s = places.s),
+a AS (SELECT doc_id, count(*) FILTER (WHERE base) n_base, min(s) FILTER (WHERE base) first_word, max(s) FILTER (WHERE base) last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) base_labels, string_agg(DISTINCT label, ',' ORDER BY label) labels, round(least(max(score), 1.0), 6) score FROM p GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, CAST(0 AS DOUBLE)) score FROM w LEFT JOIN a USING (doc_id)""",
     "op1_embeddings": rf"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) e FROM embeddings),
 usable AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id x, b.vec_id y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
