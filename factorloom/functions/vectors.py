@@ -26,3 +26,8 @@ def human_size(n: Column) -> Column:
     units = ["B", "kB", "MB", "GB", "TB", "PB"]
     step = F.least(F.floor(F.log(F.greatest(n.cast("double"), F.lit(1.0))) / F.log(F.lit(1024.0))), F.lit(len(units) - 1)).cast("int")
     return F.format_string("%.1f %s", n / F.pow(F.lit(1024.0), step), F.element_at(F.array(*map(F.lit, units)), step + 1))
+
+
+def random_int(low: int, high: int, seed: int | None = None) -> Column:
+    """A uniform whole number in [low, high]."""
+    return (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("int")

@@ -209,6 +209,10 @@ class Engine:
         self.store.save("users_extra", self._save(out, "extra"))
         return fresh
 
+    def version(self) -> str:
+        """That the session answers: the version of Spark."""
+        return self.spark.sql("select version()").first()[0]
+
     def gather(self) -> str:
         """Workers join and leave through Spark's master: there is nothing to do."""
         return "ok"

@@ -36,6 +36,7 @@ def engine(spark, folder, tmp_path_factory):
 
 
 def test_import(engine):
+    assert engine.version().startswith("4.")
     users = engine.store.load("users")
     assert users.filter("id = 40").first().list_id == 1 and users.filter("id = 1").first().list_id is None
     assert engine.store.load("items").filter("id = 3").first().name == "Cafё 3 (2000)"

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.functions.ranking import global_row_number
-from factorloom.functions.vectors import human_size, same_elements
+from factorloom.functions.vectors import human_size, random_int, same_elements
 from factorloom.operators import als, changes, evaluate, recommend, scans, sgd, split, stats
 from factorloom.schema import Options
+from factorloom.sources.factors import read_binary
 
 R = "user_id int, item_id int, rating short, dataset_type short"
 
@@ -147,3 +148,17 @@ def test_options():
         Options(db_type="other").scale
     assert Options(db_type="other", max_rating=10).scale == (10, 7.0)
     assert Options().merged({"rank": 5}, {"rank": 7}).rank == 7
+
+
+def test_random_int(spark):
+    got = {r.x for r in spark.range(500).select(random_int(3, 5, 1).alias("x")).collect()}
+    assert got == {3, 4, 5}
+
+
+@pytest.mark.parametrize("double", [False, True])
+def test_binary_factors(spark, tmp_path, monkeypatch, double):
+    monkeypatch.setattr("factorloom.sources.factors.CHUNK", 100)
+    table = np.arange(105, dtype="<f8" if double else "<f4").reshape(35, 3)
+    table.tofile(tmp_path / "users.bin")
+    got = {r.id: r.features for r in read_binary(spark, str(tmp_path / "users.bin"), 3, double).collect()}
+    assert got == {i + 1: x.tolist() for i, x in enumerate(table)}
