@@ -115,20 +115,20 @@ def test_prediction_that_is_no_number_raises(spark):
         evaluate.predict_biased(pairs, bad, bad, 0.0).collect()
 
 
-def test_recommendations_match_brute_force(spark):
+@pytest.mark.parametrize("small", [None, 0])
+def test_recommendations_match_brute_force(spark, monkeypatch, small):
     rng = np.random.default_rng(2)
     u, i = rng.integers(-4, 5, (7, 3)) / 4, rng.integers(-4, 5, (50, 3)) / 4
     users = spark.createDataFrame([(a + 1, x.tolist()) for a, x in enumerate(u)], "id int, features array<double>")
     items = spark.createDataFrame([(2 * b + 1, x.tolist()) for b, x in enumerate(i)], "id int, features array<double>")
     rated = spark.createDataFrame([(1, 1), (1, 3), (2, 99), (2, 1000)], "user_id int, item_id int")
-    old, recommend.ITEM_BLOCK = recommend.ITEM_BLOCK, 8
-    got = recommend.top_n(spark, users, recommend_items := items, recommend.exclusions(rated), 0.25, 5, 0.25).collect()
-    recommend.ITEM_BLOCK = old
+    monkeypatch.setattr(recommend, "ITEM_BLOCK", 8)
+    monkeypatch.setattr(recommend, "USER_CHUNK", 3)
+    got = recommend.top_n(spark, users, items, recommend.exclusions(rated), 0.25, 5, 0.25, small).collect()
     gone = {(1, 1), (1, 3), (2, 99)}
     for a in range(7):
         best = sorted(((-(u[a] @ i[b] + 0.25), 2 * b + 1) for b in range(50) if (a + 1, 2 * b + 1) not in gone and u[a] @ i[b] + 0.25 >= 0.25))[:5]
         assert [(r.item_id, r.predict) for r in sorted((r for r in got if r.user_id == a + 1), key=lambda r: r.rank)] == [(b, -p) for p, b in best]
-    assert recommend_items.count() == 50
 
 
 def test_lookup_trims_login(spark):
