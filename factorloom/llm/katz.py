@@ -14,7 +14,7 @@ Nothing the size of the vocabulary or of the pair table is in one place. Texts f
 kept as files in the shared folder. Each block sends its distinct words, then its distinct pairs, to hash buckets,
 where their counts are summed, stored as Parquet tables partitioned by kind, and sent back. Sums a context needs
 go to the context's bucket as whole numbers and alpha comes back to the blocks that ask for it. Pairs are dealt by
-context and a sixteenth of the words, so that a frequent context isn't in one task, and a pair is one row a block.
+context and a quarter of the words, so that a frequent context isn't in one task, and a pair is one row a block.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from .common import buckets, hash_spans, lower_ascii, mix, pieces, scratch, text
 
 TOP = 5  # counts up to this are discounted
 BLOCK_TOKENS = 2_000_000
+SALTS = 4  # parts of a context, by its words
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 U64 = np.uint64
 SCHEMA = "kind int, bucket long, block long, a binary, b binary, c binary"
@@ -117,21 +118,22 @@ class Block:
     def pairs(self):
         """Distinct (context, word) pairs in the order they are dealt in, and each token's number among them.
 
-        Returns (group hash, context hash, word hash in 40 bits, word number, pair of each token). Contexts are
-        vocabulary numbers, the start is one past the last.
+        Returns (group hash, context hash in 48 bits, context number, word hash in 40 bits, word number, pair of each
+        token). Contexts are vocabulary numbers, the start is one past the last.
         """
         v = len(self.vocabulary)
         context = np.empty(len(self.tokens), np.int64)
         context[1:] = self.tokens[:-1]
         context[self.first[:-1]] = v
         codes, back = np.unique(context * (v + 1) + self.tokens, return_inverse=True)
-        h, w = np.append(self.vocabulary, START)[codes // (v + 1)], codes % (v + 1)
+        c, w = codes // (v + 1), codes % (v + 1)
+        h = np.append(self.vocabulary >> U64(16), START)[c]
         word = self.vocabulary[w]
-        group = mix(h ^ mix(word & U64(15)))
+        group = mix(h ^ mix(word & U64(SALTS - 1)))
         order = np.lexsort((word >> U64(24), group))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return group[order], h[order], word[order] >> U64(24), w[order], place[back]
+        return group[order], h[order], c[order], word[order] >> U64(24), w[order], place[back]
 
 
 def make_blocks(folder: str, n: int, folds: int, held_out: int):
@@ -204,7 +206,7 @@ def send_pairs(n: int):
         rows = table.to_pylist()
         b = Block.load(next(r["a"] for r in rows if r["kind"] == FILE).decode())
         counts = _in_order(rows, COUNTS, np.uint32)
-        group, h, word, number, pair = b.pairs()
+        group, h, _, word, number, pair = b.pairs()
         own = np.bincount(pair[b.per_token(b.learn) > 0], minlength=len(group)).astype(np.uint32)
         bounds = np.searchsorted(_range_of(group, n), np.arange(n + 1))
         out = []
@@ -261,17 +263,19 @@ def count_pairs(n: int):
         h1, w1, u1 = h[order][at], w[order][at], unigram[order][at].astype(np.int64)
         bucket, out, end = rows[0]["bucket"], [], 0
         discounted = np.unique(h1[(total > 0) & (total <= TOP)])
+        asks, askers = [], []
         for r, size in zip(rows, sizes):
             mine, context = total[pair[end : end + size]], h[end : end + size]
             out.append((COUNTS, bucket, r["block"], pack(mine.astype(np.uint32)), b"", b""))
             # an unseen pair needs its context's alpha; where no pair here is discounted, perhaps none is at all
-            asks = np.unique(context[(mine == 0) | ~np.isin(context, discounted)])
-            home = _range_of(mix(asks), n)
-            by = np.argsort(home, kind="stable")
-            asks, home = asks[by], home[by]
-            cuts = _runs(home)
-            out += [(ASK, int(home[x]), r["block"], pack(asks[x:y]), b"", b"") for x, y in zip(cuts, [*cuts[1:], len(asks)])]
+            asks.append(np.unique(context[(mine == 0) | ~np.isin(context, discounted)]))
+            askers.append(np.full(len(asks[-1]), r["block"], np.int64))
             end += size
+        asks, askers = np.concatenate(asks), np.concatenate(askers)
+        home = _range_of(mix(asks), n)
+        by = np.argsort(home, kind="stable")
+        cuts = _runs(home[by])
+        out += [(ASK, int(home[by[x]]), -1, pack(asks[by[x:y]]), pack(askers[by[x:y]]), b"") for x, y in zip(cuts, [*cuts[1:], len(by)])]
         seen = total > 0
         h1, w1, u1, total = h1[seen], w1[seen], u1[seen], total[seen]
         starts = _runs(h1)
@@ -351,17 +355,17 @@ def answer(model: Model):
         np.add.at(sums, back, np.concatenate([unpack(r["b"], np.int64).reshape(-1, _SUMS) for r in told]))
         whole, alpha = model.context(sums)
         share = sums[:, 0] / np.maximum(whole, 1)
-        out = []
-        asks: dict[int, list] = {}
-        for r in rows:
-            if r["kind"] == ASK:
-                asks.setdefault(r["block"], []).append(unpack(r["a"], U64))
-        for block, parts in asks.items():
-            a = np.unique(np.concatenate(parts))
-            at = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
-            hit = keys[at] == a
-            if hit.any():
-                out.append((ALPHA, rows[0]["bucket"], block, pack(a[hit]), pack(alpha[at[hit]]), pack(share[at[hit]])))
+        asks = [r for r in rows if r["kind"] == ASK]
+        key = np.concatenate([unpack(r["a"], U64) for r in asks]) if asks else np.zeros(0, U64)
+        block = np.concatenate([unpack(r["b"], np.int64) for r in asks]) if asks else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[at] == key
+        at, block = at[hit], block[hit]
+        by = np.lexsort((at, block))
+        by = by[np.concatenate([[True], (at[by][1:] != at[by][:-1]) | (block[by][1:] != block[by][:-1])])] if len(by) else by
+        at, block = at[by], block[by]
+        cuts = _runs(block)
+        out = [(ALPHA, rows[0]["bucket"], int(block[x]), pack(keys[at[x:y]]), pack(alpha[at[x:y]]), pack(share[at[x:y]])) for x, y in zip(cuts, [*cuts[1:], len(at)])]
         return _table(out)
 
     return run
@@ -374,11 +378,10 @@ def evaluate(model: Model):
         rows = table.to_pylist()
         b = Block.load(next(r["a"] for r in rows if r["kind"] == FILE).decode())
         counts = _in_order(rows, COUNTS, np.uint32).astype(np.int64)
-        _, h, _, number, pair = b.pairs()
+        _, h, at, _, number, pair = b.pairs()
         together = _in_order(rows, PAIRS, np.uint32).astype(np.int64)
         # a context's count: a word is followed by one token wherever it stands, the start begins every text
-        at = np.minimum(np.searchsorted(b.vocabulary, h), len(b.vocabulary) - 1)
-        context = np.where(h == START, model.texts, np.where(b.vocabulary[at] == h, counts[at], 0))
+        context = np.append(counts, model.texts)[at]
         alpha, share = np.ones(len(h)), np.ones(len(h))
         if asked := [[unpack(r[c], kind) for c, kind in (("a", U64), ("b", np.float64), ("c", np.float64))] for r in rows if r["kind"] == ALPHA]:
             keys, alphas, shares = (np.concatenate(x) for x in zip(*asked))
@@ -427,7 +430,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     by_word = rows.mapInArrow(make_blocks(folder, n, folds, held_out), SCHEMA).groupBy("bucket").applyInArrow(count_words(n), SCHEMA)
     by_word = _stored(spark, by_word, "words")
     mine = by_word.filter(F.col("kind").isin(FILE, COUNTS))
-    by_pair = mine.groupBy("block").applyInArrow(send_pairs(n), SCHEMA).groupBy("bucket").applyInArrow(count_pairs(n), SCHEMA)
+    by_pair = mine.repartition(n, "block").groupBy("block").applyInArrow(send_pairs(n), SCHEMA).repartition(n, "bucket").groupBy("bucket").applyInArrow(count_pairs(n), SCHEMA)
     by_pair = _stored(spark, by_pair, "pairs")
     model = Model(_totals(by_word), _totals(by_pair))
     alphas = by_pair.filter(F.col("kind").isin(CONTEXT, ASK)).groupBy("bucket").applyInArrow(answer(model), SCHEMA)
