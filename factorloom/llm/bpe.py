@@ -27,20 +27,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, TextEncoder)
-        assert enc.by_words and enc.tokenizer.decoder is None, "decoding joins tokens by a space"
-        for batch in pieces(batches, "text"):
-            numbers, first = enc.lookup(*text_view(batch.column("text")))
-            lens = enc.lens[numbers]
-            numbers_all, n_tokens = numbers.tolist(), np.diff(np.concatenate([[0], np.cumsum(lens)])[first])
-            id_text, decoded, gone = enc.id_text, enc.decoded, bool((lens == 0).any())
+        for batch in pieces(batches, "text", 1 << 20):
+            ids, first = enc.encode(*text_view(batch.column("text")))
+            n_tokens, id_text, token_text = np.diff(first), enc.id_text, enc.token_text
             out: dict[str, list] = {"ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                own = [x for x in numbers_all[a:b] if enc.lens[x]] if gone else numbers_all[a:b]
-                ids, text = " ".join([id_text[x] for x in own]), " ".join([decoded[x] for x in own])
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                own = ids[a:b].tolist()
+                text = " ".join([token_text[i] for i in own])
+                out["ids_sha256"].append(hashlib.sha256(" ".join([id_text[i] for i in own]).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
                 if with_ids:
-                    out["ids"].append(np.array(ids.split(), np.int32))
+                    out["ids"].append(ids[a:b])
                 if with_text:
                     out["decoded"].append(text)
             columns = [batch.column("id"), pa.array(n_tokens, pa.int64()), pa.array(out["ids_sha256"]), pa.array(out["decoded_sha256"])]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,12 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; removed when the driver's Python ends."""
+    """A fresh path in the shared folder; removed by ``release``, or else when the driver's Python ends."""
     path = f"{shared_dir(spark)}/factorloom-{uuid.uuid4().hex}/{name}"
-    atexit.register(_remove, spark, path.rpartition("/")[0])
+    if not _scratch:
+        atexit.register(release, spark)
+    _scratch.append(path.rpartition("/")[0])
     return path
 
 
+_scratch: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch paths made so far; call it when the results that were built on them are written."""
+    while _scratch:
+        _remove(spark, _scratch.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -85,6 +97,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused, and keep what their largest task took otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1

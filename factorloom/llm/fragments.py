@@ -13,8 +13,6 @@ independently and their ids concatenated, with the same ids as for the whole tex
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -26,7 +24,7 @@ _CLASS[128:] = WIDE
 _CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
 _CLASS[48:58] = DIGIT
 _CLASS[65:91] = _CLASS[97:123] = LETTER
-_MOST_CACHED = 700_000
+_MOST_CACHED = 1_000_000  # fragments, about 45 bytes each
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -36,12 +34,10 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def pair_table(path: str) -> tuple[np.ndarray, bool]:
-    """Which byte pairs occur inside a token of the vocabulary; whether the model marks word ends."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    suffix, back, table = spec["model"].get("end_of_word_suffix") or "", _byte_of_char(), np.zeros((256, 256), bool)
-    for token in [*spec["model"]["vocab"], *(a["content"] for a in spec["added_tokens"])]:
+def pair_table(tokenizer: Tokenizer) -> tuple[np.ndarray, bool]:
+    """Which byte pairs occur inside a token of the vocabulary, special ones too; whether the model marks word ends."""
+    suffix, back, table = tokenizer.model.end_of_word_suffix or "", _byte_of_char(), np.zeros((256, 256), bool)
+    for token in tokenizer.get_vocab(with_added_tokens=True):
         for form in {token, token.removesuffix(suffix)}:
             raw = [back[c] for c in form if c in back]
             table[raw[:-1], raw[1:]] = True
@@ -55,14 +51,14 @@ class FragmentEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table, self.by_words = pair_table(path)
+        self.table, self.by_words = pair_table(self.tokenizer)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.ids: list[list[int]] = []
-        self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # the cache: sorted fragment hashes, and for each its place in the arrays of first id, number of ids, ids
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def cut(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, first fragment of each text)."""
@@ -95,27 +91,31 @@ class FragmentEncoder:
         """Number of each fragment in the cache, and the first fragment of each text."""
         starts, ends, first = self.cut(raw, offsets)
         distinct, where, back = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        fresh = [i for i, k in enumerate(keys) if k not in self.index]
-        if len(self.index) + len(fresh) > _MOST_CACHED:
+        fresh = self._unknown(distinct)
+        if len(fresh) and len(self.keys) + len(fresh) > _MOST_CACHED:
             self._clear()
-            fresh = list(range(len(keys)))
-        if fresh:
+            fresh = self._unknown(distinct)
+        if len(fresh):
             data, at = raw.tobytes(), where[fresh]
             texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            self.index.update(zip((keys[i] for i in fresh), range(len(self.lens), len(self.lens) + len(ids))))
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
+            ids: list[list[int]] = []
+            for i in range(0, len(texts), 4096):  # the library's results are large
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+            lens = np.fromiter(map(len, ids), np.int32, len(ids))
+            spot = np.searchsorted(self.keys, distinct[fresh])
+            self.places = np.insert(self.places, spot, np.arange(len(self.lens), len(self.lens) + len(ids), dtype=np.int32))
+            self.keys = np.insert(self.keys, spot, distinct[fresh])
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens, dtype=np.int64) - lens])
             self.lens = np.concatenate([self.lens, lens])
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum()))])
-            self.added(ids)
-        index = self.index
-        numbers = np.fromiter((index[k] for k in keys), np.int64, len(keys))
-        return numbers[back], first
+        return self.places[np.searchsorted(self.keys, distinct)][back], first
 
-    def added(self, ids: list[list[int]]) -> None:
-        """Called with the ids of fragments new in the cache."""
+    def _unknown(self, distinct: np.ndarray) -> np.ndarray:
+        """Positions of hashes that the cache lacks."""
+        if not len(self.keys):
+            return np.arange(len(distinct))
+        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[at] != distinct)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, first id of each text)."""
@@ -127,16 +127,13 @@ class FragmentEncoder:
 
 
 class TextEncoder(FragmentEncoder):
-    """Also keeps each fragment's ids and decoded tokens as strings, for decoding without a decoder (space-joined)."""
-
-    def _clear(self) -> None:
-        super()._clear()
-        self.id_text: list[str] = []
-        self.decoded: list[str] = []
+    """Also knows how a tokenizer without a decoder writes ids and tokens: joined by a space."""
 
-    def added(self, ids: list[list[int]]) -> None:
-        self.id_text += [" ".join(map(str, x)) for x in ids]
-        self.decoded += self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    def __init__(self, path: str):
+        super().__init__(path)
+        assert self.by_words and self.tokenizer.decoder is None, "decoding joins tokens by a space"
+        self.id_text = [str(i) for i in range(self.vocabulary)]
+        self.token_text = [self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary)]
 
 
 _encoders: dict[tuple[type, str], FragmentEncoder] = {}

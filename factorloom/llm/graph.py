@@ -51,7 +51,7 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     """
     a, b = edges.columns
     e = edges.select(F.col(a).cast("long").alias("hi"), F.col(b).cast("long").alias("lo")).filter("hi is not null and lo is not null and hi <> lo")
-    e = materialize(spark, e.mapInArrow(_contract, "hi long, lo long").distinct(), "edges")
+    e = materialize(spark, e.distinct().mapInArrow(_contract, "hi long, lo long").distinct(), "edges")
     for _ in range(rounds):
         ends = e.select(F.col("hi").alias("node"), F.lit(1).alias("upper"), "lo").unionByName(e.select(F.col("lo").alias("node"), F.lit(0).alias("upper"), F.lit(None).cast("long").alias("lo")))
         ends = ends.groupBy("node").agg(F.min("upper").alias("u0"), F.max("upper").alias("u1"), F.min("lo").alias("l0"), F.max("lo").alias("l1"))

@@ -40,7 +40,7 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return [np.unique(all_grams[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], k: int, most: int = 2_000_000) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], k: int, most: int = 1_000_000) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(ids, sets) of some thousand texts at a time."""
     ids, sets, held = [], [], 0
     for piece in pieces(batches, "text"):

@@ -140,7 +140,7 @@ def train(spark: SparkSession, labelled: DataFrame, fit_rows: int = FIT_ROWS) ->
     for r in sorted(drawn.mapInArrow(sparse, "id long, y int, at binary").collect(), key=lambda r: (r.id, r.at)):
         at = np.frombuffer(r.at, np.int32)
         v = ratio[at]
-        rows.append((at, v / max(np.linalg.norm(v), 1e-12)))
+        rows.append((at, (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)))
         ys.append(2 * r.y - 1)
     y = np.array(ys)
     apart = np.arange(len(y)) % 4 == 3
@@ -153,32 +153,32 @@ def train(spark: SparkSession, labelled: DataFrame, fit_rows: int = FIT_ROWS) ->
     return np.stack([a * w[:DIM] * ratio, ratio * ratio]), a * w[DIM] + b
 
 
-def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
-    """``id_col`` (and the columns in ``keep``) with ``score`` (0 to 1) and ``predicted`` for each row, without a shuffle.
+def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``id_col`` (and the columns in ``keep``) with score (0 to 1) and prediction, by ``names``, for each row; no shuffle.
 
     Cases: null counts as empty; an empty text has the score of the constant alone; repeated rows and null ids are
-    rows like others; an empty table gives no rows; very long texts are scored whole; other columns are ignored.
+    rows like others; an empty table gives no rows; very long texts are scored whole; kept columns called like the results give way to them; other columns are ignored.
     """
     shared = spark.sparkContext.broadcast(model)  # two numbers for each of DIM features, whatever the input: 4 MB
-    kept = [c for c in (keep or []) if c not in (id_col, text_col)]
-    rows = docs.select(F.col(id_col), *[F.col(c) for c in kept], F.col(text_col).cast("string").alias("_text"))
-    names = [id_col, *kept]
+    kept = [c for c in (keep or []) if c not in (id_col, text_col, *names)]
+    rows = docs.select(F.col(id_col), *[F.col(c) for c in kept], F.col(text_col).cast("string").alias("__fl_text"))
+    own = [id_col, *kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, constant = shared.value
-        for piece in pieces(batches, "_text"):
+        for piece in pieces(batches, "__fl_text"):
             logit = np.full(piece.num_rows, constant)
-            for i, at in enumerate(features(piece.column("_text"))):
+            for i, at in enumerate(features(piece.column("__fl_text"))):
                 if len(at):
                     logit[i] += weights[0, at].sum() / max(np.sqrt(weights[1, at].sum()), 1e-12)
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            out = {c: piece.column(c) for c in names} | {"score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))}
+            out = {c: piece.column(c) for c in own} | {names[0]: pa.array(p), names[1]: pa.array((p >= threshold).astype(np.int32))}
             if keep is not None:
-                out[text_col] = piece.column("_text")
+                out[text_col] = piece.column("__fl_text")
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int" + f", `{text_col}` string" * (keep is not None))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own)
+    return rows.mapInArrow(run, f"{kinds}, `{names[0]}` double, `{names[1]}` int" + f", `{text_col}` string" * (keep is not None))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_out: int = 2) -> DataFrame:
