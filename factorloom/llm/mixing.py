@@ -62,22 +62,24 @@ def _running(df: DataFrame, group: list[str], order: list[str], slice_col: str,
     return out.withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_slice", *(f"_{k}" for k in group))
 
 
-def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, seed: int = 7, slices: int = SLICES) -> DataFrame:
+def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, seed: int = 7, slices: int = SLICES, carry: tuple[Column, ...] = ()) -> DataFrame:
     """How often the mix takes each row: ``doc_id, source, size, source_size, target, taken, copies`` and the finish time.
 
     ``taken`` = size x copies; no row is taken more than ``repeats`` times. The order is by md5 of seed, id, size and source, so
-    reruns agree; rows equal in all of these are interchangeable.
+    reruns agree; rows equal in all of these are interchangeable, or stand in the order of ``carry``, further columns
+    that the result keeps.
 
     Cases: null text has size 0; rows of size 0 are taken no times; a null source is a source of its own, last in
     order; null ids are rows like others; repeated rows count each; an empty table gives no rows; a table whose sizes
     are all 0 has targets 0 and takes nothing. Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *carry)
+    carried = rows.columns[3:]
     rows = rows.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string"), "source")))
     rows = rows.withColumn("slice", F.floor(F.conv(F.substring("order", 1, 4), 16, 10).cast("int") * slices / 65536).cast("int"))
     rows = materialize(spark, rows, "sizes")  # texts are read once; all below works on these few numbers a row
     quota = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats).withColumnRenamed("source", "_source")
-    ran = _running(rows, ["source"], ["order", "doc_id"], "slice", "size", "ran")
+    ran = _running(rows, ["source"], ["order", "doc_id", *carried], "slice", "size", "ran")
     ran = ran.join(quota, ran["source"].eqNullSafe(quota["_source"])).drop("_source")
     finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("ran")) / F.when(F.col("target") > 0, F.col("target"))
     ran = materialize(spark, ran.withColumn("finishes", F.array(*[finish(e) for e in range(repeats)])), "queues")
@@ -91,15 +93,29 @@ def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
         fits = F.filter("finishes", lambda x: (x < last["finish"]) | ((x == last["finish"]) & (F.col("order") <= last["order"])))
     copies = F.when(F.col("size") > 0, F.size(fits)).otherwise(0) if last is not None else F.lit(0)
     out = ran.withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "finishes")
+    return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "finishes", *carried)
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """128 bits ``__fl_a, __fl_b`` of all columns of a row: equal for equal rows only, whatever is null in them."""
+    cells = []
+    for f in docs.schema.fields:
+        cell = F.col(f"`{f.name}`")
+        nested = f.dataType.typeName() in ("array", "map", "struct")  # hashes skip the nulls within
+        cells += [F.to_json(F.struct(cell), {"ignoreNullFields": "false"}) if nested else cell, cell.isNull()]
+    return [F.xxhash64(F.lit(seed), *cells).alias(name) for seed, name in ((1, "__fl_a"), (2, "__fl_b"))]
 
 
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents of the mix with their own columns, in as many copies as taken, globally sorted by finish time.
 
-    The plan is joined back by id (null-safe), so ids must be unique here. Names from __fl_ on are reserved.
+    Each row of the plan meets one row of ``docs``: they are joined by a key of all columns, and of equal rows (a
+    repeated id, or null ids over one text) one stands for all on the side of the texts. Names from __fl_ on are reserved.
     """
-    taken = plan(spark, docs, id_col, **how).filter("copies > 0").select(F.col("doc_id").alias("__fl_id"), F.slice("finishes", F.lit(1), F.col("copies")).alias("__fl_at"))
-    out = docs.join(taken.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__fl_id")))
+    key = row_key(docs)
+    taken = plan(spark, docs, id_col, carry=tuple(key), **how).filter("copies > 0")
+    taken = taken.select("__fl_a", "__fl_b", F.slice("finishes", F.lit(1), F.col("copies")).alias("__fl_at"))
+    texts = docs.select("*", *key).dropDuplicates(["__fl_a", "__fl_b"])
+    out = texts.join(taken.hint("shuffle_hash"), ["__fl_a", "__fl_b"])
     out = out.withColumn("__fl_at", F.explode("__fl_at"))
     return out.repartitionByRange("__fl_at").sortWithinPartitions("__fl_at", id_col).select(*docs.columns)

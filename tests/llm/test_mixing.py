@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +58,23 @@ def test_odd(spark, odd, none):
     assert mixing.plan(spark, none).count() == 0 and mixing.mix(spark, none).count() == 0
     blank = odd.withColumn("text", F.lit(" "))
     assert {(r.taken, r.target) for r in mixing.plan(spark, blank).collect()} == {(0, 0.0)}
+
+
+def test_mix_of_odd_rows(spark, odd):
+    """Null ids over different texts, repeated rows: as many copies of each as planned, within the budget."""
+    schema = "doc_id long, text string, source string, m map<string,array<int>>, a long, b long"
+    rows = [(None, f"null id {'abcdefgh'[i]}", "x", {"k": [None, i]}, None, i) for i in range(8)]
+    rows += [(7, "one row many times", "x", None, 1, None)] * 20 + [(i, f"own text {'pqrstuvw'[i % 8]}", "y", {}, i, None) for i in range(100, 140)]
+    rows += [(None, "same text", None, None, 3, None), (None, "same text", None, None, None, 3)]
+    for df in (odd, spark.createDataFrame(rows, schema).repartition(3)):
+        planned, out = mixing.plan(spark, df).collect(), mixing.mix(spark, df)
+        size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        got = out.collect()
+        assert out.columns == df.columns and len(got) == sum(r.copies for r in planned)
+        assert sum(size(r.text) for r in got) == sum(r.taken for r in planned) <= sum(r["size"] for r in planned)
+        held, taken = Counter(map(str, df.collect())), Counter(map(str, got))
+        assert all(taken[r] <= 3 * held[r] for r in taken)
+        per_id = Counter()
+        for r in planned:
+            per_id[r.doc_id] += r.copies
+        assert Counter(r.doc_id for r in got) == +per_id
