@@ -41,7 +41,18 @@ NOTICES = [
     Notice("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     Notice("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution"),
     Notice("all-rights-reserved", "all rights reserved", "all rights reserved"),
+    # headers and bodies of licence files; notices of one label have keys that cannot start at one place
+    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    Notice("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 3"),
+    Notice("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 2"),
+    Notice("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works", "general public license is a free copyleft license"),
+    Notice("lgpl-3", "gnu lesser general public license as published by the free software foundation either version 3 of the license", "gnu lesser general public license as published by the free software foundation either version 3"),
+    Notice("agpl-3", "gnu affero general public license as published by the free software foundation either version 3 of the license", "gnu affero general public license as published by the free software foundation either version 3"),
+    Notice("apache-2", "terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions", "terms and conditions for use reproduction and distribution"),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee is hereby granted"),
+    Notice("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
+BITS = 16  # of a word number, below its position
 
 
 def words(text: Column) -> Column:
@@ -50,10 +61,10 @@ def words(text: Column) -> Column:
 
 
 def index(docs: DataFrame, text_col: str, vocabulary: list[str]) -> DataFrame:
-    """``docs`` without the text, with ``n_words`` and ``hits``: (position << 8 | word number) of each notice word."""
+    """``docs`` without the text, with ``n_words`` and ``hits``: (position << BITS | word number) of each notice word."""
 
     def scan(w: Column) -> Column:
-        spots = F.filter(F.transform(w, lambda x, i: F.when(x.isin(vocabulary), F.shiftleft(i.cast("long"), 8) + F.array_position(F.lit(vocabulary), x))), lambda x: x.isNotNull())
+        spots = F.filter(F.transform(w, lambda x, i: F.when(x.isin(vocabulary), F.shiftleft(i.cast("long"), BITS) + F.array_position(F.lit(vocabulary), x))), lambda x: x.isNotNull())
         return F.struct(F.size(w).cast("long").alias("n_words"), spots.alias("hits"))
 
     keep = [c for c in docs.columns if c != text_col]
@@ -64,8 +75,8 @@ def _starts(hits: Column, notice: list[int], order: list[int]) -> Column:
     """Starts of a run of word numbers; ``order`` has its positions from the rarest word on."""
 
     def of(j: int) -> Column:
-        own = F.filter(hits, lambda h: h.bitwiseAND(F.lit(255).cast("long")) == notice[j])
-        return F.transform(own, lambda h: F.shiftright(h, 8) - j)
+        own = F.filter(hits, lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1).cast("long")) == notice[j])
+        return F.transform(own, lambda h: F.shiftright(h, BITS) - j)
 
     def narrow(found: Column, j: int) -> Column:
         return F.transform(F.array(found), lambda f: F.when(F.size(f) == 0, f).otherwise(F.array_intersect(f, of(j))))[0]
@@ -86,7 +97,7 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     number = {w: i + 1 for i, w in enumerate(vocabulary)}
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = materialize(spark, index(rows, "text", vocabulary), "licence_words")
-    df = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h.bitwiseAND(F.lit(255).cast("long"))))).alias("w")).groupBy("w").count()
+    df = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))))).alias("w")).groupBy("w").count()
     n, df = found.count(), {r["w"]: r["count"] for r in df.collect()}  # a row for each word of the notices at most
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in number.values()}
 
@@ -101,7 +112,7 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
             inner = sum(idf[w] for w in key)
 
             def score(start: Column, text=text, outside=outside, at=at, inner=inner, whole=whole) -> Column:
-                near = [F.when(F.array_contains(hits, F.shiftleft(start - at + j, 8) + text[j]), idf[text[j]]).otherwise(0.0) for j in outside]
+                near = [F.when(F.array_contains(hits, F.shiftleft(start - at + j, BITS) + text[j]), idf[text[j]]).otherwise(0.0) for j in outside]
                 return reduce(lambda a, b: a + b, near, F.lit(inner)) / whole
 
             def place(start: Column, notice=notice, score=score) -> Column:

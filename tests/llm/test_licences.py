@@ -29,3 +29,22 @@ def test_places(spark, odd, none):
     assert rows[104].n_base == 2 and rows[104].last_word == 3 and 0 < rows[104].score < 1
     assert rows[3].score == 0
     assert licences.summary(licences.scan(spark, none)).count() == 0
+
+
+def test_headers_and_bodies(spark):
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software",
+        "gpl-3": "the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 3 of the License",
+        "gpl-2": "GNU General Public License as published by the Free Software Foundation, either version 2",
+        "apache-2": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n1. Definitions.",
+        "isc": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert {r.doc_id: r.labels for r in licences.summary(licences.scan(spark, df)).collect()} == {k: k for k in texts}
+
+
+def test_more_words_than_a_byte(spark):
+    w = [f"w{1000 + i}" for i in range(300)]
+    df = spark.createDataFrame([(1, "x " + " ".join(w[290:])), (2, " ".join(w[34:44]))], "doc_id long, text string")
+    got = {r.doc_id: r.places for r in licences.scan(spark, df, notices=[licences.Notice("n", " ".join(w), " ".join(w[290:294]))]).collect()}
+    assert [p.start for p in got[1]] == [1] and got[2] == []
