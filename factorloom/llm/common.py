@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -109,22 +110,6 @@ def trim() -> None:
         pass
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
-_TABLE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=U64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        steps = [np.full(size, b, U64) for b in (_BASE, pow(_BASE, -1, 2**64))]
-        for x in steps:
-            x[0] = 1
-        _POWERS[:] = [np.multiply.accumulate(x) for x in steps]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     h = h ^ (h >> U64(30))
@@ -134,15 +119,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct contents of raw[start:end], and the number among them of each span. Ascending, not overlapping.
+
+    Contents are told apart by their bytes, in Arrow's dictionary, not by a hash of them.
+    """
+    if len(starts) == 0:
+        return [], np.zeros(0, np.int64)
+    edge = np.zeros(len(raw) + 1, np.int8)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    data = raw[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return spans.dictionary.to_pylist(), spans.indices.to_numpy(zero_copy_only=False)
+
+
+_KEY = b"factorloom words"
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each raw[start:end], by one prefix sum of a polynomial rolling hash."""
-    n = len(raw)
-    if n == 0 or len(starts) == 0:
-        return np.zeros(len(starts), U64)
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_TABLE[raw] * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    """64-bit keyed BLAKE2b of each raw[start:end]; each distinct content is hashed once.
+
+    Among d distinct words any two share a hash with a chance of about d * d / 2**65: 1e-5 at 20 million words.
+    """
+    distinct, number = distinct_spans(raw, starts, ends)
+    digests = b"".join([blake2b(x, digest_size=8, key=_KEY).digest() for x in distinct])
+    return np.frombuffer(digests, "<u8").astype(U64)[number]
 
 
 def lower_ascii(raw: np.ndarray) -> np.ndarray:

@@ -13,10 +13,12 @@ independently and their ids concatenated, with the same ids as for the whole tex
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 from tokenizers import Tokenizer
 
-from .common import hash_spans, lower_ascii
+from .common import distinct_spans, lower_ascii
 
 SPACE, LETTER, DIGIT, OTHER, WIDE = range(5)
 _CLASS = np.full(256, OTHER, np.uint8)
@@ -24,7 +26,7 @@ _CLASS[128:] = WIDE
 _CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
 _CLASS[48:58] = DIGIT
 _CLASS[65:91] = _CLASS[97:123] = LETTER
-_MOST_CACHED = 1_000_000  # fragments, about 45 bytes each
+_MOST_CACHED, _MOST_BYTES = 500_000, 32 << 20  # fragments, some 150 bytes each, and bytes in them
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -56,8 +58,9 @@ class FragmentEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        # the cache: sorted fragment hashes, and for each its place in the arrays of first id, number of ids, ids
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        # the cache: each fragment's place in the arrays of first id and number of ids, and the ids one after another
+        self.places: dict[bytes, int] = {}
+        self.held = 0
         self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def cut(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,34 +91,24 @@ class FragmentEncoder:
         return starts, ends, np.searchsorted(starts, offsets)
 
     def lookup(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each fragment in the cache, and the first fragment of each text."""
+        """Place of each fragment in the cache, and the first fragment of each text. Fragments are known by their bytes."""
         starts, ends, first = self.cut(raw, offsets)
-        distinct, where, back = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
-        fresh = self._unknown(distinct)
-        if len(fresh) and len(self.keys) + len(fresh) > _MOST_CACHED:
+        distinct, number = distinct_spans(raw, starts, ends)
+        if len(self.places) + len(distinct) > _MOST_CACHED or self.held > _MOST_BYTES:
             self._clear()
-            fresh = self._unknown(distinct)
-        if len(fresh):
-            data, at = raw.tobytes(), where[fresh]
-            texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+        fresh = [x for x in distinct if x not in self.places]
+        if fresh:
             ids: list[list[int]] = []
-            for i in range(0, len(texts), 4096):  # the library's results are large
-                ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+            for i in range(0, len(fresh), 4096):  # the library's results are large
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh[i : i + 4096]], add_special_tokens=False)]
             lens = np.fromiter(map(len, ids), np.int32, len(ids))
-            spot = np.searchsorted(self.keys, distinct[fresh])
-            self.places = np.insert(self.places, spot, np.arange(len(self.lens), len(self.lens) + len(ids), dtype=np.int32))
-            self.keys = np.insert(self.keys, spot, distinct[fresh])
+            self.places.update(zip(fresh, range(len(self.lens), len(self.lens) + len(fresh))))
+            self.held += sum(map(len, fresh))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens, dtype=np.int64) - lens])
             self.lens = np.concatenate([self.lens, lens])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum()))])
-        return self.places[np.searchsorted(self.keys, distinct)][back], first
-
-    def _unknown(self, distinct: np.ndarray) -> np.ndarray:
-        """Positions of hashes that the cache lacks."""
-        if not len(self.keys):
-            return np.arange(len(distinct))
-        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        return np.flatnonzero(self.keys[at] != distinct)
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))])
+        places = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
+        return places[number], first
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, first id of each text)."""
