@@ -103,11 +103,22 @@ usable AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_f
 links AS (SELECT a.vec_id x, b.vec_id y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
 {_CLASSES}, n AS (SELECT x, count(*) n FROM links GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(y, vec_id)) component_id, vec_id = least(vec_id, coalesce(y, vec_id)) kept FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN least ON least.x = vec_id""",
-    "op7_lines": rf"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) ln, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents),
-t AS (SELECT doc_id, pos, ln, list_transform(list_filter(string_split_regex(ln, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) t FROM l),
-k AS (SELECT doc_id, pos, unnest(CASE WHEN len(t) < {lines.MIN_TOKENS} THEN [] WHEN len(t) < {lines.HALF_TOKENS} THEN ['0 ' || array_to_string(t, ' ')] ELSE ['0 ' || array_to_string(t, ' '), '1 ' || len(t) || ' ' || array_to_string(t[:len(t) // 2], ' '), '2 ' || len(t) || ' ' || array_to_string(t[len(t) // 2 + 1:], ' ')] END) k FROM t),
-c AS (SELECT k, min(doc_id) f FROM k GROUP BY 1 HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}),
-d AS (SELECT DISTINCT doc_id, pos FROM k JOIN c USING (k) WHERE doc_id <> f),
+    "op7_lines": rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) ln, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents),
+m AS (SELECT doc_id, pos, ln, list_transform(list_filter(string_split_regex(ln, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) t FROM l),
+t AS (SELECT *, len(t) n, CAST('0x' || substr(md5(array_to_string(t, ' ')), 1, 15) AS BIGINT) line FROM m),
+u AS (SELECT DISTINCT line, t, n FROM t WHERE n > 0),
+j AS (SELECT unnest(range({lines.RUNS})) j),
+short AS (SELECT line, j, least(n - {lines.DEPTH}, {lines.RUNS}) r, n || ' ' || array_to_string(t[:{lines.DEPTH}], ' ') || ' ' || j || ' ' || array_to_string(t[{lines.DEPTH} + (n - {lines.DEPTH}) * j // {lines.RUNS} + 1:{lines.DEPTH} + (n - {lines.DEPTH}) * (j + 1) // {lines.RUNS}], ' ') k FROM u, j WHERE n < {lines.LONG} AND n > {lines.DEPTH} AND (n - {lines.DEPTH}) * j // {lines.RUNS} < (n - {lines.DEPTH}) * (j + 1) // {lines.RUNS}),
+words AS (SELECT line, t, n, unnest(t) x, generate_subscripts(t, 1) - 1 i FROM u WHERE n >= {lines.LONG}),
+best AS (SELECT line, j, t, greatest(i - 2, 0) a FROM words JOIN j ON n * j // {lines.RUNS} <= i AND i < n * (j + 1) // {lines.RUNS} QUALIFY row_number() OVER (PARTITION BY line, j ORDER BY length(x) DESC, x DESC, i) = 1),
+runs AS (SELECT line, j, ceil(r * {lines.SHARE} / 100) need, k FROM short UNION ALL SELECT line, j, ceil({lines.RUNS} * {lines.SHARE} / 100), 'long ' || array_to_string(t[a + 1:a + 5], ' ') FROM best),
+heads AS (SELECT k, min(line) head FROM runs GROUP BY 1 HAVING min(line) <> max(line)),
+met AS (SELECT line, head FROM runs JOIN heads USING (k) WHERE line <> head GROUP BY 1, 2 HAVING count(DISTINCT j) >= max(need)),
+joins AS (SELECT line, min(head) head FROM met GROUP BY 1),
+belongs AS (SELECT line, head FROM joins UNION SELECT head, head FROM joins),
+g AS (SELECT doc_id, pos, n, coalesce(head, line) template FROM t LEFT JOIN belongs USING (line) WHERE n > 0),
+c AS (SELECT template, min(doc_id) f FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= CASE WHEN max(n) >= {lines.LONG} THEN {lines.LONG_DOCS} ELSE {lines.MIN_DOCS} END),
+d AS (SELECT DISTINCT doc_id, pos FROM g JOIN c USING (template) WHERE doc_id <> f),
 kept AS (SELECT doc_id, count(*) n_lines, count(d.pos) n_dropped, string_agg(ln, chr(10) ORDER BY l.pos) FILTER (WHERE d.pos IS NULL) kept FROM l LEFT JOIN d USING (doc_id, pos) GROUP BY 1)
 SELECT doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped, length(CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END) kept_chars, sha256(CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END) kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)""",
     "op10_jaccard": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w FROM documents),

@@ -59,47 +59,103 @@ def test_classifier_on_held_out(spark, odd, none):
     assert quality.classify(spark, docs, labels.filter("quality = 1")).filter("predicted = 0").count() == 0
 
 
-def template_keys(line):
-    t = ["<*>" if re.search("[0-9]", x) else x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
-    if len(t) < lines.MIN_TOKENS:
-        return []
-    out = [("0", *t)]
-    if len(t) >= lines.HALF_TOKENS:
-        out += [("1", len(t), *t[: len(t) // 2]), ("2", len(t), *t[len(t) // 2 :])]
+def tokens_of(line):
+    return ["<*>" if re.search("[0-9]", t) else t for t in re.split(r"[ \t\n\x0b\x0c\r]+", line) if t]
+
+
+def brute_keys(t, depth):
+    """Contents of the runs of a masked line."""
+    n, out = len(t), []
+    for j in range(lines.RUNS):
+        if n >= lines.LONG:
+            a, b = n * j // lines.RUNS, n * (j + 1) // lines.RUNS
+            at = max(range(a, b), key=lambda i: (len(t[i]), t[i].encode(), -i))
+            out.append((-1, *t[max(at - 2, 0) : max(at - 2, 0) + 5]))
+        elif n > depth:
+            a, b = (n - depth) * j // lines.RUNS, (n - depth) * (j + 1) // lines.RUNS
+            if a < b:
+                out.append((n, *t[:depth], j, *t[depth + a : depth + b]))
     return out
 
 
-def brute_lines(rows):
-    docs = defaultdict(set)
+def brute_lines(rows, depth=lines.DEPTH):
+    """Texts without the lines of recurring templates, from the rule as it is stated."""
+    order = lambda t: hashlib.md5(" ".join(t).encode()).hexdigest()[:15]
+    every = {tuple(t) for _, text in rows for ln in (text or "").split("\n") if (t := tokens_of(ln))}
+    runs = {t: brute_keys(t, depth) for t in every}
+    head = {}
+    for t, keys in runs.items():
+        for k in keys:
+            head[k] = min(head.get(k, t), t, key=order)
+    template = {t: {t} for t in every}
+    joined = set()
+    for t, keys in runs.items():
+        met = Counter(head[k] for k in keys)
+        fit = [h for h, c in met.items() if h != t and 100 * c >= lines.SHARE * len(keys)]
+        if fit:
+            template[t] = {min(fit, key=order)}
+            joined |= template[t]
+    for h in joined:
+        template[h].add(h)
+    docs = {}
     for key, text in rows:
-        for line in (text or "").split("\n"):
-            for k in template_keys(line):
-                docs[k] |= {key} - {None}
-    drop = lambda key, k: len(docs[k]) >= lines.MIN_DOCS and key != min(docs[k])
+        for t in {tuple(tokens_of(ln)) for ln in (text or "").split("\n")} - {()}:
+            for x in template[t]:
+                docs.setdefault(x, set()).add(key)
+    recurs = lambda x: len(docs[x] - {None}) >= (lines.LONG_DOCS if max(map(len, (t for t in every if x in template[t]))) >= lines.LONG else lines.MIN_DOCS)
+    dropped = {x: min(docs[x] - {None}) for x in docs if recurs(x)}
     out = []
     for key, text in rows:
-        own = None if text is None else text.split("\n")
-        kept = own and [x for x in own if not any(drop(key, k) for k in template_keys(x))]
-        out.append((key, None if own is None else "\n".join(kept), len(own or []), len(own or []) - len(kept or [])))
+        every_line = [] if text is None else text.split("\n")
+        kept = [ln for ln in every_line if not (t := tuple(tokens_of(ln))) or not any(x in dropped and key != dropped[x] for x in template[t])]
+        out.append((key, text if len(kept) == len(every_line) else "\n".join(kept), len(every_line), len(every_line) - len(kept)))
     return out
 
 
 def test_lines(spark, corpus, odd, none):
     notice = "Order 17 of 2021 was shipped to you"
-    passage = " ".join(f"p{chr(97 + i % 26)}" for i in range(56))
-    more = [(2000 + i, f"own words of text number {'abcdefg'[i]}\nOrder {i} of 20{i} was shipped to you\n{passage} {'xyz'[i % 3]}\nab\nab") for i in range(7)] + [(1999, notice)]
+    rnd = random.Random(8)
+    passage = " ".join("paa" + "".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(1, 9))) for _ in range(56))
+    names = ["anna", "boris", "carla", "dora", "emil", "frida", "gustav"]
+    more = [(2000 + i, f"own words of text number {'abcdefg'[i]}\nOrder {i} of 20{i} was shipped to you\n{passage} {'xyz'[i % 3]}\nab\nWritten by {name} for the daily news desk today\nShare this page\nuser {name} logged in from {name[::-1]}\n\nab") for i, name in enumerate(names)]
+    more += [(1999, notice), (2010, passage.replace(passage.split()[20], "new " + passage.split()[20], 1)), (2011, "new " + passage)]  # a word more within or before
     df = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     for frame in (df, odd.select("doc_id", "text"), odd.select("doc_id", "text").unionByName(odd.select("doc_id", "text").filter("doc_id in (1, 8)").selectExpr("doc_id + 50 doc_id", "text"))):
         want = brute_lines([(r.doc_id, r.text) for r in frame.collect()])
         got = lines.dedup(spark, frame).collect()
         assert sorted(map(str, ((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got))) == sorted(map(str, want))
     out = {r.doc_id: r for r in lines.dedup(spark, df).collect()}
-    assert all(passage not in out[2000 + i].text for i in range(1, 7)) and passage in out[2000].text
-    assert all("shipped" not in out[2000 + i].text and "own words" in out[2000 + i].text for i in range(7))
+    assert passage in out[2000].text and all("paa" not in out[k].text for k in [*range(2001, 2007), 2010, 2011])
+    for part in ("own words", "Written by", "Share this", "logged in"):
+        assert part in out[2000].text and not any(part in out[2000 + i].text for i in range(1, 7))
+    assert all("shipped" not in out[2000 + i].text for i in range(7)) and "shipped" in out[1999].text
+    assert all("\n\n" in f"\n{out[2000 + i].text}\n" for i in range(7))  # blank lines stay
     kept = lines.dedup(spark, odd)
     assert kept.columns == [*odd.columns, "n_lines", "n_dropped"] and lines.dedup(spark, none).count() == 0
 
 
+def test_templates_and_depth(spark):
+    rows = [(i, f"Written by {name} for the daily news desk today\n{name} was here on day {i} again then") for i, name in enumerate("anna boris carla dora".split())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = lambda depth: {(r.template, r.n_docs, r.first) for r in lines.templates(spark, docs, depth=depth).collect()}
+    written = ("Written by <*> for the daily news desk today", 4, 0)
+    assert at(1) == {written}
+    assert at(0) == {written, ("<*> was here on day <*> again then", 4, 0)}  # no leading token parts the names
+    assert at(3) == set()  # the name is on the path
+    for depth in (0, 1, 3):
+        want = brute_lines(rows, depth)
+        assert sorted(want) == sorted(map(tuple, lines.dedup(spark, docs, depth=depth).collect()))
+
+
+def test_line_rules_on_small_lines(spark):
+    """Two documents are enough for a long line, three for a short one; what stands twice in one document is no recurrence."""
+    long, short = " ".join(f"w{chr(97 + i)}" for i in range(lines.LONG)), "to whom it may concern"
+    rows = [(1, f"{long}\n{short}\nx\nx"), (2, f"{long}\n{short}"), (3, "y"), (None, f"{long}\nx"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, map(tuple, lines.dedup(spark, docs).collect())))
+    assert got == sorted(map(str, [(1, rows[0][1], 4, 0), (2, short, 2, 1), (3, "y", 1, 0), (None, "x", 2, 1), (None, None, 0, 0)]))
+
+
 def model_of(rows, folds=7, out=2):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = [(k, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [None]) for k, t in rows]
