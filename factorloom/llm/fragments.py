@@ -13,6 +13,7 @@ independently and their ids concatenated, with the same ids as for the whole tex
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 import numpy as np
@@ -26,7 +27,7 @@ _CLASS[128:] = WIDE
 _CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
 _CLASS[48:58] = DIGIT
 _CLASS[65:91] = _CLASS[97:123] = LETTER
-_MOST_CACHED, _MOST_BYTES = 500_000, 32 << 20  # fragments, some 150 bytes each, and bytes in them
+_MOST_CACHED, _MOST_BYTES = 1_000_000, 64 << 20  # fragments, some 150 bytes each, and bytes in them
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -133,7 +134,8 @@ _encoders: dict[tuple[type, str], FragmentEncoder] = {}
 
 
 def encoder(path: str, kind: type[FragmentEncoder] = FragmentEncoder) -> FragmentEncoder:
-    """One encoder for each worker process, so that its cache serves all tasks there."""
+    """One encoder for each worker process, so that its cache serves all tasks there. Spark has a task for each core already."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (kind, path) not in _encoders:
         _encoders[kind, path] = kind(path)
     return _encoders[kind, path]
