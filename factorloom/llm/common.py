@@ -67,9 +67,14 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Hash buckets for blob shuffles: follows the session's shuffle partitions, which are sized to the input."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+BUCKET_BYTES = 256 << 20  # of the input as stored
+
+
+def buckets(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """Hash buckets for blob shuffles: the session's shuffle partitions, or more where ``docs`` is large by the planner's estimate."""
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if docs is not None else 0
+    return max(n, -(-size // BUCKET_BYTES)) if size < 1 << 55 else n  # beyond that it is no estimate but "unknown"
 
 
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

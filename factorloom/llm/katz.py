@@ -1,28 +1,32 @@
 r"""A Katz backoff language model over words, and the score of every text under it (operator 3).
 
-Tokens are runs of ``[^\x20\x09-\x0D]+`` after A-Z are lower-cased, then one end per text; the context of a text's
-first token is a start that is no token. With Good-Turing discounts d_r for counts r up to 5,
-
-    p(w | h) = d(c(h, w)) c(h, w) / c(h)       if the pair was seen in training
-             = alpha(h) p(w)                   else, if h was
-             = p(w)                            else
-    p(w)     = d1(c(w)) c(w) / N               if w was seen; all unseen words together have what is left
-
-and alpha(h) = (1 - sum of the seen p(w | h)) / (1 - sum of their p(w)): a distribution for every context, exactly.
-
-Nothing the size of the vocabulary or of the pair table is in one place. Texts form blocks of some 2 million tokens,
-kept as files in the shared folder. Each block sends its distinct words, then its distinct pairs, to hash buckets,
-where their counts are summed, stored as Parquet tables partitioned by kind, and sent back. Sums a context needs
-go to the context's bucket as whole numbers and alpha comes back to the blocks that ask for it. Pairs are dealt by
-context and a quarter of the words, so that a frequent context isn't in one task, and a pair is one row a block.
+Tokens are runs of ``[^\x20\x09-\x0D]+`` after A-Z are lower-cased, then one end per text; before a text stand starts
+that are no tokens. For a word w after a history h of up to ``order - 1`` tokens, h' being h without its first,
+
+    p(w | h) = d(c(h, w)) c(h, w) / c(h)       if c(h, w) in training is at least the cutoff of its order
+             = alpha(h) p(w | h')              else (alpha is 1 if h has no such w)
+    p(w)     = d(c(w)) c(w) / N                if w was seen; all unseen words together have what is left
+
+with Good-Turing discounts d_r for counts r up to 5, and alpha(h) = (1 - sum of the p(w | h) of the first kind) / (1 -
+sum of their p(w | h')): a distribution for every history, exactly. The usual cutoffs are 1, 1 and 2: a triple seen
+once says nothing.
+
+Nothing the size of the vocabulary or of an n-gram table is in one place. Texts form blocks of some 2 million tokens,
+kept as files in the shared folder. Order by order, each block sends its distinct n-grams to buckets, where counts are
+summed, stored as Parquet tables partitioned by kind, and sent back, with a number for each n-gram that may go on as
+a history. From the second order on an n-gram is a pair of such numbers, of history and word, so only words are ever
+told apart by a hash (64 bits, see ``hash_spans``). An n-gram can't reach its cutoff unless its history and its
+suffix do; those below 2 stay in their block, as a single one is known to be single. N-grams are dealt by history; a history seen more than ``SALT_AT`` times is
+dealt in parts by word, so that none fills a task, and what alpha needs are whole numbers that are added up at the
+history's home. Alphas go back to the blocks that ask for them, where texts are evaluated from the first order up.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +37,15 @@ from pyspark.sql import functions as F
 
 from .common import buckets, hash_spans, lower_ascii, mix, pieces, scratch, text_view, words
 
+ORDER, CUTOFFS = 3, (1, 1, 2)  # least count of an n-gram that counts, by order
 TOP = 5  # counts up to this are discounted
 BLOCK_TOKENS = 2_000_000
-SALTS = 4  # parts of a context, by its words
-START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
+SALT_AT = 1 << 20  # occurrences of a history in one bucket
+END = np.uint64(0x454E44)
 U64 = np.uint64
 SCHEMA = "kind int, bucket long, block long, a binary, b binary, c binary"
 _KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-FILE, COUNTS, TOTALS, TABLE, CONTEXT, ASK, ALPHA, PAIRS = range(8)
+FILE, COUNTS, TOTALS, TABLE, CONTEXT, ASK, ALPHA = range(7)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -66,6 +71,20 @@ def from_steps(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpack(data, dtype), dtype=dtype)
 
 
+def _join(*parts: bytes) -> bytes:
+    """Packed arrays in one column, each behind its length."""
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _parts(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)], ["kind", "bucket", "block", "a", "b", "c"])
 
@@ -84,6 +103,120 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
+def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    starts = _runs(x).tolist()
+    return list(zip(starts, [*starts[1:], len(x)]))
+
+
+def _pair_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Order of pairs of numbers from 0 on; one sort where both fit 63 bits together."""
+    width = int(b.max(initial=0)) + 1
+    if len(a) and int(a.max()) < (1 << 62) // width:
+        return np.argsort(a * width + b, kind="stable")
+    return np.lexsort((b, a))
+
+
+def pack_pairs(a: np.ndarray, b: np.ndarray) -> bytes:
+    """Pairs in ascending order, packed: the distinct a, how many b each has, the b as differences within an a."""
+    at = _runs(a)
+    delta = np.diff(b, prepend=b[:1] * 0)
+    delta[at] = b[at]
+    return _join(steps(a[at]), pack(np.diff(np.append(at, len(a))).astype(np.uint32)), pack(delta))
+
+
+def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, number of the run of each)"""
+    head, lens, delta = _parts(data)
+    lens, delta = unpack(lens, np.uint32).astype(np.int64), unpack(delta, np.int64)
+    start, total = np.cumsum(lens) - lens, np.cumsum(delta)
+    run = np.repeat(np.arange(len(lens)), lens)
+    return from_steps(head, np.int64)[run], total - (total[start] - delta[start])[run], run
+
+
+class Discounts:
+    """Good-Turing ratios d_1..d_TOP from counts of counts n_1..n_(TOP+1), renormalised so that counts above TOP stay.
+
+    Where the counts are too few for Katz's formula to give ratios in (0, 1), d_r = (r - b) / r with b = n1 / (n1 + 2 n2).
+    """
+
+    def __init__(self, n: list[int], cutoff: int = 1):
+        k, d = TOP, []
+        if all(n) and (k + 1) * n[k] < n[0]:
+            cut = (k + 1) * n[k] / n[0]
+            d = [((r + 1) * n[r] / (r * n[r - 1]) - cut) / (1 - cut) for r in range(1, k + 1)]
+        if not d or not all(0 < x < 1 for x in d[cutoff - 1 :]):
+            b = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+            d = [(r - b) / r for r in range(1, k + 1)]
+        self.d = np.array([1.0, *d])  # d[0] unused
+
+    def ratio(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts <= TOP, self.d[np.minimum(counts, TOP)], 1.0)
+
+    def freed(self, some: np.ndarray) -> np.ndarray:
+        """Mass in counts that the ratios take away, from numbers of counts 1..TOP (last axis)."""
+        return (some * ((1 - self.d[1:]) * np.arange(1, TOP + 1))).sum(axis=-1)
+
+
+@dataclass
+class Level:
+    """What the whole corpus says of one order: its discounts, its cutoff, and how many numbers a bucket has."""
+
+    discounts: Discounts
+    cutoff: int
+    stride: int
+
+
+class Model:
+    """Totals of the training: tokens N, distinct words V, texts, and the levels learned so far."""
+
+    def __init__(self, buckets: int, cutoffs: tuple[int, ...], totals: np.ndarray):
+        self.buckets, self.cutoffs = buckets, cutoffs
+        self.n, self.v, self.texts = int(totals[0]), int(totals[1]), int(totals[-2])
+        self.levels = [Level(Discounts(totals[2 : 3 + TOP].tolist()), cutoffs[0], max(1, int(totals[-1])))]
+        freed = float(self.levels[0].discounts.freed(totals[2 : 2 + TOP]))
+        self.whole = self.n if freed > 0 else self.n + 1  # if nothing is freed, unseen words get one count
+        self.unseen = freed / max(self.n, 1) if freed > 0 else 1.0 / (self.n + 1)
+
+    def learn(self, totals: np.ndarray) -> None:
+        """Add an order; tokens of training that no block sent have n-grams seen once."""
+        some = totals[2 : 3 + TOP].tolist()
+        some[0] += self.n - int(totals[0])
+        cutoff = self.cutoffs[len(self.levels)]
+        self.levels.append(Level(Discounts(some, cutoff), cutoff, max(1, int(totals[-1]))))
+
+    def least(self, level: int) -> int | None:
+        """The count below which the history or the suffix of an n-gram of this order leaves it in its block: 1 or 2."""
+        return min(self.cutoffs[level], 2) if level < len(self.cutoffs) else None
+
+    def word(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.levels[0].discounts.ratio(c) * c / self.whole, self.unseen)
+
+    def history(self, level: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(share of its count in its denominator, alpha) of histories from their sums.
+
+        Where nothing is freed, the denominator is one count larger, and that count is what is freed.
+        """
+        own, lower = self.levels[level].discounts, self.levels[level - 1].discounts
+        count = sums[:, -2].astype(np.float64)
+        freed = count - sums[:, 0] + own.freed(sums[:, 1 : 1 + TOP])
+        whole = np.where(freed > 0, count, count + 1)
+        seen = (sums[:, TOP + 1] - lower.freed(sums[:, TOP + 2 : TOP + 2 + TOP])) / sums[:, -1]
+        return count / whole, np.where(freed > 0, freed, 1.0) / whole / np.maximum(1 - seen, 1e-300)
+
+
+class Grams:
+    """One order within a block: distinct n-grams in the order they are dealt in, two more for the start and for none."""
+
+    def __init__(self, size: int, token: np.ndarray):
+        self.size, self.token = size, token  # n-gram of each token
+
+    def told(self, counts: np.ndarray, ids: np.ndarray, texts: int, start: int) -> None:
+        """Counts over the whole training, and numbers of those that may be histories (else -1)."""
+        self.counts = np.concatenate([counts, [texts, 0]]).astype(np.int64)
+        self.ids = np.concatenate([ids, [start, -1]])
+
+
 class Block:
     """Texts of a block: ``vocabulary`` (ascending hashes), ``tokens`` (numbers in it), ``first`` token of each text."""
 
@@ -100,40 +233,46 @@ class Block:
         system, at = fs.FileSystem.from_uri(path)
         parts = [steps(self.vocabulary), pack(self.tokens), steps(self.first), pack(self.ids), pack(self.valid), pack(self.learn)]
         with system.open_output_stream(at) as f:
-            f.write(b"".join([np.array([len(p) for p in parts], "<u8").tobytes(), *parts]))
+            f.write(_join(*parts))
         return path
 
     @staticmethod
     def load(path: str) -> Block:
         system, at = fs.FileSystem.from_uri(path)
         with system.open_input_stream(at) as f:
-            data = f.read()
-        ends = 48 + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u8", 6))]).astype(np.int64)
-        v, t, first, ids, valid, learn = (data[a:b] for a, b in zip(ends[:-1], ends[1:]))
+            v, t, first, ids, valid, learn = _parts(f.read())
         return Block(from_steps(v, U64), unpack(t, np.uint32), from_steps(first, np.int64), unpack(ids, np.int64), unpack(valid, np.uint8), unpack(learn, np.uint8))
 
     def per_token(self, per_text: np.ndarray) -> np.ndarray:
         return np.repeat(per_text, np.diff(self.first))
 
-    def pairs(self):
-        """Distinct (context, word) pairs in the order they are dealt in, and each token's number among them.
-
-        Returns (group hash, context hash in 48 bits, context number, word hash in 40 bits, word number, pair of each
-        token). Contexts are vocabulary numbers, the start is one past the last.
-        """
-        v = len(self.vocabulary)
-        context = np.empty(len(self.tokens), np.int64)
-        context[1:] = self.tokens[:-1]
-        context[self.first[:-1]] = v
-        codes, back = np.unique(context * (v + 1) + self.tokens, return_inverse=True)
-        c, w = codes // (v + 1), codes % (v + 1)
-        h = np.append(self.vocabulary >> U64(16), START)[c]
-        word = self.vocabulary[w]
-        group = mix(h ^ mix(word & U64(SALTS - 1)))
-        order = np.lexsort((word >> U64(24), group))
+    def histories(self, below: Grams) -> np.ndarray:
+        """The n-gram of the order below that stands before each token; the start before the first of a text."""
+        out = np.empty(len(self.tokens), np.int64)
+        out[1:] = below.token[:-1]
+        out[self.first[:-1]] = below.size
+        return out
+
+    def grams(self, model: Model, level: int, below: Grams) -> Grams:
+        """The n-grams of this order that may reach its cutoff, with ``history``, ``word``, ``bucket`` and a ``token`` of each."""
+        history, stride, least = self.histories(below), model.levels[level - 1].stride, model.least(level)
+        sent = np.flatnonzero((below.counts[history] >= least) & (below.counts[below.token] >= least))
+        width = len(self.vocabulary)
+        codes, at, back = np.unique(history[sent] * width + self.tokens[sent], return_index=True, return_inverse=True)
+        h, w = codes // max(width, 1), codes % max(width, 1)
+        bucket = np.minimum(below.ids[h] // stride, model.buckets - 1)
+        parts = -(-below.counts[h] // SALT_AT)
+        if (parts > 1).any():
+            bucket = (bucket + (mix(self.vocabulary[w]) % parts.astype(U64)).astype(np.int64)) % model.buckets
+        order = np.argsort(bucket.astype(np.uint16 if model.buckets < 1 << 16 else np.int64), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return group[order], h[order], c[order], word[order] >> U64(24), w[order], place[back]
+        token = np.full(len(self.tokens), len(codes) + 1, np.int64)
+        token[sent] = place[back]
+        out = Grams(len(codes), token)
+        out.history, out.word, out.bucket, out.sample = h[order], w[order], bucket[order], sent[at[order]]
+        out.before = history
+        return out
 
 
 def make_blocks(folder: str, n: int, folds: int, held_out: int):
@@ -170,232 +309,227 @@ def make_blocks(folder: str, n: int, folds: int, held_out: int):
     return run
 
 
-def count_words(n: int):
-    """A bucket's words: total counts to each block in the order it sent them, the table, and counts of counts."""
+def _stats(total: np.ndarray, numbered: int, texts: int = 0) -> bytes:
+    """Sum of the counts, distinct ones, counts of counts 1..TOP+1, texts, how many have a number."""
+    some = np.bincount(np.minimum(total[total > 0], TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
+    return np.array([total.sum(), (total > 0).sum(), *some, texts, numbered], "<i8").tobytes()
+
+
+def _numbers(total: np.ndarray, least: int | None) -> np.ndarray:
+    """A number for each n-gram that may be a history, in their order; -1 for the others."""
+    may = total >= least if least is not None else np.zeros(len(total), bool)
+    return np.where(may, np.cumsum(may) - 1, -1)
+
+
+def _answer(total: np.ndarray, number: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts for a block, in the order it sent its n-grams, and the numbers of those that have one."""
+    return pack(total.astype(np.uint32)), steps(number[number >= 0])
+
+
+def count_words(n: int, least: int | None):
+    """A bucket's words: total counts and numbers to each block, the table, and counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        if rows[0]["bucket"] >= n:  # the blocks' files pass through
-            out = [(FILE, r["bucket"], r["block"], r["a"], r["b"], b"") for r in rows]
+        bucket = rows[0]["bucket"]
+        if bucket >= n:  # the blocks' files pass through
             learned = sum(int(np.frombuffer(r["b"], "<i8")[0]) for r in rows)
-            return _table([*out, (TOTALS, rows[0]["bucket"], -1, np.array([0, 0, *[0] * (TOP + 1), learned], "<i8").tobytes(), b"", b"")])
+            return _table([*((FILE, bucket, r["block"], r["a"], b"", b"") for r in rows), (TOTALS, bucket, -1, _stats(np.zeros(0, np.int64), 0, learned), b"", b"")])
         keys = [from_steps(r["a"], U64) for r in rows]
         distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(back, np.concatenate([unpack(r["b"], np.uint32) for r in rows]), len(distinct)).astype(np.int64)
-        ends = np.cumsum([len(k) for k in keys])
-        out = [(COUNTS, r["bucket"], r["block"], pack(total[back[e - len(k) : e]].astype(np.uint32)), b"", b"") for r, k, e in zip(rows, keys, ends)]
+        number = _numbers(total, least)
+        out, end = [], 0
+        for r, k in zip(rows, keys):
+            own = back[end : end + len(k)]
+            out.append((COUNTS, bucket, r["block"], *_answer(total[own], number[own]), b""))
+            end += len(k)
         seen = total > 0
-        some = np.bincount(np.minimum(total[seen], TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
-        stats = np.array([total.sum(), seen.sum(), *some, 0], "<i8")
-        bucket = rows[0]["bucket"]
-        return _table([*out, (TABLE, bucket, -1, steps(distinct[seen]), pack(total[seen]), b""), (TOTALS, bucket, -1, stats.tobytes(), b"", b"")])
+        return _table([*out, (TABLE, bucket, -1, steps(distinct[seen]), pack(total[seen]), b""), (TOTALS, bucket, -1, _stats(total, int(number.max(initial=-1)) + 1), b"", b"")])
 
     return run
 
 
-def _in_order(rows: list[dict], kind: int, dtype) -> np.ndarray:
-    """What all buckets sent back to a block, in the order the block sent it."""
-    own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])
-    return np.concatenate([unpack(r["a"], dtype) for r in own]) if own else np.zeros(0, dtype)
-
-
-def send_pairs(n: int):
-    """A block's distinct pairs, with training counts and the words' total counts, to their buckets."""
+def _told(model: Model, level: int, grams: Grams, rows: list[dict]) -> None:
+    """Give a block's n-grams the counts and numbers that the buckets sent back, in the order the block sent them."""
+    stride, least = model.levels[level].stride, model.least(level + 1)
+    own = sorted((r for r in rows if r["kind"] == COUNTS and r["level"] == level), key=lambda r: r["bucket"])
+    counts = [unpack(r["a"], np.uint32) for r in own]
+    ids = []
+    for r, c in zip(own, counts):
+        x = np.full(len(c), -1, np.int64)
+        if least is not None:
+            x[c >= least] = from_steps(r["b"], np.int64) + r["bucket"] * stride
+        ids.append(x)
+    none = [np.zeros(0, np.int64)]
+    grams.told(np.concatenate(counts or none), np.concatenate(ids or none), model.texts, model.buckets * stride)
+
+
+def _alphas(rows: list[dict], level: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, share) of the histories with these numbers; 1 where none was asked for or told."""
+    alpha, share = np.ones(len(ids)), np.ones(len(ids))
+    told = [(from_steps(r["a"], np.int64), unpack(r["b"], np.float64), unpack(r["c"], np.float64)) for r in rows if r["kind"] == ALPHA and r["level"] == level]
+    if told:
+        keys, alphas, shares = (np.concatenate(x) for x in zip(*told))
+        order = np.argsort(keys)
+        at = order[np.minimum(np.searchsorted(keys, ids, sorter=order), len(keys) - 1)]
+        hit = keys[at] == ids
+        alpha[hit], share[hit] = alphas[at[hit]], shares[at[hit]]
+    return alpha, share
+
+
+def _rebuilt(model: Model, levels: int, rows: list[dict]) -> tuple[Block, list[Grams], list[tuple]]:
+    """A block from its file, with its n-grams of the orders counted so far, and (alpha, share) by history for each."""
+    b = Block.load(next(r["a"] for r in rows if r["kind"] == FILE).decode())
+    grams, backoff = [Grams(len(b.vocabulary), b.tokens.astype(np.int64))], [()]
+    _told(model, 0, grams[0], rows)
+    for level in range(1, levels):
+        grams.append(b.grams(model, level, grams[-1]))
+        _told(model, level, grams[-1], rows)
+        backoff.append(_alphas(rows, level, grams[-2].ids))
+    return b, grams, backoff
+
+
+def send(model: Model, level: int):
+    """A block's n-grams of an order to their buckets: numbers of history and word, own count, count of the suffix."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        b = Block.load(next(r["a"] for r in rows if r["kind"] == FILE).decode())
-        counts = _in_order(rows, COUNTS, np.uint32)
-        group, h, _, word, number, pair = b.pairs()
-        own = np.bincount(pair[b.per_token(b.learn) > 0], minlength=len(group)).astype(np.uint32)
-        bounds = np.searchsorted(_range_of(group, n), np.arange(n + 1))
+        b, known, backoff = _rebuilt(model, level, rows)
+        below, block = known[-1], rows[0]["block"]
+        g = b.grams(model, level, below)
+        own = np.bincount(g.token[b.per_token(b.learn) > 0], minlength=g.size + 2)[: g.size].astype(np.uint32)
+        suffix = below.counts[below.token[g.sample]]
+        h, w = below.ids[g.history], known[0].ids[g.word]
+        if level == 1:
+            lower = np.full(g.size, model.whole, np.int64)
+        else:  # the denominator of the suffix's own history
+            before = known[-1].before[g.sample]
+            lower = known[-2].counts[before] + (backoff[-1][1][before] < 1)
         out = []
-        for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            if x < y:
-                at = _runs(group[x:y])
-                w = word[x:y].copy()
-                delta = np.diff(w, prepend=U64(0))
-                delta[at] = w[at]  # words ascend within a run of one context
-                lens = np.diff(np.append(at, y - x)).astype(np.uint32)
-                out.append((COUNTS, i, rows[0]["block"], pack(h[x:y][at]), _join((pack(lens), pack(delta))), _join((pack(own[x:y]), pack(counts[number[x:y]])))))
-        return _table(out)
+        for x, y in _cuts(g.bucket):
+            at = x + _runs(h[x:y])
+            out.append((COUNTS, int(g.bucket[x]), block, pack_pairs(h[x:y], w[x:y]), _join(pack(own[x:y]), pack(suffix[x:y].astype(np.uint32))), _join(pack(below.counts[g.history[at]]), pack(lower[at]))))
+        # what was not sent is below its cutoff here: its history is asked at once
+        unsent = g.before[g.token > g.size]
+        asked = np.unique(below.ids[unsent])
+        asked = asked[asked >= 0]
+        return _table(out + _asks(model, level, asked, np.full(len(asked), block, np.int64)))
 
     return run
 
 
-def _join(two: tuple[bytes, bytes]) -> bytes:
-    """Two packed arrays in one column; the first one's length leads."""
-    return len(two[0]).to_bytes(8, "little") + two[0] + two[1]
+def _asks(model: Model, level: int, ids: np.ndarray, blocks: np.ndarray) -> list[tuple]:
+    """Questions for histories' alphas, to their homes."""
+    home = np.minimum(ids // model.levels[level - 1].stride, model.buckets - 1)
+    by = np.lexsort((blocks, ids, home))
+    home, ids, blocks = home[by], ids[by], blocks[by]
+    return [(ASK, int(home[x]), -1, steps(ids[x:y]), pack(blocks[x:y]), b"") for x, y in _cuts(home)]
 
 
-def _halves(data: bytes) -> tuple[bytes, bytes]:
-    n = int.from_bytes(data[:8], "little")
-    return data[8 : 8 + n], data[8 + n :]
+_SUMS = 2 * (TOP + 1) + 2  # of a history: the counts that reach the cutoff, how many by count 1..TOP, the same of the suffixes, its own count, their denominator
 
 
-_SUMS = 2 + 2 * TOP + 1  # of a context: its count, pairs by count 1..TOP, the words' counts, words by count 1..TOP, pairs
-
-
-def count_pairs(n: int):
-    """A bucket's pairs: total counts to each block, the table, counts of counts, and what contexts are asked or told."""
+def count_grams(model: Model, level: int):
+    """A bucket's n-grams: total counts and numbers to each block, the table, sums of histories and questions for alphas."""
+    cutoff, least = model.cutoffs[level], model.least(level + 1)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        hs, ws, own, unigram, sizes = [], [], [], [], []
+        rows, bucket = table.to_pylist(), table.column("bucket")[0].as_py()
+        out = [(ASK, bucket, -1, r["a"], r["b"], b"") for r in rows if r["kind"] == ASK]
+        rows = [r for r in rows if r["kind"] == COUNTS]
+        if not rows:
+            return _table([*out, (TOTALS, bucket, -1, _stats(np.zeros(0, np.int64), 0), b"", b"")])
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
         for r in rows:
-            lens, delta = _halves(r["b"])
-            mine, words_ = _halves(r["c"])
-            lens, delta = unpack(lens, np.uint32).astype(np.int64), unpack(delta, U64)
-            start = np.cumsum(lens) - lens
-            total = np.cumsum(delta, dtype=U64)
-            ws.append(total - np.repeat(total[start] - delta[start], lens))
-            hs.append(np.repeat(unpack(r["a"], U64), lens))
-            own.append(unpack(mine, np.uint32))
-            unigram.append(unpack(words_, np.uint32))
-            sizes.append(len(delta))
-        h, w, own, unigram = map(np.concatenate, (hs, ws, own, unigram))
-        order = np.lexsort((w, h))
+            h, w, run_ = unpack_pairs(r["a"])
+            own, suffix = (unpack(x, np.uint32) for x in _parts(r["b"]))
+            count, lower = (unpack(x, np.int64)[run_] for x in _parts(r["c"]))
+            for c, x in zip(columns, (h, w, own, suffix, count, lower)):
+                c.append(x)
+        sizes = [len(x) for x in columns[0]]
+        h, w, own, suffix, count, lower = map(np.concatenate, columns)
+        del columns
+        order = _pair_order(h, w)
         new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
-        at = np.flatnonzero(new)
-        pair = np.empty(len(h), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        total = np.bincount(pair, own, len(at)).astype(np.int64)
-        h1, w1, u1 = h[order][at], w[order][at], unigram[order][at].astype(np.int64)
-        bucket, out, end = rows[0]["bucket"], [], 0
-        discounted = np.unique(h1[(total > 0) & (total <= TOP)])
-        asks, askers = [], []
+        gram = np.empty(len(h), np.int64)
+        gram[order] = np.cumsum(new) - 1
+        first = order[new]
+        total = np.bincount(gram, own, len(first)).astype(np.int64)
+        number = _numbers(total, least)
+        kept = total >= cutoff
+        h1, w1, kept_total = h[first][kept], w[first][kept], total[kept]
+        discounted = np.zeros(len(h), bool)  # histories that surely have something freed
+        if cutoff == 1:
+            discounted = np.isin(h, np.unique(h1[kept_total <= TOP]))
+        asks, askers, end = [], [], 0
         for r, size in zip(rows, sizes):
-            mine, context = total[pair[end : end + size]], h[end : end + size]
-            out.append((COUNTS, bucket, r["block"], pack(mine.astype(np.uint32)), b"", b""))
-            # an unseen pair needs its context's alpha; where no pair here is discounted, perhaps none is at all
-            asks.append(np.unique(context[(mine == 0) | ~np.isin(context, discounted)]))
+            mine = gram[end : end + size]
+            out.append((COUNTS, bucket, r["block"], *_answer(total[mine], number[mine]), b""))
+            # an n-gram below the cutoff needs its history's alpha; where nothing is discounted here, perhaps nothing is at all
+            asks.append(np.unique(h[end : end + size][(total[mine] < cutoff) | ~discounted[end : end + size]]))
             askers.append(np.full(len(asks[-1]), r["block"], np.int64))
             end += size
-        asks, askers = np.concatenate(asks), np.concatenate(askers)
-        home = _range_of(mix(asks), n)
-        by = np.argsort(home, kind="stable")
-        cuts = _runs(home[by])
-        out += [(ASK, int(home[by[x]]), -1, pack(asks[by[x:y]]), pack(askers[by[x:y]]), b"") for x, y in zip(cuts, [*cuts[1:], len(by)])]
-        seen = total > 0
-        h1, w1, u1, total = h1[seen], w1[seen], u1[seen], total[seen]
+        out += _asks(model, level, np.concatenate(asks), np.concatenate(askers))
         starts = _runs(h1)
-        lens = np.diff(np.append(starts, len(h1)))
         sums = np.zeros((len(starts), _SUMS), np.int64)
         if len(starts):
+            lows = suffix[first][kept].astype(np.int64)
             add = lambda x: np.add.reduceat(x.astype(np.int64), starts)
-            sums[:, 0], sums[:, TOP + 1], sums[:, -1] = add(total), add(u1), lens
+            sums[:, 0], sums[:, TOP + 1] = add(kept_total), add(lows)
             for r in range(1, TOP + 1):
-                sums[:, r], sums[:, TOP + 1 + r] = add(total == r), add(u1 == r)
-        home = _range_of(mix(h1[starts]), n)
+                sums[:, r], sums[:, TOP + 1 + r] = add(kept_total == r), add(lows == r)
+            sums[:, -2], sums[:, -1] = count[first][kept][starts], lower[first][kept][starts]
+        ids = h1[starts]
+        home = np.minimum(ids // model.levels[level - 1].stride, model.buckets - 1)
         by = np.argsort(home, kind="stable")
-        cuts = _runs(home[by])
-        out += [(CONTEXT, int(home[by[x]]), -1, pack(h1[starts][by[x:y]]), pack(sums[by[x:y]].ravel()), b"") for x, y in zip(cuts, [*cuts[1:], len(by)])]
-        some = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
-        stats = np.array([total.sum(), len(total), *some, 0], "<i8")
-        return _table([*out, (TABLE, bucket, -1, pack(h1[starts]), pack(lens), _join((pack(w1), pack(total)))), (TOTALS, bucket, -1, stats.tobytes(), b"", b"")])
+        out += [(CONTEXT, int(home[by[x]]), -1, steps(ids[by[x:y]]), pack(sums[by[x:y]].T.ravel()), b"") for x, y in _cuts(home[by])]
+        return _table([*out, (TABLE, bucket, -1, pack_pairs(h1, w1), pack(kept_total.astype(np.uint32)), b""), (TOTALS, bucket, -1, _stats(total, int(number.max(initial=-1)) + 1), b"", b"")])
 
     return run
 
 
-class Discounts:
-    """Good-Turing ratios d_1..d_TOP from counts of counts n_1..n_(TOP+1), renormalised so that counts above TOP stay.
-
-    Where the counts are too few for Katz's formula to give ratios in (0, 1), d_r = (r - b) / r with b = n1 / (n1 + 2 n2).
-    """
-
-    def __init__(self, n: list[int]):
-        k, d = TOP, []
-        if all(n) and (k + 1) * n[k] < n[0]:
-            cut = (k + 1) * n[k] / n[0]
-            d = [((r + 1) * n[r] / (r * n[r - 1]) - cut) / (1 - cut) for r in range(1, k + 1)]
-        if not d or not all(0 < x < 1 for x in d):
-            b = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-            d = [(r - b) / r for r in range(1, k + 1)]
-        self.d = np.array([1.0, *d])  # d[0] unused
-
-    def ratio(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts <= TOP, self.d[np.minimum(counts, TOP)], 1.0)
-
-    def freed(self, some: np.ndarray) -> np.ndarray:
-        """Mass in counts that the ratios take away, from numbers of counts 1..TOP (last axis)."""
-        return (some * ((1 - self.d[1:]) * np.arange(1, TOP + 1))).sum(axis=-1)
-
-
-class Model:
-    """Totals of the training and what follows from them: N, V, both discounts, the unseen words' share."""
-
-    def __init__(self, unigram: np.ndarray, pairs: np.ndarray):
-        self.n, self.v, self.texts = int(unigram[0]), int(unigram[1]), int(unigram[-1])
-        self.one, self.two = Discounts(unigram[2 : 3 + TOP].tolist()), Discounts(pairs[2 : 3 + TOP].tolist())
-        freed = float(self.one.freed(unigram[2 : 2 + TOP]))
-        self.scale = 1.0 / self.n if freed > 0 else 1.0 / (self.n + 1)  # if nothing is freed, unseen words get one count
-        self.unseen = freed / self.n if freed > 0 else 1.0 / (self.n + 1)
-
-    def word(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.one.ratio(c) * c * self.scale, self.unseen)
-
-    def context(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(denominator, alpha) of contexts from their sums; without a discounted pair an extra count is what is freed."""
-        c, freed = sums[:, 0].astype(np.float64), self.two.freed(sums[:, 1 : 1 + TOP])
-        whole = np.where(freed > 0, c, c + 1)
-        seen = (sums[:, TOP + 1] - self.one.freed(sums[:, TOP + 2 : TOP + 2 + TOP])) * self.scale
-        return whole, np.where(freed > 0, freed, 1.0) / whole / np.maximum(1 - seen, 1e-300)
-
-
-def answer(model: Model):
-    """Alpha of the contexts that each block asks for; contexts unseen in training are left out (alpha 1)."""
+def answer(model: Model, level: int):
+    """Alpha and share of the histories that each block asks for; those without n-grams above the cutoff are left out (alpha 1)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        told = [r for r in rows if r["kind"] == CONTEXT]
-        if not told:
+        told, asks = [r for r in rows if r["kind"] == CONTEXT], [r for r in rows if r["kind"] == ASK]
+        if not told or not asks:
             return _table([])
-        keys, back = np.unique(np.concatenate([unpack(r["a"], U64) for r in told]), return_inverse=True)
+        ids = np.concatenate([from_steps(r["a"], np.int64) for r in told])
+        parts = np.concatenate([unpack(r["b"], np.int64).reshape(_SUMS, -1).T for r in told])
+        keys, back = np.unique(ids, return_inverse=True)
         sums = np.zeros((len(keys), _SUMS), np.int64)
-        np.add.at(sums, back, np.concatenate([unpack(r["b"], np.int64).reshape(-1, _SUMS) for r in told]))
-        whole, alpha = model.context(sums)
-        share = sums[:, 0] / np.maximum(whole, 1)
-        asks = [r for r in rows if r["kind"] == ASK]
-        key = np.concatenate([unpack(r["a"], U64) for r in asks]) if asks else np.zeros(0, U64)
-        block = np.concatenate([unpack(r["b"], np.int64) for r in asks]) if asks else np.zeros(0, np.int64)
+        np.add.at(sums[:, :-2], back, parts[:, :-2])
+        sums[back, -2:] = parts[:, -2:]  # the same in all parts of a history
+        share, alpha = model.history(level, sums)
+        key, block = np.concatenate([from_steps(r["a"], np.int64) for r in asks]), np.concatenate([unpack(r["b"], np.int64) for r in asks])
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         hit = keys[at] == key
         at, block = at[hit], block[hit]
         by = np.lexsort((at, block))
         by = by[np.concatenate([[True], (at[by][1:] != at[by][:-1]) | (block[by][1:] != block[by][:-1])])] if len(by) else by
         at, block = at[by], block[by]
-        cuts = _runs(block)
-        out = [(ALPHA, rows[0]["bucket"], int(block[x]), pack(keys[at[x:y]]), pack(alpha[at[x:y]]), pack(share[at[x:y]])) for x, y in zip(cuts, [*cuts[1:], len(at)])]
-        return _table(out)
+        return _table([(ALPHA, rows[0]["bucket"], int(block[x]), steps(keys[at[x:y]]), pack(alpha[at[x:y]]), pack(share[at[x:y]])) for x, y in _cuts(block)])
 
     return run
 
 
 def evaluate(model: Model):
-    """Scores of a block's texts from its file, its words' and pairs' counts, and the alphas it asked for."""
+    """Scores of a block's texts from its file, its n-grams' counts and the alphas it asked for, order by order."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        b = Block.load(next(r["a"] for r in rows if r["kind"] == FILE).decode())
-        counts = _in_order(rows, COUNTS, np.uint32).astype(np.int64)
-        _, h, at, _, number, pair = b.pairs()
-        together = _in_order(rows, PAIRS, np.uint32).astype(np.int64)
-        # a context's count: a word is followed by one token wherever it stands, the start begins every text
-        context = np.append(counts, model.texts)[at]
-        alpha, share = np.ones(len(h)), np.ones(len(h))
-        if asked := [[unpack(r[c], kind) for c, kind in (("a", U64), ("b", np.float64), ("c", np.float64))] for r in rows if r["kind"] == ALPHA]:
-            keys, alphas, shares = (np.concatenate(x) for x in zip(*asked))
-            order = np.argsort(keys)
-            at = order[np.minimum(np.searchsorted(keys, h, sorter=order), len(keys) - 1)]
-            hit = keys[at] == h
-            alpha[hit], share[hit] = alphas[at[hit]], shares[at[hit]]
-        seen = together > 0
-        p = np.where(seen, share * model.two.ratio(together) * together / np.maximum(context, 1), alpha * model.word(counts[number]))
-        each = np.log10(p)[pair]
-        base = np.log10((counts + 1) / (model.n + model.v + 1))[b.tokens]
-        known = (counts > 0)[b.tokens]
+        b, grams, backoff = _rebuilt(model, len(model.levels), table.to_pylist())
+        counts = grams[0].counts[b.tokens]
+        p = model.word(counts)
+        for level, (below, g, (alpha, share)) in enumerate(zip(grams, grams[1:], backoff[1:]), 1):
+            c, h = g.counts[g.token], g.before
+            seen = c >= model.levels[level].cutoff
+            p = np.where(seen, share[h] * model.levels[level].discounts.ratio(c) * c / np.maximum(below.counts[h], 1), alpha[h] * p)
+        base, known = np.log10((counts + 1) / (model.n + model.v + 1)), (counts > 0).astype(np.int64)
         total = lambda x: np.add.reduceat(x, b.first[:-1]) if len(x) else np.zeros(0)
-        return pa.table({"id": pa.array(b.ids, mask=b.valid == 0), "held_out": pa.array(b.learn == 0), "n_tokens": pa.array(np.diff(b.first)), "n_known": pa.array(total(known.astype(np.int64))), "base_score": pa.array(total(base)), "score": pa.array(total(each))})
+        return pa.table({"id": pa.array(b.ids, mask=b.valid == 0), "held_out": pa.array(b.learn == 0), "n_tokens": pa.array(np.diff(b.first)), "n_known": pa.array(total(known)), "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(p)))})
 
     return run
 
@@ -407,33 +541,42 @@ def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def _totals(stored: DataFrame) -> np.ndarray:
-    """Sums over the buckets' few numbers, a row a bucket."""
-    rows = stored.filter(F.col("kind") == TOTALS).select("a").collect()
-    return sum((np.frombuffer(r.a, "<i8") for r in rows), np.zeros(TOP + 4, np.int64))
+    """Sums over the buckets' few numbers, a row a bucket; of the last, the largest."""
+    rows = [np.frombuffer(r.a, "<i8") for r in stored.filter(F.col("kind") == TOTALS).select("a").collect()]
+    rows = np.array(rows or [np.zeros(TOP + 5, np.int64)])
+    return np.append(rows[:, :-1].sum(axis=0), rows[:, -1].max())
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, order: int = ORDER, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
     The model learns from the rows whose crc32 of the id as text mod ``folds`` is not ``held_out``. ``score`` is the
     log10 probability of the whole text, end included; ``base_score`` that of add-one counts of single tokens.
+    ``cutoffs``: the least count of n-grams of each order, not falling; the last one holds for further orders.
 
     Cases: null text counts as empty and is one token, the end; a null id counts as "" for the fold; repeated rows are
     learned as often as they occur; rows of one id with different texts are texts of their own; an empty table gives
     no rows; without training rows every token is unseen; other columns are ignored, whatever their names.
     """
-    n = buckets(spark)
+    cutoffs = (cutoffs + cutoffs[-1:] * order)[:order]
+    if cutoffs[0] != 1 or list(cutoffs) != sorted(cutoffs):
+        raise ValueError("cutoffs begin with 1 and don't fall")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    n = buckets(spark, rows)
     folder = scratch(spark, "blocks")
     system, at = fs.FileSystem.from_uri(folder)
     system.create_dir(at, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    by_word = rows.mapInArrow(make_blocks(folder, n, folds, held_out), SCHEMA).groupBy("bucket").applyInArrow(count_words(n), SCHEMA)
-    by_word = _stored(spark, by_word, "words")
-    mine = by_word.filter(F.col("kind").isin(FILE, COUNTS))
-    by_pair = mine.repartition(n, "block").groupBy("block").applyInArrow(send_pairs(n), SCHEMA).repartition(n, "bucket").groupBy("bucket").applyInArrow(count_pairs(n), SCHEMA)
-    by_pair = _stored(spark, by_pair, "pairs")
-    model = Model(_totals(by_word), _totals(by_pair))
-    alphas = by_pair.filter(F.col("kind").isin(CONTEXT, ASK)).groupBy("bucket").applyInArrow(answer(model), SCHEMA)
-    pairs = by_pair.filter(F.col("kind") == COUNTS).withColumn("kind", F.lit(PAIRS))
-    out = mine.unionByName(pairs).unionByName(alphas).groupBy("block").applyInArrow(evaluate(model), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    by_word = rows.mapInArrow(make_blocks(folder, n, folds, held_out), SCHEMA).groupBy("bucket").applyInArrow(count_words(n, min(cutoffs[1], 2) if order > 1 else None), SCHEMA)
+    by_word = _stored(spark, by_word, "order1")
+    model = Model(n, cutoffs, _totals(by_word))
+    level_of = lambda df, level: df.withColumn("level", F.lit(level))
+    known = level_of(by_word.filter(F.col("kind").isin(FILE, COUNTS)), 0)
+    for level in range(1, order):
+        sent = known.repartition(n, "block").groupBy("block").applyInArrow(send(model, level), SCHEMA).repartition(n, "bucket")
+        found = _stored(spark, sent.groupBy("bucket").applyInArrow(count_grams(model, level), SCHEMA), f"order{level + 1}")
+        model.learn(_totals(found))
+        alphas = found.filter(F.col("kind").isin(CONTEXT, ASK)).groupBy("bucket").applyInArrow(answer(model, level), SCHEMA)
+        alphas = _stored(spark, alphas, f"alpha{level + 1}")
+        known = known.unionByName(level_of(found.filter(F.col("kind") == COUNTS), level)).unionByName(level_of(alphas, level))
+    out = known.repartition(n, "block").groupBy("block").applyInArrow(evaluate(model), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -156,63 +156,100 @@ def test_line_rules_on_small_lines(spark):
     assert got == sorted(map(str, [(1, rows[0][1], 4, 0), (2, short, 2, 1), (3, "y", 1, 0), (None, "x", 2, 1), (None, None, 0, 0)]))
 
 
-def model_of(rows, folds=7, out=2):
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    texts = [(k, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [None]) for k, t in rows]
-    held = lambda k: zlib.crc32(b"" if k is None else str(k).encode()) % folds == out
-    c1, c2, ch, after = Counter(), Counter(), Counter(), defaultdict(set)
-    for k, t in texts:
-        if not held(k):
-            for h, w in zip([0, *t], t):
-                c1[w] += 1
-                c2[h, w] += 1
-                ch[h] += 1
-                after[h].add(w)
-    n = sum(c1.values())
-    some = lambda c: [sum(x == r for x in c.values()) for r in range(1, katz.TOP + 2)]
-    d1, d2 = katz.Discounts(some(c1)).d, katz.Discounts(some(c2)).d
-    ratio = lambda d, c: d[c] if c <= katz.TOP else 1.0
-    freed = sum((1 - d1[c]) * c for c in c1.values() if c <= katz.TOP)
-    scale, unseen = (1 / n, freed / n) if freed > 0 else (1 / (n + 1), 1 / (n + 1))
-    p1 = lambda w: ratio(d1, c1[w]) * c1[w] * scale if w in c1 else unseen
-
-    def p(h, w):
-        if h not in ch:
-            return p1(w)
-        whole = ch[h] if any(c2[h, x] <= katz.TOP for x in after[h]) else ch[h] + 1
-        if (h, w) in c2:
-            return ratio(d2, c2[h, w]) * c2[h, w] / whole
-        left = 1 - sum(ratio(d2, c2[h, x]) * c2[h, x] for x in after[h]) / whole
-        return left / (1 - sum(map(p1, after[h]))) * p1(w)
-
-    return texts, held, c1, n, ch, p
-
-
-@pytest.mark.parametrize("top", [5, 1])
-def test_katz(spark, corpus, odd, none, monkeypatch, top):
+def good_turing(counts, cutoff):
+    """Ratios by count, from the textbook formula; absolute discounting where that gives none in (0, 1)."""
+    n = Counter(counts)
+    k = 5
+    ratio = {}
+    if all(n[r] for r in range(1, k + 2)) and (k + 1) * n[k + 1] < n[1]:
+        for r in range(1, k + 1):
+            better = (r + 1) * n[r + 1] / n[r]
+            ratio[r] = (better / r - (k + 1) * n[k + 1] / n[1]) / (1 - (k + 1) * n[k + 1] / n[1])
+    if not ratio or not all(0 < ratio[r] < 1 for r in range(cutoff, k + 1)):
+        less = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        ratio = {r: (r - less) / r for r in range(1, k + 1)}
+    return lambda c: ratio.get(c, 1.0)
+
+
+class Brute:
+    """The model as it is stated, over tuples."""
+
+    def __init__(self, rows, order, cutoffs, folds=7, out=2):
+        low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        self.texts = [(k, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [None]) for k, t in rows]
+        self.held = lambda k: zlib.crc32(b"" if k is None else str(k).encode()) % folds == out
+        self.order, self.cutoffs = order, cutoffs
+        self.grams = [Counter() for _ in range(order)]
+        self.before = [Counter() for _ in range(order)]
+        self.after = [defaultdict(set) for _ in range(order)]
+        for k, t in self.texts:
+            if not self.held(k):
+                padded = [0] * (order - 1) + t
+                for i in range(order - 1, len(padded)):
+                    for m in range(order):
+                        h, w = tuple(padded[i - m : i]), padded[i]
+                        self.grams[m][h, w] += 1
+                        self.before[m][h] += 1
+                        self.after[m][h].add(w)
+        self.d = [good_turing(g.values(), c) for g, c in zip(self.grams, cutoffs)]
+        self.n = sum(self.grams[0].values())
+        self.words = {w for _, w in self.grams[0]}
+        self.cache = {}
+
+    def p(self, h, w):
+        if (h, w) not in self.cache:
+            self.cache[h, w] = self._p(h, w)
+        return self.cache[h, w]
+
+    def _p(self, h, w):
+        m = len(h)
+        if m == 0:
+            freed = sum((1 - self.d[0](c)) * c for c in self.grams[0].values())
+            whole = self.n if freed > 0 else self.n + 1
+            c = self.grams[0][(), w]
+            return self.d[0](c) * c / whole if c else (freed or 1) / whole
+        kept = [x for x in self.after[m][h] if self.grams[m][h, x] >= self.cutoffs[m]]
+        if not kept:
+            return self.p(h[1:], w)
+        mass = sum(self.d[m](self.grams[m][h, x]) * self.grams[m][h, x] for x in kept)
+        whole = self.before[m][h] if any(self.grams[m][h, x] <= 5 for x in kept) or len(kept) < len(self.after[m][h]) else self.before[m][h] + 1
+        if w in kept:
+            return self.d[m](self.grams[m][h, w]) * self.grams[m][h, w] / whole
+        if (h, 0) not in self.cache:
+            self.cache[h, 0] = (1 - mass / whole) / (1 - sum(self.p(h[1:], x) for x in kept))
+        return self.cache[h, 0] * self.p(h[1:], w)
+
+
+@pytest.mark.parametrize("order,cutoffs", [(3, (1, 1, 2)), (3, (1, 1, 1)), (2, (1, 1)), (4, (1, 2, 2, 3)), (1, (1,))])
+def test_katz(spark, corpus, odd, none, monkeypatch, order, cutoffs):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(katz, "SALT_AT", 7)
     frames = [corpus.select("doc_id", "text"), odd.select("doc_id", "text").filter("doc_id is null or doc_id <> 6")]
     frames.append(spark.createDataFrame([(i, "a b a b " * 20) for i in range(12)], "doc_id long, text string"))  # no count is small
-    for frame in frames:
+    for frame in frames if order == 3 else frames[:1]:
         rows = [(r.doc_id, r.text) for r in frame.collect()]
-        texts, held, c1, n, ch, p = model_of(rows)
-        for h in list(ch)[:5]:
-            assert math.isclose(sum(p(h, w) for w in c1) + p(h, "\x01never"), 1, rel_tol=1e-9)
+        brute = Brute(rows, order, cutoffs)
+        for m in range(order):  # a distribution at each order
+            for h in sorted(brute.before[m], key=str)[:: max(1, len(brute.before[m]) // 5)][:6]:
+                assert math.isclose(sum(brute.p(h, w) for w in brute.words) + brute.p(h, "\x01never"), 1, rel_tol=1e-9)
         want = []
-        for k, t in texts:
-            base = sum(math.log10((c1[w] + 1) / (n + len(c1) + 1)) for w in t)
-            score = sum(math.log10(p(h, w)) for h, w in zip([0, *t], t))
-            want.append((str(k), held(k), len(t), sum(w in c1 for w in t), n, round(base, 6), round(score, 6)))
-        got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score_texts(spark, frame).collect()]
+        for k, t in brute.texts:
+            base = sum(math.log10((brute.grams[0][(), w] + 1) / (brute.n + len(brute.words) + 1)) for w in t)
+            padded = [0] * (order - 1) + t
+            score = sum(math.log10(brute.p(tuple(padded[i - order + 1 : i]), padded[i])) for i in range(order - 1, len(padded)))
+            want.append((str(k), brute.held(k), len(t), sum(w in brute.words for w in t), brute.n, round(base, 6), round(score, 6)))
+        got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score_texts(spark, frame, order=order, cutoffs=cutoffs).collect()]
         for g, w in zip(sorted(got), sorted(want)):
             assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], abs=1e-5)
         assert len(got) == len(want)
-        if top == 1:
-            break
-    if top == 5:
-        assert katz.score_texts(spark, odd).count() == len(ODD)
-        assert katz.score_texts(spark, none).count() == 0
-        assert katz.score_texts(spark, frames[0], folds=1, held_out=0).filter("n_known > 0 or train_tokens > 0 or not held_out").count() == 0
+
+
+def test_katz_on_odd_rows(spark, corpus, odd, none):
+    assert katz.score_texts(spark, odd).count() == len(ODD)
+    assert katz.score_texts(spark, none).count() == 0
+    assert katz.score_texts(spark, corpus, folds=1, held_out=0).filter("n_known > 0 or train_tokens > 0 or not held_out").count() == 0
+    with pytest.raises(ValueError):
+        katz.score_texts(spark, none, cutoffs=(1, 3, 2))
 
 
 def test_packing():
