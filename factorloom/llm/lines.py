@@ -4,7 +4,7 @@ A line is cut into tokens at ``[\x20\x09-\x0D]+``; tokens with a digit are varia
 tree of fixed depth: by its number of tokens, then by its ``depth`` leading tokens. In the leaf the rest of the line
 is cut into ``RUNS`` runs of tokens, equally long but for one. Lines of ``LONG`` tokens and more share one branch, as
 a word more or less changes both their number and their places; their runs are the five tokens around the longest
-token (of equally long ones the greatest, then the first) of each fifth of the line.
+token (of equally long ones the first) of each fifth of the line.
 
 Lines of a leaf that have a run in common meet at the first of them, its head, in the order of an md5 of the masked
 line. A line that meets one head by ``SHARE`` of its runs belongs to that head's template, where all that differs is
@@ -33,8 +33,8 @@ def _bind(x: Column, f) -> Column:
 
 def masked(line: Column) -> Column:
     """Tokens of a line, those with a digit as ``<*>``."""
-    tokens = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
+    tokens = F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
+    return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(tokens)
 
 
 def place(tokens: Column, depth: int = DEPTH) -> Column:
@@ -55,13 +55,16 @@ def place(tokens: Column, depth: int = DEPTH) -> Column:
             a, b = cut(rest, j), cut(rest, j + 1)
             return F.when(a < b, F.xxhash64(path, j, F.slice(t, F.least(n, F.lit(depth)) + a + 1, b - a)))
 
-        def long(j: Column) -> Column:
-            a, b = cut(n, j), cut(n, j + 1)
-            best = F.array_max(F.transform(F.slice(t, a + 1, b - a), lambda x, i: F.struct(F.length(x).alias("l"), x.alias("t"), (-i).alias("i"))))
-            return _bind(a - best["i"], lambda at: F.xxhash64(F.lit(-1), F.slice(t, F.greatest(at - 2, F.lit(0)) + 1, F.lit(5))))
+        def long(lengths: Column) -> Column:
+            def run(j: Column) -> Column:
+                a, b = cut(n, j), cut(n, j + 1)
+                best = _bind(F.slice(lengths, a + 1, b - a), lambda x: F.array_position(x, F.array_max(x)).cast("int"))
+                return F.xxhash64(F.lit(-1), F.slice(t, F.greatest(a + best - 2, F.lit(1)), F.lit(5)))
+
+            return F.transform(numbers, run)
 
         numbers = F.array(*map(F.lit, range(RUNS)))
-        keys = F.when(n >= LONG, F.transform(numbers, long)).otherwise(F.filter(F.transform(numbers, short), lambda k: k.isNotNull()))
+        keys = F.when(n >= LONG, _bind(F.transform(t, lambda x: F.length(x)), long)).otherwise(F.filter(F.transform(numbers, short), lambda k: k.isNotNull()))
         return F.struct(n.alias("n"), line.alias("line"), F.ceil(F.when(n >= LONG, RUNS).otherwise(F.least(rest, F.lit(RUNS))) * SHARE / 100).cast("int").alias("need"), keys.alias("keys"))
 
     return _bind(tokens, of)
@@ -126,7 +129,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     __fl_ on are reserved); a document all of whose lines recur ends as "".
     """
     lines = grouped(spark, _rows(docs, id_col, text_col), depth)
-    hits = lines.join(common(lines, **how), "template").filter(F.col("id").isNull() | (F.col("id") != F.col("first")))
+    hits = lines.join(materialize(spark, common(lines, **how), "common"), "template").filter(F.col("id").isNull() | (F.col("id") != F.col("first")))
     drops = hits.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("at"))  # lines of one text
     drops = drops.select(F.col("id").alias("__fl_id"), F.col("text_hash").alias("__fl_hash"), F.col("at").alias("__fl_drop"))
     out = docs.join(drops.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__fl_id")) & (F.xxhash64(text_col) == F.col("__fl_hash")), "left")

@@ -110,7 +110,7 @@ u AS (SELECT DISTINCT line, t, n FROM t WHERE n > 0),
 j AS (SELECT unnest(range({lines.RUNS})) j),
 short AS (SELECT line, j, least(n - {lines.DEPTH}, {lines.RUNS}) r, n || ' ' || array_to_string(t[:{lines.DEPTH}], ' ') || ' ' || j || ' ' || array_to_string(t[{lines.DEPTH} + (n - {lines.DEPTH}) * j // {lines.RUNS} + 1:{lines.DEPTH} + (n - {lines.DEPTH}) * (j + 1) // {lines.RUNS}], ' ') k FROM u, j WHERE n < {lines.LONG} AND n > {lines.DEPTH} AND (n - {lines.DEPTH}) * j // {lines.RUNS} < (n - {lines.DEPTH}) * (j + 1) // {lines.RUNS}),
 words AS (SELECT line, t, n, unnest(t) x, generate_subscripts(t, 1) - 1 i FROM u WHERE n >= {lines.LONG}),
-best AS (SELECT line, j, t, greatest(i - 2, 0) a FROM words JOIN j ON n * j // {lines.RUNS} <= i AND i < n * (j + 1) // {lines.RUNS} QUALIFY row_number() OVER (PARTITION BY line, j ORDER BY length(x) DESC, x DESC, i) = 1),
+best AS (SELECT line, j, t, greatest(i - 2, 0) a FROM words JOIN j ON n * j // {lines.RUNS} <= i AND i < n * (j + 1) // {lines.RUNS} QUALIFY row_number() OVER (PARTITION BY line, j ORDER BY length(x) DESC, i) = 1),
 runs AS (SELECT line, j, ceil(r * {lines.SHARE} / 100) need, k FROM short UNION ALL SELECT line, j, ceil({lines.RUNS} * {lines.SHARE} / 100), 'long ' || array_to_string(t[a + 1:a + 5], ' ') FROM best),
 heads AS (SELECT k, min(line) head FROM runs GROUP BY 1 HAVING min(line) <> max(line)),
 met AS (SELECT line, head FROM runs JOIN heads USING (k) WHERE line <> head GROUP BY 1, 2 HAVING count(DISTINCT j) >= max(need)),

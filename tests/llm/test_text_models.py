@@ -69,7 +69,7 @@ def brute_keys(t, depth):
     for j in range(lines.RUNS):
         if n >= lines.LONG:
             a, b = n * j // lines.RUNS, n * (j + 1) // lines.RUNS
-            at = max(range(a, b), key=lambda i: (len(t[i]), t[i].encode(), -i))
+            at = max(range(a, b), key=lambda i: (len(t[i]), -i))
             out.append((-1, *t[max(at - 2, 0) : max(at - 2, 0) + 5]))
         elif n > depth:
             a, b = (n - depth) * j // lines.RUNS, (n - depth) * (j + 1) // lines.RUNS
