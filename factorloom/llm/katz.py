@@ -11,14 +11,14 @@ with Good-Turing discounts d_r for counts r up to 5, and alpha(h) = (1 - sum of
 sum of their p(w | h')): a distribution for every history, exactly. The usual cutoffs are 1, 1 and 2: a triple seen
 once says nothing.
 
-Nothing the size of the vocabulary or of an n-gram table is in one place. Texts form blocks of some 2 million tokens,
+Nothing the size of the vocabulary or of an n-gram table is in one place. Texts form blocks of some 1.5 million tokens,
 kept as files in the shared folder. Order by order, each block sends its distinct n-grams to buckets, where counts are
 summed, stored as Parquet tables partitioned by kind, and sent back, with a number for each n-gram that may go on as
 a history. From the second order on an n-gram is a pair of such numbers, of history and word, so only words are ever
 told apart by a hash (64 bits, see ``hash_spans``). An n-gram can't reach its cutoff unless its history and its
 suffix do; those below 2 stay in their block, as a single one is known to be single. N-grams are dealt by history; a history seen more than ``SALT_AT`` times is
 dealt in parts by word, so that none fills a task, and what alpha needs are whole numbers that are added up at the
-history's home. Alphas go back to the blocks that ask for them, where texts are evaluated from the first order up.
+history's home. These sums go back to the blocks that ask for them, where texts are evaluated from the first order up.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from .common import buckets, hash_spans, lower_ascii, mix, pieces, scratch, text
 
 ORDER, CUTOFFS = 3, (1, 1, 2)  # least count of an n-gram that counts, by order
 TOP = 5  # counts up to this are discounted
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 SALT_AT = 1 << 20  # occurrences of a history in one bucket
 END = np.uint64(0x454E44)
 U64 = np.uint64
@@ -192,16 +192,16 @@ class Model:
     def word(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, self.levels[0].discounts.ratio(c) * c / self.whole, self.unseen)
 
-    def history(self, level: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(share of its count in its denominator, alpha) of histories from their sums.
+    def history(self, level: int, sums: np.ndarray, count: np.ndarray, lower_whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(share of its count in its denominator, alpha) of histories from their sums, counts and suffixes' denominators.
 
         Where nothing is freed, the denominator is one count larger, and that count is what is freed.
         """
         own, lower = self.levels[level].discounts, self.levels[level - 1].discounts
-        count = sums[:, -2].astype(np.float64)
+        count = count.astype(np.float64)
         freed = count - sums[:, 0] + own.freed(sums[:, 1 : 1 + TOP])
         whole = np.where(freed > 0, count, count + 1)
-        seen = (sums[:, TOP + 1] - lower.freed(sums[:, TOP + 2 : TOP + 2 + TOP])) / sums[:, -1]
+        seen = (sums[:, TOP + 1] - lower.freed(sums[:, TOP + 2 : TOP + 2 + TOP])) / lower_whole
         return count / whole, np.where(freed > 0, freed, 1.0) / whole / np.maximum(1 - seen, 1e-300)
 
 
@@ -271,7 +271,7 @@ class Block:
         token[sent] = place[back]
         out = Grams(len(codes), token)
         out.history, out.word, out.bucket, out.sample = h[order], w[order], bucket[order], sent[at[order]]
-        out.before = history
+        out.before, out.suffix = history, np.append(below.token[out.sample], [below.size, below.size + 1])
         return out
 
 
@@ -365,51 +365,52 @@ def _told(model: Model, level: int, grams: Grams, rows: list[dict]) -> None:
     grams.told(np.concatenate(counts or none), np.concatenate(ids or none), model.texts, model.buckets * stride)
 
 
-def _alphas(rows: list[dict], level: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(alpha, share) of the histories with these numbers; 1 where none was asked for or told."""
-    alpha, share = np.ones(len(ids)), np.ones(len(ids))
-    told = [(from_steps(r["a"], np.int64), unpack(r["b"], np.float64), unpack(r["c"], np.float64)) for r in rows if r["kind"] == ALPHA and r["level"] == level]
+def _backoff(model: Model, level: int, rows: list[dict], grams: list[Grams], lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, share) of each history of a block; 1 where none was asked for or told. ``lower``: denominators of their suffixes."""
+    below = grams[level - 1]
+    alpha, share = np.ones(len(below.ids)), np.ones(len(below.ids))
+    told = [(from_steps(r["a"], np.int64), unpack(r["b"], np.int64).reshape(_SUMS, -1).T) for r in rows if r["kind"] == ALPHA and r["level"] == level]
     if told:
-        keys, alphas, shares = (np.concatenate(x) for x in zip(*told))
+        keys, sums = (np.concatenate(x) for x in zip(*told))
         order = np.argsort(keys)
-        at = order[np.minimum(np.searchsorted(keys, ids, sorter=order), len(keys) - 1)]
-        hit = keys[at] == ids
-        alpha[hit], share[hit] = alphas[at[hit]], shares[at[hit]]
+        at = order[np.minimum(np.searchsorted(keys, below.ids, sorter=order), len(keys) - 1)]
+        hit = keys[at] == below.ids
+        share[hit], alpha[hit] = model.history(level, sums[at[hit]], below.counts[hit], lower[hit])
     return alpha, share
 
 
-def _rebuilt(model: Model, levels: int, rows: list[dict]) -> tuple[Block, list[Grams], list[tuple]]:
-    """A block from its file, with its n-grams of the orders counted so far, and (alpha, share) by history for each."""
+def _rebuilt(model: Model, levels: int, rows: list[dict]) -> tuple[Block, list[Grams], list[tuple], list[np.ndarray]]:
+    """A block from its file: its n-grams of the orders counted so far, and for each order (alpha, share) by history.
+
+    Last, the denominators of the histories' suffixes, up to the order that comes next.
+    """
     b = Block.load(next(r["a"] for r in rows if r["kind"] == FILE).decode())
-    grams, backoff = [Grams(len(b.vocabulary), b.tokens.astype(np.int64))], [()]
+    grams, backoff, lower = [Grams(len(b.vocabulary), b.tokens.astype(np.int64))], [()], [np.zeros(0)]
     _told(model, 0, grams[0], rows)
+    lower.append(np.full(grams[0].size + 2, model.whole, np.int64))
     for level in range(1, levels):
         grams.append(b.grams(model, level, grams[-1]))
         _told(model, level, grams[-1], rows)
-        backoff.append(_alphas(rows, level, grams[-2].ids))
-    return b, grams, backoff
+        backoff.append(_backoff(model, level, rows, grams, lower[level]))
+        lower.append((grams[-2].counts + (backoff[-1][1] < 1))[grams[-1].suffix])
+    return b, grams, backoff, lower
 
 
 def send(model: Model, level: int):
-    """A block's n-grams of an order to their buckets: numbers of history and word, own count, count of the suffix."""
+    """A block's n-grams of an order to their buckets: numbers of history and word, own count, counts of suffix and history."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        b, known, backoff = _rebuilt(model, level, rows)
+        b, known, _, _ = _rebuilt(model, level, rows)
         below, block = known[-1], rows[0]["block"]
         g = b.grams(model, level, below)
         own = np.bincount(g.token[b.per_token(b.learn) > 0], minlength=g.size + 2)[: g.size].astype(np.uint32)
         suffix = below.counts[below.token[g.sample]]
         h, w = below.ids[g.history], known[0].ids[g.word]
-        if level == 1:
-            lower = np.full(g.size, model.whole, np.int64)
-        else:  # the denominator of the suffix's own history
-            before = known[-1].before[g.sample]
-            lower = known[-2].counts[before] + (backoff[-1][1][before] < 1)
         out = []
         for x, y in _cuts(g.bucket):
             at = x + _runs(h[x:y])
-            out.append((COUNTS, int(g.bucket[x]), block, pack_pairs(h[x:y], w[x:y]), _join(pack(own[x:y]), pack(suffix[x:y].astype(np.uint32))), _join(pack(below.counts[g.history[at]]), pack(lower[at]))))
+            out.append((COUNTS, int(g.bucket[x]), block, pack_pairs(h[x:y], w[x:y]), _join(pack(own[x:y]), pack(suffix[x:y].astype(np.uint32))), _join(pack(below.counts[g.history[at]]))))
         # what was not sent is below its cutoff here: its history is asked at once
         unsent = g.before[g.token > g.size]
         asked = np.unique(below.ids[unsent])
@@ -427,7 +428,7 @@ def _asks(model: Model, level: int, ids: np.ndarray, blocks: np.ndarray) -> list
     return [(ASK, int(home[x]), -1, steps(ids[x:y]), pack(blocks[x:y]), b"") for x, y in _cuts(home)]
 
 
-_SUMS = 2 * (TOP + 1) + 2  # of a history: the counts that reach the cutoff, how many by count 1..TOP, the same of the suffixes, its own count, their denominator
+_SUMS = 2 * (TOP + 1)  # of a history: the counts that reach the cutoff, how many by count 1..TOP, the same of the suffixes
 
 
 def count_grams(model: Model, level: int):
@@ -440,15 +441,14 @@ def count_grams(model: Model, level: int):
         rows = [r for r in rows if r["kind"] == COUNTS]
         if not rows:
             return _table([*out, (TOTALS, bucket, -1, _stats(np.zeros(0, np.int64), 0), b"", b"")])
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
         for r in rows:
             h, w, run_ = unpack_pairs(r["a"])
             own, suffix = (unpack(x, np.uint32) for x in _parts(r["b"]))
-            count, lower = (unpack(x, np.int64)[run_] for x in _parts(r["c"]))
-            for c, x in zip(columns, (h, w, own, suffix, count, lower)):
+            for c, x in zip(columns, (h, w, own, suffix, unpack(_parts(r["c"])[0], np.int64)[run_])):
                 c.append(x)
         sizes = [len(x) for x in columns[0]]
-        h, w, own, suffix, count, lower = map(np.concatenate, columns)
+        h, w, own, suffix, count = map(np.concatenate, columns)
         del columns
         order = _pair_order(h, w)
         new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
@@ -459,19 +459,22 @@ def count_grams(model: Model, level: int):
         number = _numbers(total, least)
         kept = total >= cutoff
         h1, w1, kept_total = h[first][kept], w[first][kept], total[kept]
-        discounted = np.zeros(len(h), bool)  # histories that surely have something freed
-        if cutoff == 1:
-            discounted = np.isin(h, np.unique(h1[kept_total <= TOP]))
+        # where something is surely freed: a discounted count is here, or the whole history is and part of it is below the cutoff
+        starts, count1 = _runs(h1), count[first][kept]
+        whole = np.add.reduceat(kept_total, starts) if len(starts) else kept_total
+        freed = (np.add.reduceat((kept_total <= TOP).astype(np.int64), starts) > 0) if len(starts) else np.zeros(0, bool)
+        freed = h1[starts][freed | (whole < count1[starts]) & (count1[starts] <= SALT_AT)]
+        discounted = np.isin(h, freed)
+        alone = ~np.isin(h, h1) & (count <= SALT_AT)  # no n-gram of this history counts: its alpha is 1
         asks, askers, end = [], [], 0
         for r, size in zip(rows, sizes):
             mine = gram[end : end + size]
             out.append((COUNTS, bucket, r["block"], *_answer(total[mine], number[mine]), b""))
             # an n-gram below the cutoff needs its history's alpha; where nothing is discounted here, perhaps nothing is at all
-            asks.append(np.unique(h[end : end + size][(total[mine] < cutoff) | ~discounted[end : end + size]]))
+            asks.append(np.unique(h[end : end + size][((total[mine] < cutoff) | ~discounted[end : end + size]) & ~alone[end : end + size]]))
             askers.append(np.full(len(asks[-1]), r["block"], np.int64))
             end += size
         out += _asks(model, level, np.concatenate(asks), np.concatenate(askers))
-        starts = _runs(h1)
         sums = np.zeros((len(starts), _SUMS), np.int64)
         if len(starts):
             lows = suffix[first][kept].astype(np.int64)
@@ -479,7 +482,6 @@ def count_grams(model: Model, level: int):
             sums[:, 0], sums[:, TOP + 1] = add(kept_total), add(lows)
             for r in range(1, TOP + 1):
                 sums[:, r], sums[:, TOP + 1 + r] = add(kept_total == r), add(lows == r)
-            sums[:, -2], sums[:, -1] = count[first][kept][starts], lower[first][kept][starts]
         ids = h1[starts]
         home = np.minimum(ids // model.levels[level - 1].stride, model.buckets - 1)
         by = np.argsort(home, kind="stable")
@@ -489,38 +491,31 @@ def count_grams(model: Model, level: int):
     return run
 
 
-def answer(model: Model, level: int):
-    """Alpha and share of the histories that each block asks for; those without n-grams above the cutoff are left out (alpha 1)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        told, asks = [r for r in rows if r["kind"] == CONTEXT], [r for r in rows if r["kind"] == ASK]
-        if not told or not asks:
-            return _table([])
-        ids = np.concatenate([from_steps(r["a"], np.int64) for r in told])
-        parts = np.concatenate([unpack(r["b"], np.int64).reshape(_SUMS, -1).T for r in told])
-        keys, back = np.unique(ids, return_inverse=True)
-        sums = np.zeros((len(keys), _SUMS), np.int64)
-        np.add.at(sums[:, :-2], back, parts[:, :-2])
-        sums[back, -2:] = parts[:, -2:]  # the same in all parts of a history
-        share, alpha = model.history(level, sums)
-        key, block = np.concatenate([from_steps(r["a"], np.int64) for r in asks]), np.concatenate([unpack(r["b"], np.int64) for r in asks])
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
-        at, block = at[hit], block[hit]
-        by = np.lexsort((at, block))
-        by = by[np.concatenate([[True], (at[by][1:] != at[by][:-1]) | (block[by][1:] != block[by][:-1])])] if len(by) else by
-        at, block = at[by], block[by]
-        return _table([(ALPHA, rows[0]["bucket"], int(block[x]), steps(keys[at[x:y]]), pack(alpha[at[x:y]]), pack(share[at[x:y]])) for x, y in _cuts(block)])
-
-    return run
+def answer(table: pa.Table) -> pa.Table:
+    """The sums of the histories that each block asks for; those without n-grams above the cutoff are left out (alpha 1)."""
+    rows = table.to_pylist()
+    told, asks = [r for r in rows if r["kind"] == CONTEXT], [r for r in rows if r["kind"] == ASK]
+    if not told or not asks:
+        return _table([])
+    ids = np.concatenate([from_steps(r["a"], np.int64) for r in told])
+    keys, back = np.unique(ids, return_inverse=True)
+    sums = np.zeros((len(keys), _SUMS), np.int64)
+    np.add.at(sums, back, np.concatenate([unpack(r["b"], np.int64).reshape(_SUMS, -1).T for r in told]))
+    key, block = np.concatenate([from_steps(r["a"], np.int64) for r in asks]), np.concatenate([unpack(r["b"], np.int64) for r in asks])
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    hit = keys[at] == key
+    at, block = at[hit], block[hit]
+    by = np.lexsort((at, block))
+    by = by[np.concatenate([[True], (at[by][1:] != at[by][:-1]) | (block[by][1:] != block[by][:-1])])] if len(by) else by
+    at, block = at[by], block[by]
+    return _table([(ALPHA, rows[0]["bucket"], int(block[x]), steps(keys[at[x:y]]), pack(sums[at[x:y]].T.ravel()), b"") for x, y in _cuts(block)])
 
 
 def evaluate(model: Model):
     """Scores of a block's texts from its file, its n-grams' counts and the alphas it asked for, order by order."""
 
     def run(table: pa.Table) -> pa.Table:
-        b, grams, backoff = _rebuilt(model, len(model.levels), table.to_pylist())
+        b, grams, backoff, _ = _rebuilt(model, len(model.levels), table.to_pylist())
         counts = grams[0].counts[b.tokens]
         p = model.word(counts)
         for level, (below, g, (alpha, share)) in enumerate(zip(grams, grams[1:], backoff[1:]), 1):
@@ -575,7 +570,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         sent = known.repartition(n, "block").groupBy("block").applyInArrow(send(model, level), SCHEMA).repartition(n, "bucket")
         found = _stored(spark, sent.groupBy("bucket").applyInArrow(count_grams(model, level), SCHEMA), f"order{level + 1}")
         model.learn(_totals(found))
-        alphas = found.filter(F.col("kind").isin(CONTEXT, ASK)).groupBy("bucket").applyInArrow(answer(model, level), SCHEMA)
+        alphas = found.filter(F.col("kind").isin(CONTEXT, ASK)).groupBy("bucket").applyInArrow(answer, SCHEMA)
         alphas = _stored(spark, alphas, f"alpha{level + 1}")
         known = known.unionByName(level_of(found.filter(F.col("kind") == COUNTS), level)).unionByName(level_of(alphas, level))
     out = known.repartition(n, "block").groupBy("block").applyInArrow(evaluate(model), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
