@@ -1,11 +1,14 @@
 """Alternating least squares: MLlib by default, an own loop for warm starts and unequal regularisation.
 
-Each half-step solves, for every row with n ratings, (F'F + reg * n * I) x = F'r over the fixed side's factors.
+Each half-step solves, for every row with n ratings, (F'F + reg * n * I) x = F'r over the fixed side's factors. For
+the own loop the ratings are laid out once in blocks of rows (``layout``); a half-step then moves only factors, each
+to the blocks that hold a rating of it, once a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,9 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOT = 100_000  # ratings of one row from which its sums are taken in several tasks
+HOT = 100_000  # ratings of one row from which its sums are taken in several blocks
+BLOCK_VALUES = 16 << 20  # factor values that the ratings of one block may ask for: bounds a task's memory (128 MB)
+SOLVED_AT_ONCE = 1 << 21  # values of the normal equations that are solved together
 
 
 def train_mllib(ratings: DataFrame, rank: int, iterations: int, reg: float, seed: int = 42, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -43,83 +48,100 @@ def random_factors(ids: DataFrame, rank: int, seed: int, old: DataFrame | None =
     return rows
 
 
-def half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str, reg: float, hot: int = HOT) -> DataFrame:
-    """``id, features`` of the ``key`` side from ``fixed`` (the ``other`` side's factors).
+@dataclass(frozen=True)
+class Layout:
+    """Ratings of one side: ``cells`` (``block, part, key, other, rating``) and ``links`` (``other, block``), each written once."""
 
-    Ratings are dealt by row, a row with more than ``hot`` of them in several parts, and sorted; a task sums each
-    row's normal equations as it streams. Parts of one row are added up before they are solved.
+    cells: DataFrame
+    links: DataFrame
+    split: bool  # whether some row lies in several blocks
+
+
+def layout(ratings: DataFrame, key: str, other: str, rank: int, save: Callable[[DataFrame, str], DataFrame], hot: int = HOT) -> Layout:
+    """Deal ratings into blocks by row, by their number and the rank; a row with more than ``hot`` ratings into several.
+
+    ``part`` is -1 for a whole row, else the number of its piece.
     """
+    blocks = max(1, -(-ratings.count() * rank // BLOCK_VALUES), ratings.sparkSession.sparkContext.defaultParallelism)
     counts = ratings.groupBy(key).agg(F.count("*").alias("_n"))
-    big = counts.filter(F.col("_n") > hot).select(F.col(key).alias("_key"), F.ceil(F.col("_n") / hot).cast("int").alias("_parts"))
-    rows = ratings.join(fixed.select(F.col("id").alias(other), "features"), other)
-    rows = rows.join(big, rows[key] == big["_key"], "left")
+    big = save(counts.filter(F.col("_n") > hot).select(F.col(key).alias("_key"), F.ceil(F.col("_n") / hot).cast("int").alias("_parts")), "large")
+    rows = ratings.join(big, ratings[key] == big["_key"], "left")
     part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(other), F.col("_parts"))).otherwise(F.lit(-1)).cast("int")
-    rows = rows.select(F.col(key).cast("int").alias("id"), part.alias("part"), F.col("rating").cast("double").alias("rating"), F.col("features").cast("array<double>").alias("features"))
-    rows = rows.repartition("id", "part").sortWithinPartitions("id", "part")
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list = []  # id, part, n, A, b of the row under way
-
-        def close(done: list) -> pa.RecordBatch:
-            solved = [np.linalg.solve(a + reg * n * np.eye(len(b)), b).tolist() if p < 0 else None for _, p, n, a, b in done]
-            raw = [None if p < 0 else np.concatenate([[n], a.ravel(), b]).tobytes() for _, p, n, a, b in done]
-            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array(solved, pa.list_(pa.float64())), pa.array(raw, pa.binary())], ["id", "features", "sums"])
-
-        for batch in batches:
-            ids, parts = batch.column("id").to_numpy(), batch.column("part").to_numpy()
-            r = batch.column("rating").to_numpy()
-            flat = batch.column("features").flatten().to_numpy()
-            f = flat.reshape(len(ids), -1)
-            cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (parts[1:] != parts[:-1])])) if len(ids) else []
-            done = []
-            for a, b in zip(cuts, [*cuts[1:], len(ids)]):
-                own, x, y = (int(ids[a]), int(parts[a])), f[a:b], r[a:b]
-                if open_ and (open_[0], open_[1]) == own:
-                    open_[2] += b - a
-                    open_[3] += x.T @ x
-                    open_[4] += x.T @ y
-                else:
-                    if open_:
-                        done.append(open_)
-                    open_ = [*own, b - a, x.T @ x, x.T @ y]
-            if done:
-                yield close(done)
-        if open_:
-            yield close([open_])
+    rows = rows.select(part.alias("part"), F.col(key).cast("int").alias("key"), F.col(other).cast("int").alias("other"), F.col("rating").cast("float").alias("rating"))
+    rows = rows.select(F.pmod(F.xxhash64("key", "part"), F.lit(blocks)).cast("int").alias("block"), "part", "key", "other", "rating")
+    cells = save(rows.repartition(blocks, "block").sortWithinPartitions("block", "key", "part", "other"), "cells")
+    links = save(cells.select("other", "block").distinct(), "links")
+    return Layout(cells, links, big.limit(1).count() > 0)
+
+
+def _solve(a: np.ndarray, b: np.ndarray, n: np.ndarray, reg: float) -> np.ndarray:
+    return np.linalg.solve(a + (reg * n)[:, None, None] * np.eye(b.shape[1]), b[:, :, None])[:, :, 0]
+
+
+def half_step(plan: Layout, fixed: DataFrame, reg: float) -> DataFrame:
+    """``id, features`` of the laid out side from ``fixed`` (``id, features`` of the other side).
+
+    A block sums each row's normal equations and solves many at once. Pieces of one row are added up first.
+    """
+    sent = plan.links.join(fixed.select(F.col("id").alias("other"), F.col("features").cast("array<double>").alias("features")), "other")
+
+    def solve(cells: pa.Table, factors: pa.Table) -> pa.Table:
+        empty = {"id": pa.array([], pa.int32()), "features": pa.array([], pa.list_(pa.float64())), "sums": pa.array([], pa.binary())}
+        if not cells.num_rows or not factors.num_rows:
+            return pa.table(empty)
+        ids = factors.column("other").to_numpy()
+        rank = len(factors.column("features")[0])
+        f = factors.column("features").combine_chunks().flatten().to_numpy().reshape(-1, rank)
+        by = np.argsort(ids)
+        key, part, other, r = (cells.column(c).to_numpy() for c in ("key", "part", "other", "rating"))
+        at = np.minimum(np.searchsorted(ids, other, sorter=by), len(ids) - 1)
+        known = ids[by[at]] == other  # an id without factors has no say
+        key, part, at, other, r = key[known], part[known], by[at[known]], other[known], r[known].astype(np.float64)
+        order = np.lexsort((other, part, key))
+        key, part, at, r = key[order], part[order], at[order], r[order]
+        if not len(key):
+            return pa.table(empty)
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        ends, step = np.append(cuts[1:], len(key)), max(1, SOLVED_AT_ONCE // (rank * rank))
+        out: list[pa.Table] = []
+        for first in range(0, len(cuts), step):
+            starts, stops = cuts[first : first + step], ends[first : first + step]
+            a, b = np.empty((len(starts), rank, rank)), np.empty((len(starts), rank))
+            for i, (x, y) in enumerate(zip(starts.tolist(), stops.tolist())):
+                rows = f[at[x:y]]
+                a[i], b[i] = rows.T @ rows, r[x:y] @ rows
+            n, whole = (stops - starts).astype(np.float64), part[starts] < 0
+            solved = _solve(a[whole], b[whole], n[whole], reg)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(solved) + 1, dtype=np.int32) * rank), pa.array(solved.ravel()))
+            out.append(pa.table({"id": pa.array(key[starts][whole], pa.int32()), "features": lists, "sums": pa.nulls(len(solved), pa.binary())}))
+            raw = [np.concatenate([[n[i]], a[i].ravel(), b[i]]).tobytes() for i in np.flatnonzero(~whole)]
+            out.append(pa.table({"id": pa.array(key[starts][~whole], pa.int32()), "features": pa.nulls(len(raw), pa.list_(pa.float64())), "sums": pa.array(raw, pa.binary())}))
+        return pa.concat_tables(out)
+
+    out = plan.cells.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(solve, "id int, features array<double>, sums binary")
+    if not plan.split:
+        return out.select("id", "features")
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())
         k = int((np.sqrt(4 * len(total) - 3) - 1) / 2)
-        a, b = total[1 : 1 + k * k].reshape(k, k), total[1 + k * k :]
-        return pa.table([pa.array([table.column("id")[0].as_py()], pa.int32()), pa.array([np.linalg.solve(a + reg * total[0] * np.eye(k), b).tolist()])], ["id", "features"])
+        solved = _solve(total[None, 1 : 1 + k * k].reshape(1, k, k), total[None, 1 + k * k :], total[:1], reg)
+        return pa.table([pa.array([table.column("id")[0].as_py()], pa.int32()), pa.array([solved[0].tolist()])], ["id", "features"])
 
-    out = rows.mapInArrow(sums, "id int, features array<double>, sums binary")
-    if not big.limit(1).count():
-        return out.select("id", "features")
-    halves = out.filter("features is null").select("id", "sums").groupBy("id").applyInArrow(add, "id int, features array<double>")
-    return out.filter("features is not null").select("id", "features").unionByName(halves)
+    pieces = out.filter("features is null").select("id", "sums").groupBy("id").applyInArrow(add, "id int, features array<double>")
+    return out.filter("features is not null").select("id", "features").unionByName(pieces)
 
 
 def train_own(spark: SparkSession, ratings: DataFrame, rank: int, iterations: int, user_reg: float, item_reg: float, save, seed: int = 42, old: tuple[DataFrame, DataFrame] | None = None, first_is_avg: bool = False) -> tuple[DataFrame, DataFrame]:
     """(user factors, item factors) after ``iterations`` of user, then item steps. ``save(df, name)`` writes and rereads
     a step's result, which cuts lineage and survives lost executors."""
     ratings = save(ratings.select("user_id", "item_id", "rating"), "ratings")
+    by_user, by_item = layout(ratings, "user_id", "item_id", rank, save), layout(ratings, "item_id", "user_id", rank, save)
     ids = ratings.select(F.col("item_id").alias("id"))
     first = ratings.groupBy(F.col("item_id").alias("id")).agg(F.avg("rating").alias("avg_rating")) if first_is_avg else None
     items = save(random_factors(ids, rank, seed, old[1] if old else None, first), "items")
     users = None
     for _ in range(iterations):
-        users = save(half_step(ratings, items, "user_id", "item_id", user_reg), "users")
-        items = save(half_step(ratings, users, "item_id", "user_id", item_reg), "items")
+        users = save(half_step(by_user, items, user_reg), "users")
+        items = save(half_step(by_item, users, item_reg), "items")
     return users, items
-
-
-def rank2_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str, reg: float) -> DataFrame:
-    """The half-step for rank 2 in closed form: sums, then Cramer's rule; ``fixed``: ``id, f0, f1``."""
-    f = fixed.select(F.col("id").alias(other), F.col("f0").alias("_a"), F.col("f1").alias("_b"))
-    s = lambda x: F.sum(x)
-    a, b, r = F.col("_a"), F.col("_b"), F.col("rating").cast("double")
-    sums = ratings.join(f, other).groupBy(key).agg(F.count("*").alias("n"), s(a * a).alias("aa"), s(a * b).alias("ab"), s(b * b).alias("bb"), s(a * r).alias("ar"), s(b * r).alias("br"))
-    d0, d1 = F.col("aa") + F.lit(float(reg)) * F.col("n"), F.col("bb") + F.lit(float(reg)) * F.col("n")
-    det = d0 * d1 - F.col("ab") * F.col("ab")
-    return sums.select(F.col(key).alias("id"), ((F.col("ar") * d1 - F.col("ab") * F.col("br")) / det).alias("f0"), ((d0 * F.col("br") - F.col("ab") * F.col("ar")) / det).alias("f1"))

@@ -44,3 +44,10 @@ def global_shift(predicted: DataFrame, dataset: int) -> DataFrame:
     """One row: average rating of all assigned sets less the average prediction on one set."""
     means = predicted.agg(F.avg(F.when(F.col("dataset_type").isin(*ASSIGNED), F.col("rating"))).alias("r"), F.avg(F.when(F.col("dataset_type") == dataset, F.col("predict"))).alias("p"))
     return means.select((F.col("r") - F.col("p")).alias("shift"))
+
+
+def shift_of(average: DataFrame, predicted: DataFrame, dataset: int) -> DataFrame:
+    """``global_shift`` where only some sets were predicted: ``average`` is one row with ``avg_rating`` of all of them."""
+    mean = predicted.filter(F.col("dataset_type") == dataset).agg(F.avg("predict").alias("p"))
+    both = average.select(F.col("avg_rating").alias("r"), F.lit(None).cast("double").alias("p")).unionByName(mean.select(F.lit(None).cast("double").alias("r"), "p"))
+    return both.agg((F.max("r") - F.max("p")).alias("shift"))

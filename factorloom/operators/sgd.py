@@ -3,6 +3,10 @@
 An epoch visits every rating once, in an order shuffled anew. With one block the visits are strictly one after
 another. With more, users and items are dealt into blocks and an epoch runs in as many strata as there are blocks:
 a stratum's cells share no user and no item, so that they run side by side with the same result as in some sequence.
+Ratings are written once, by stratum, so that a stratum reads its own and nothing else.
+
+Within a cell, visits fall into waves: a visit comes one wave after the last earlier visit of its user or its item.
+A wave has no user and no item twice, so it is one step over arrays with the result of its visits one by one.
 """
 
 from __future__ import annotations
@@ -15,47 +19,72 @@ from pyspark.sql import functions as F
 from ..functions.vectors import shuffle_key
 from .als import random_factors
 
+CELL_RATINGS = 1_000_000  # ratings that a task should visit in one stratum, about
+
+
+def waves(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The wave of each visit (x[k], y[k]), from 0."""
+    last_x, last_y = [-1] * (int(x.max(initial=-1)) + 1), [-1] * (int(y.max(initial=-1)) + 1)
+    out = []
+    for a, b in zip(x.tolist(), y.tolist()):
+        w = max(last_x[a], last_y[b]) + 1
+        last_x[a] = last_y[b] = w
+        out.append(w)
+    return np.array(out, np.int64)
+
 
-def _visit(rows: pd.DataFrame, u: np.ndarray, i: np.ndarray, bu: np.ndarray, bi: np.ndarray, bias: float, rate: float, regs: tuple) -> None:
-    """Updates in place, rating by rating; the item's factors move by the user's new ones."""
-    for x, y, r in zip(rows["x"].to_numpy(), rows["y"].to_numpy(), rows["rating"].to_numpy()):
-        e = r - (bias + bu[x] + bi[y] + u[x] @ i[y])
-        bu[x] += rate * (e - regs[0] * bu[x])
-        bi[y] += rate * (e - regs[1] * bi[y])
-        u[x] += rate * (e * i[y] - regs[2] * u[x])
-        i[y] += rate * (e * u[x] - regs[3] * i[y])
+def _visit(x: np.ndarray, y: np.ndarray, rating: np.ndarray, u: np.ndarray, i: np.ndarray, bu: np.ndarray, bi: np.ndarray, bias: float, rate: float, regs: tuple) -> None:
+    """Updates in place, in the order given; the item's factors move by the user's new ones."""
+    wave = waves(x, y)
+    order = np.argsort(wave, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(wave[order])) + 1) if len(order) else []:
+        a, b = x[at], y[at]
+        e = rating[at] - (bias + bu[a] + bi[b] + np.einsum("ij,ij->i", u[a], i[b]))
+        bu[a] += rate * (e - regs[0] * bu[a])
+        bi[b] += rate * (e - regs[1] * bi[b])
+        u[a] += rate * (e[:, None] * i[b] - regs[2] * u[a])
+        i[b] += rate * (e[:, None] * u[a] - regs[3] * i[b])
 
 
-def _stratum(ratings: DataFrame, users: DataFrame, items: DataFrame, blocks: int, shift: int, bias: float, rate: float, regs: tuple) -> DataFrame:
+def _block(c: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+
+
+def _stratum(cells: DataFrame, users: DataFrame, items: DataFrame, blocks: int, shift: int, epoch_seed: int, bias: float, rate: float, regs: tuple) -> DataFrame:
     """``kind, id, bias, features`` of all users and items after one stratum: cells (b, b + shift mod blocks)."""
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     none: Column = F.lit(None)
-    cells = ratings.select(block("user_id").alias("cell"), block("item_id").alias("_i"), F.lit(2).alias("kind"), F.col("user_id").alias("id"), F.col("item_id").alias("other"), F.col("rating").cast("double").alias("value"), none.cast("array<double>").alias("features"), "shuffled")
-    cells = cells.filter(F.col("_i") == F.pmod(F.col("cell") + shift, F.lit(blocks))).drop("_i")
+    own = cells.filter(F.col("shift") == shift).select(_block("user_id", blocks).alias("cell"), F.lit(2).alias("kind"), F.col("user_id").alias("id"), F.col("item_id").alias("other"), F.col("rating").cast("double").alias("value"), none.cast("array<double>").alias("features"), shuffle_key("user_id", "item_id", epoch_seed).alias("shuffled"))
     side = lambda df, kind, cell: df.select(cell.cast("int").alias("cell"), F.lit(kind).alias("kind"), "id", none.cast("int").alias("other"), F.col("bias").alias("value"), "features", none.cast("string").alias("shuffled"))
-    rows = cells.unionByName(side(users, 0, block("id"))).unionByName(side(items, 1, F.pmod(block("id") - shift, F.lit(blocks))))
+    rows = own.unionByName(side(users, 0, _block("id", blocks))).unionByName(side(items, 1, F.pmod(_block("id", blocks) - shift, F.lit(blocks))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         su, si = pdf[pdf.kind == 0].sort_values("id"), pdf[pdf.kind == 1].sort_values("id")
         r = pdf[pdf.kind == 2].sort_values(["shuffled", "id", "other"])
         stack = lambda s: np.stack([np.array(f, float) for f in s.features]) if len(s) else np.zeros((0, 1))
         u, i, bu, bi = stack(su), stack(si), su.value.to_numpy().copy(), si.value.to_numpy().copy()
-        _visit(pd.DataFrame({"x": np.searchsorted(su.id.to_numpy(), r.id.to_numpy()), "y": np.searchsorted(si.id.to_numpy(), r.other.to_numpy()), "rating": r.value.to_numpy()}), u, i, bu, bi, bias, rate, regs)
+        _visit(np.searchsorted(su.id.to_numpy(), r.id.to_numpy()), np.searchsorted(si.id.to_numpy(), r.other.to_numpy()), r.value.to_numpy(), u, i, bu, bi, bias, rate, regs)
         return pd.DataFrame({"kind": [0] * len(su) + [1] * len(si), "id": [*su.id, *si.id], "bias": [*bu, *bi], "features": [*map(list, u), *map(list, i)]})
 
     return rows.groupBy("cell").applyInPandas(run, "kind int, id int, bias double, features array<double>")
 
 
-def train(spark: SparkSession, ratings: DataFrame, rank: int, epochs: int, rate: float, regs: tuple, save, bias: float | None = None, blocks: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame, float]:
-    """(users, items, global bias); users and items: ``id, bias, features``. ``save(df, name)`` writes and rereads."""
+def train(spark: SparkSession, ratings: DataFrame, rank: int, epochs: int, rate: float, regs: tuple, save, bias: float | None = None, blocks: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame, float]:
+    """(users, items, global bias); users and items: ``id, bias, features``. ``save(df, name)`` writes and rereads.
+
+    ``blocks``: of users and of items; by default so many that a cell has about ``CELL_RATINGS``, four at least.
+    """
     ratings = save(ratings.select("user_id", "item_id", "rating"), "ratings")
+    if blocks is None:
+        blocks = max(4, int(np.ceil(np.sqrt(ratings.count() / CELL_RATINGS))))
     if bias is None:
         bias = float(ratings.agg(F.avg("rating")).first()[0] or 0.0)
+    shift = F.pmod(_block("item_id", blocks) - _block("user_id", blocks), F.lit(blocks)).alias("shift")
+    # in the order of strata, so that a filter on the stratum skips the other files and row groups
+    cells = save(ratings.select("*", shift).repartitionByRange(blocks * 2, "shift", "user_id").sortWithinPartitions("shift"), "cells")
     start = lambda c, s: random_factors(ratings.select(F.col(c).alias("id")), rank, s).select("id", F.lit(0.0).alias("bias"), "features")
     users, items = save(start("user_id", seed), "users"), save(start("item_id", seed + 1), "items")
     for epoch in range(epochs):
-        shuffled = ratings.withColumn("shuffled", shuffle_key("user_id", "item_id", seed + epoch))
-        for shift in range(blocks):
-            out = save(_stratum(shuffled, users, items, blocks, shift, bias, rate, regs), "stratum")
+        for stratum in range(blocks):
+            out = save(_stratum(cells, users, items, blocks, stratum, seed + epoch, bias, rate, regs), "stratum")
             users, items = (out.filter(F.col("kind") == k).select("id", "bias", "features") for k in (0, 1))
     return users, items, bias

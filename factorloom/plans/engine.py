@@ -100,7 +100,8 @@ class Engine:
         try:
             return self._train()
         finally:
-            self.status = "ready"
+            if self.status != "destroyed":
+                self.status = "ready"
             self._drop_scratch()
 
     def _train(self) -> dict[str, Any]:
@@ -113,32 +114,36 @@ class Engine:
         if not size.used_users and not size.used_items:
             raise ValueError("no_data")
         info = store.model_info() or {}
-        if tuple(info.get("split", ())) != o.split or not split.quality(ratings, o.split).first().acceptable:
+        if info and tuple(info.get("split", ())) != o.split:  # other percentages: all assignments are made anew
+            ratings = self._save(split.resplit(ratings, o.split, o.seed), "split")
+        elif not split.quality(ratings, o.split).first().acceptable:
             ratings = self._save(split.incremental(ratings, users, o.split, o.seed), "split")
         users = self._refresh(users, "list_id", stats.per_key(ratings, "user_id"), "user_id")
         items = self._refresh(items, "id", stats.per_key(ratings, "item_id"), "item_id")
         store.save("ratings", ratings)
         users, items = store.save("users", users), store.save("items", items)
-        self.status = "training"
+        if self.status != "destroyed":
+            self.status = "training"
         fitted = scans.by_side(ratings, users.select(F.col("list_id").alias("user_id"), "is_used_for_train"), "user_id", o.train_sets)
         bias, shift, result = 0.0, 0.0, {}
+        asked = ratings.filter(F.col("dataset_type").isin(VALIDATE, TEST))  # no measure looks at the others' predictions
         if o.alg == "als":
             old = store.load_model() if can_reuse(info, o.alg, o.db_type, o.rank, o.double_precision) else None
             if old is None and o.user_reg == o.item_reg and not o.first_factor_is_avg:
                 uf, itf = als.train_mllib(fitted, o.rank, o.iterations, o.user_reg, o.seed)
             else:
                 uf, itf = als.train_own(spark, fitted, o.rank, o.iterations, o.user_reg, o.item_reg, self._save, o.seed, old[:2] if old else None, o.first_factor_is_avg)
-            predicted = evaluate.predict(ratings, uf, itf)
+            predicted = evaluate.predict(asked, uf, itf)
         else:
             uf, itf, bias = sgd.train(spark, fitted, o.rank, o.iterations, o.learning_rate, o.sgd_regs, self._save, None, o.sgd_blocks, o.seed)
-            predicted = evaluate.predict_biased(ratings, uf, itf, bias)
+            predicted = evaluate.predict_biased(asked, uf, itf, bias)
         predicted = self._save(predicted, "predicted")
         if o.split[1]:
             result["rmse_validate"] = evaluate.rmse(predicted, VALIDATE).first().rmse
         if o.split[2]:
             result["rmse_test"] = evaluate.rmse(predicted, TEST).first().rmse
             if o.alg == "als":
-                shift = evaluate.global_shift(predicted, TEST).first().shift or 0.0
+                shift = evaluate.shift_of(stats.global_avg(ratings), predicted, TEST).first().shift or 0.0
                 result["rmse_test_shifted"] = evaluate.rmse(predicted, TEST, shift).first().rmse
         result |= {"alg": o.alg, "db_type": o.db_type, "rank": o.rank, "double_precision": o.double_precision, "split": list(o.split), "iterations": o.iterations, "users": size.max_user, "items": size.max_item, "calc_count": int(info.get("calc_count", 0)) + 1, "calc_date": datetime.datetime.now(datetime.UTC).isoformat(), "global_shift": shift, "global_bias": bias}
         if not o.double_precision:
@@ -159,8 +164,9 @@ class Engine:
     # serving
 
     def can_predict(self) -> str | None:
-        if self.status == "destroyed":
-            return "status is destroyed"
+        """Why no prediction can be made now, or None: the status must be ready, and there must be a model."""
+        if self.status != "ready":
+            return f"status is {self.status}"
         return None if self.store.model_info() else "no model"
 
     def predict(self, user_id: int, item_id: int) -> float | None:
@@ -195,18 +201,28 @@ class Engine:
             items = items.withColumn("features", F.concat(F.col("features").cast("array<double>"), one, F.array(F.col("bias").cast("double"))))
             shift = info["global_bias"]
         gone = self.store.load("ratings").filter(F.col("user_id") == user.list_id).select("user_id", "item_id")
-        for item in user.unrated_items or []:
-            gone = gone.unionByName(self.spark.createDataFrame([(user.list_id, item)], "user_id int, item_id int"))
+        unwanted = extra.filter(F.col("id") == user.id).select(F.lit(user.list_id).cast("int").alias("user_id"), F.explode("unrated_items").alias("item_id"))
+        gone = gone.unionByName(unwanted)
         best = recommend.top_n(self.spark, mine, items, recommend.exclusions(gone), self.options.scale[1], limit or self.options.limit, shift)
         return [{"predict": r.predict, "id": r.item_id} for r in best.orderBy("rank").collect()]
 
     def update_most_rated(self) -> DataFrame:
-        """Refresh each user's list of best rated items; returns the rows that changed."""
+        """Refresh each user's list of best rated items and, where it changed, its time; returns the rows that changed."""
         extra = self.store.load("users_extra")
-        fresh = self._save(stats.most_rated_updates(extra, stats.most_rated(self.store.load("ratings"), self.options.scale[0])), "most")
+        lists = stats.most_rated(self.store.load("ratings"), self.options.scale[0])
+        ids = self.store.load("users").filter("list_id is not null").select(F.col("id").alias("_id"), F.col("list_id").alias("user_id"))
+        lists = lists.join(ids, "user_id").select(F.col("_id").alias("user_id"), "most_rated_items")  # by external id, as users_extra is
+        fresh = self._save(stats.most_rated_updates(extra, lists), "most")
         new = fresh.select(F.col("user_id").alias("id"), F.col("most_rated_items").alias("_new"))
         out = extra.join(new, "id", "full").withColumn("most_rated_items", F.coalesce("_new", "most_rated_items")).drop("_new")
-        self.store.save("users_extra", self._save(out, "extra"))
+        users = self.store.load("users")
+        if "most_rated_items_update_ts" not in users.columns:
+            users = users.withColumn("most_rated_items_update_ts", F.lit(None).cast("timestamp_ntz"))
+        users = users.join(new.select("id", F.lit(True).alias("_changed")), "id", "left")
+        users = users.withColumn("most_rated_items_update_ts", F.when(F.col("_changed"), F.localtimestamp()).otherwise(F.col("most_rated_items_update_ts"))).drop("_changed")
+        users, out = self._save(users, "users"), self._save(out, "extra")
+        self.store.save("users_extra", out)
+        self.store.save("users", users)
         return fresh
 
     def version(self) -> str:

@@ -33,7 +33,8 @@ def _saver(v: Views):
     import uuid
 
     place = v.spark.conf.get("spark.checkpoint.dir", None)
-    if not place and not v.spark.sparkContext.master.startswith("local"):
+    master = v.spark.sparkContext.master
+    if not place and not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = f"{(place or 'file://' + tempfile.mkdtemp(prefix='factorloom-')).rstrip('/')}/factorloom-{uuid.uuid4().hex}"
 
@@ -293,17 +294,24 @@ def rmse_test_shifted(v: Views) -> DataFrame:
     return evaluate.rmse(_predicted(v), TEST, 1.75)
 
 
-_STEP = "WITH {r}, {f}, s AS (SELECT {k} id, CAST(count(*) AS DOUBLE) / 16 d, sum(f0 * f0) aa, sum(f0 * f1) ab, sum(f1 * f1) bb, sum(f0 * rating) ar, sum(f1 * rating) br FROM r JOIN {o} ON {o}.id = {j} WHERE dataset_type IN (1, 2) GROUP BY 1) SELECT id, (ar * (bb + d) - ab * br) / ((aa + d) * (bb + d) - ab * ab) f0, ((aa + d) * br - ab * ar) / ((aa + d) * (bb + d) - ab * ab) f1 FROM s"
+_STEP = "WITH {r}, {f}, s AS (SELECT {k} id, CAST(count(*) AS DOUBLE) / 16 d, sum(f0 * f0) aa, sum(f0 * f1) ab, sum(f1 * f1) bb, sum(f0 * rating) ar, sum(f1 * rating) br FROM r JOIN {o} ON {o}.id = {j} WHERE dataset_type IN (1, 2) GROUP BY 1) SELECT id, round((ar * (bb + d) - ab * br) / ((aa + d) * (bb + d) - ab * ab), 6) f0, round(((aa + d) * br - ab * ar) / ((aa + d) * (bb + d) - ab * ab), 6) f1 FROM s"
+
+
+def _step(v: Views, key: str, other: str, fixed: DataFrame) -> DataFrame:
+    """The half-step that trainings run, at rank 2; a row of more than 50 ratings is summed in pieces."""
+    plan = als.layout(v.ratings().filter("dataset_type in (1, 2)"), key, other, 2, _saver(v), hot=50)
+    out = als.half_step(plan, fixed.select("id", "features"), 1 / 16)
+    return out.select("id", *[F.round(F.element_at("features", k + 1), 6).alias(f"f{k}") for k in (0, 1)])
 
 
 @_query(_STEP.format(r=fx.RATINGS, f=fx.FACTORS, k="user_id", o="itf", j="item_id"))
 def als_user_step(v: Views) -> DataFrame:
-    return als.rank2_step(v.ratings().filter("dataset_type in (1, 2)"), v.item_factors(), "user_id", "item_id", 1 / 16)
+    return _step(v, "user_id", "item_id", v.item_factors())
 
 
 @_query(_STEP.format(r=fx.RATINGS, f=fx.FACTORS, k="item_id", o="uf", j="user_id"))
 def als_item_step(v: Views) -> DataFrame:
-    return als.rank2_step(v.ratings().filter("dataset_type in (1, 2)"), v.user_factors(), "item_id", "user_id", 1 / 16)
+    return _step(v, "item_id", "user_id", v.user_factors())
 
 
 @_query(f"WITH {fx.FACTORS} SELECT id, CASE WHEN id % 3 <> 0 THEN f0 END f0, CASE WHEN id % 3 <> 0 THEN f1 END f1, id % 3 = 0 fresh FROM uf")
@@ -338,13 +346,57 @@ def ingest_counts(v: Views) -> DataFrame:
     return movielens.counts(v.table("customer"), v.table("part"), v.raw())
 
 
-# trainings, without an SQL form: tests check their residuals and errors
+# trainings: what must hold of a result whatever the draws; then the results themselves, without an SQL form
 
 
 def _fitted(v: Views) -> DataFrame:
     return v.ratings().filter("dataset_type in (1, 2)")
 
 
+_FITTED = f"WITH {fx.RATINGS}, t AS (SELECT * FROM r WHERE dataset_type IN (1, 2)) SELECT (SELECT count(DISTINCT user_id) FROM t) n_users, (SELECT count(DISTINCT item_id) FROM t) n_items, (SELECT count(*) FROM t) n_predicted, 1 complete, 1 better_than_mean"
+
+
+def _check(v: Views, users: DataFrame, items: DataFrame, rank: int, predict) -> DataFrame:
+    """Rows of both sides, predictions of all fitted ratings, whether all factors are there, and whether they beat the mean."""
+    fitted = _fitted(v)
+    side = lambda df: df.agg(F.count("*").alias("n"), F.count_if((F.size("features") == rank) & F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x))).alias("whole"))
+    u, i, mean = side(users).first(), side(items).first(), fitted.agg(F.avg("rating")).first()[0]
+    e, m = F.col("predict") - F.col("rating"), F.col("rating") - F.lit(mean)
+    return predict(fitted).agg(F.lit(u.n).cast("long").alias("n_users"), F.lit(i.n).cast("long").alias("n_items"), F.count("*").alias("n_predicted"), F.lit(int(u.whole == u.n and i.whole == i.n)).alias("complete"), (F.sum(e * e) < F.sum(m * m)).cast("int").alias("better_than_mean"))
+
+
+@_query(_FITTED)
+def als_train_check(v: Views) -> DataFrame:
+    """MLlib's training at rank 10."""
+    save = _saver(v)
+    users, items = (save(df, "factors") for df in als.train_mllib(_fitted(v), 10, 5, 0.05))
+    return _check(v, users, items, 10, lambda rows: evaluate.predict(rows, users, items))
+
+
+@_query(_FITTED)
+def als_train_custom_check(v: Views) -> DataFrame:
+    """The own loop at rank 10."""
+    users, items = als.train_own(v.spark, _fitted(v), 10, 3, 0.05, 0.1, _saver(v), first_is_avg=True)
+    return _check(v, users, items, 10, lambda rows: evaluate.predict(rows, users, items))
+
+
+@_query(_FITTED)
+def sgd_train_check(v: Views) -> DataFrame:
+    """Two epochs of stochastic gradient descent at rank 10."""
+    users, items, bias = sgd.train(v.spark, _fitted(v), 10, 2, 0.01, (0.02, 0.02, 0.02, 0.02), _saver(v))
+    return _check(v, users, items, 10, lambda rows: evaluate.predict_biased(rows, users, items, bias))
+
+
+@_query("SELECT CAST(20 AS BIGINT) most, CAST(0 AS BIGINT) already_rated, CAST(0 AS BIGINT) out_of_order")
+def train_and_recommend_check(v: Views) -> DataFrame:
+    """Of the whole way: the longest list, and items that should not be there or stand in the wrong place."""
+    best, rated = _saver(v)(train_and_recommend(v), "best"), v.raw().select("user_id", "item_id")
+    again = best.join(rated, ["user_id", "item_id"], "left_semi").agg(F.count("*")).first()[0]
+    lists = best.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "predict"))).alias("l"))
+    wrong = F.exists(F.transform("l", lambda x, k: (x["rank"] != k + 1) | F.coalesce(x["predict"] > F.get(F.col("l"), k - 1)["predict"], F.lit(False))), lambda x: x)
+    return lists.agg(F.max(F.size("l")).cast("long").alias("most"), F.lit(again).cast("long").alias("already_rated"), F.count_if(wrong).alias("out_of_order"))
+
+
 @_query()
 def als_train(v: Views) -> DataFrame:
     """Factors by MLlib at rank 10, five iterations."""

@@ -50,7 +50,7 @@ class Options:
     first_factor_is_avg: bool = False
     learning_rate: float = 0.01
     sgd_regs: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)  # user bias, item bias, user, item factors
-    sgd_blocks: int = 4
+    sgd_blocks: int | None = None  # by the number of ratings
     double_precision: bool = False
     train_all: bool = True
     train_sets: tuple[int, ...] = FITTED

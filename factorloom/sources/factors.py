@@ -34,3 +34,8 @@ def read_binary(spark: SparkSession, path: str, rank: int, double: bool = False)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + 1, first + n + 1, dtype=np.int32)), values], ["id", "features"])
 
     return ranges.mapInArrow(run, f"id int, features array<{'double' if double else 'float'}>")
+
+
+def read_biases(spark: SparkSession, path: str, double: bool = False) -> DataFrame:
+    """``id, bias`` from a file of one number an id, as it lies beside the factors of a model with biases."""
+    return read_binary(spark, path, 1, double).select("id", F.element_at("features", 1).alias("bias"))

@@ -41,17 +41,29 @@ def _cyrillic(text: Column) -> Column:
     return F.translate(text, high.decode("iso-8859-1"), high.decode("windows-1251"))
 
 
+def _table(spark: SparkSession, path: str, kind: str, name: str, mode: str, more: str = "") -> DataFrame:
+    file, sep, schema = FORMATS[kind][name]
+    return spark.read.option("columnPruning", False).csv(f"{path}/{file}", schema=schema + more, sep=sep, encoding="iso-8859-1", quote="", mode=mode, columnNameOfCorruptRecord="_damaged")
+
+
+def _any_value(kind: str, name: str) -> Column:
+    """True, but reads all columns: Spark looks only at those that are asked for when it judges a line."""
+    return F.concat_ws("", *[F.col(c.split()[0]).cast("string") for c in FORMATS[kind][name][2].split(", ")]) != "\x00"
+
+
+def damaged(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One row: the number of lines of ``users``, ``items`` and ``ratings`` that don't fit their columns; ``read`` leaves them out."""
+    parts = [_table(spark, path, kind, n, "PERMISSIVE", ", _damaged string").select(*[(F.col("_damaged").isNotNull() & _any_value(kind, n) & F.lit(k == j)).cast("int").alias(m) for j, m in enumerate(FORMATS[kind])]) for k, n in enumerate(FORMATS[kind])]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in FORMATS[kind]])
+
+
 def read(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(users, items, ratings) with the engine's ids: ``id, login, list_id``; ``id, name``; ``user_id, item_id, rating, dataset_type``.
 
     A user's ``list_id`` is dense, in the order of first appearance among the ratings, and null without any; ratings
     carry it as ``user_id``. Of a pair rated twice in the files, the line that comes first counts.
     """
-    spec = FORMATS[kind]
-
-    def table(name: str) -> DataFrame:
-        file, sep, schema = spec[name]
-        return spark.read.csv(f"{path}/{file}", schema=schema, sep=sep, encoding="iso-8859-1", quote="", mode="DROPMALFORMED")
+    table = lambda name: _table(spark, path, kind, name, "DROPMALFORMED")  # noqa: E731  damaged() counts what this leaves out
 
     # a line's place: files of one folder are read in order, partitions in the order of their bytes
     raw = table("ratings").select("user_id", "item_id", F.col("rating").cast("short").alias("rating"), F.monotonically_increasing_id().alias("pos"))

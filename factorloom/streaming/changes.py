@@ -9,8 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.changes import apply_changes
 from ..sources.store import Store
 
+PARTS = 64  # of the ratings, by user; a batch rewrites those of its users
 
-def follow(store: Store, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+
+def follow(store: Store, stream: DataFrame, checkpoint: str, parts: int = PARTS, **trigger) -> StreamingQuery:
     """Start applying ``stream`` (user_id, item_id, rating, seq) to the ratings; of a pair, the highest seq of a batch counts.
 
     Applying a batch twice has the same result as once, so that a replay after a failure does no harm.
@@ -18,6 +20,6 @@ def follow(store: Store, stream: DataFrame, checkpoint: str, **trigger) -> Strea
 
     def apply(batch: DataFrame, _: int) -> None:
         last = batch.groupBy("user_id", "item_id").agg(F.max_by("rating", "seq").alias("rating"))
-        store.save("ratings", apply_changes(store.load("ratings"), last))
+        store.change("ratings", "user_id", last, apply_changes, parts)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

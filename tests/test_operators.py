@@ -66,13 +66,13 @@ def test_global_row_number(spark):
     assert [r.n for r in out] == list(range(1, 1001))
 
 
-def test_half_step_solves_the_normal_equations(spark):
+def test_half_step_solves_the_normal_equations(spark, save):
     r = make(spark)
     rng = np.random.default_rng(1)
     fixed = spark.createDataFrame([(i + 1, rng.normal(size=3).tolist()) for i in range(20)], "id int, features array<double>")
     f = {x.id: np.array(x.features) for x in fixed.collect()}
     for hot in (10**6, 4):  # whole rows, and rows cut in parts
-        out = {x.id: np.array(x.features) for x in als.half_step(r, fixed, "user_id", "item_id", 0.1, hot).collect()}
+        out = {x.id: np.array(x.features) for x in als.half_step(als.layout(r, "user_id", "item_id", 3, save, hot), fixed, 0.1).collect()}
         rows = r.collect()
         for u, x in out.items():
             m = np.array([f[t.item_id] for t in rows if t.user_id == u])
@@ -162,3 +162,30 @@ def test_binary_factors(spark, tmp_path, monkeypatch, double):
     table.tofile(tmp_path / "users.bin")
     got = {r.id: r.features for r in read_binary(spark, str(tmp_path / "users.bin"), 3, double).collect()}
     assert got == {i + 1: x.tolist() for i, x in enumerate(table)}
+
+
+def test_waves_equal_the_sequence():
+    """Visits in waves give what visits one by one give."""
+    rng = np.random.default_rng(3)
+    x, y, r = rng.integers(0, 12, 400), rng.integers(0, 9, 400), rng.integers(1, 6, 400).astype(float)
+    regs = (0.01, 0.02, 0.03, 0.04)
+    u, i, bu, bi = rng.normal(size=(12, 3)), rng.normal(size=(9, 3)), rng.normal(size=12), rng.normal(size=9)
+    want = [a.copy() for a in (u, i, bu, bi)]
+    sgd._visit(x, y, r, u, i, bu, bi, 3.0, 0.05, regs)
+    wu, wi, wbu, wbi = want
+    for a, b, s in zip(x, y, r):
+        e = s - (3.0 + wbu[a] + wbi[b] + wu[a] @ wi[b])
+        wbu[a] += 0.05 * (e - regs[0] * wbu[a])
+        wbi[b] += 0.05 * (e - regs[1] * wbi[b])
+        wu[a] += 0.05 * (e * wi[b] - regs[2] * wu[a])
+        wi[b] += 0.05 * (e * wu[a] - regs[3] * wi[b])
+    assert all(np.allclose(a, b) for a, b in zip((u, i, bu, bi), want))
+    assert len(sgd.waves(x[:0], y[:0])) == 0
+    w = sgd.waves(x, y)
+    assert all(len(set(x[w == k])) == (w == k).sum() == len(set(y[w == k])) for k in set(w))
+
+
+def test_shift_from_part_of_the_predictions(spark):
+    rows = spark.createDataFrame([(1, 1, 5, 1), (1, 2, 2, 3), (2, 1, 3, 3), (2, 2, 4, 0)], R).withColumn("predict", F.col("rating") + 0.5)
+    want = evaluate.global_shift(rows, 3).first().shift
+    assert evaluate.shift_of(stats.global_avg(rows), rows.filter("dataset_type = 3"), 3).first().shift == pytest.approx(want)
