@@ -57,8 +57,7 @@ def marks(text: Column, k: int = K, window: int = WINDOW) -> Column:
             def chosen(u: Column) -> Column:
                 # a reversed place makes the rightmost of equal hashes the least
                 packed = F.transform(F.sequence(F.lit(0), count - 1), lambda i: _hash(u, i, k).bitwiseAND(F.lit(~_PLACE)).bitwiseOR((F.lit(_PLACE) - i).cast("long")))
-                # a gram chosen by several windows is chosen by neighbouring ones
-                fresh = _bind(least_of_windows(packed, window), lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1))))
+                fresh = F.array_distinct(least_of_windows(packed, window))  # in order; several windows may choose one gram
                 places = F.transform(fresh, lambda x: (F.lit(_PLACE) - x.bitwiseAND(F.lit(_PLACE))).cast("int"))
                 return F.transform(places, lambda i: F.struct(_hash(u, i, k).alias("h"), (i + s * STRETCH).alias("p")))
 
@@ -97,10 +96,13 @@ def _spliced(own: Column, tail: Column, start: Column) -> Column:
 
     ``start`` is the last window that lies in the unchanged part; what ``tail`` chooses first is the last that may be in both.
     """
-    moved = F.transform(tail["positions"], lambda p: p + start)
-    same = F.size(F.filter(own["positions"], lambda p: p < F.get(moved, F.lit(0))))
-    same = F.when((start > 0) & (F.size(moved) > 0), same).otherwise(0)
-    return F.struct(*[F.concat(F.slice(own[c], F.lit(1), same), x).alias(c) for c, x in (("hashes", tail["hashes"]), ("positions", moved))])
+
+    def joined(moved: Column) -> Column:
+        same = _bind(F.get(moved, F.lit(0)), lambda first: F.size(F.filter(own["positions"], lambda p: p < first)))
+        same = F.when((start > 0) & (F.size(moved) > 0), same).otherwise(0)
+        return _bind(same, lambda n: F.struct(*[F.concat(F.slice(own[c], F.lit(1), n), x).alias(c) for c, x in (("hashes", tail["hashes"]), ("positions", moved))]))
+
+    return _bind(F.transform(tail["positions"], lambda p: p + start), joined)
 
 
 def with_next(docs: DataFrame, id_col: str, carried: dict[str, str], parts: int, derived: dict[str, Column]) -> DataFrame:
