@@ -2,8 +2,8 @@
 
 Texts become sets of word shingles. Three exact steps leave little for the trees:
 
-1. All shingles are dealt by hash (as packed blobs, 6 bytes a shingle) and those of one text alone are found. A text
-   with fewer than ``percent`` % of its shingles in some other text can't have a link, whatever it shares.
+1. All shingles are dealt by hash (as packed blobs, 6 bytes a shingle) and those of one text alone are found; a
+   chance equality of their halves only keeps a text in for longer. A text with fewer than ``percent`` % of its shingles in some other text can't have a link, whatever it shares.
 2. Texts with equal sets are one from here on. For those left, the share of every shingle is counted among them; in
    the order from rare to common, a linked pair has one of the first ``n - need + 1`` shingles of both in common.
    Texts that share such a shingle form groups; all links lie within groups.
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import buckets, grams, hash_spans, lower_ascii, materialize, mix, pieces, text_view, words
 from .graph import Forest, components
-from .signature_tree import SignatureTree
+from .signature_tree import windowed_links
 
 K, PERCENT = 5, 75
-BLOCK_SHINGLES = 3_000_000  # shingles a task compares at once
+BLOCK_SHINGLES = 250_000  # shingles of a group that a task compares at once
 SMALL_IDS = 1_000_000  # ids that may be broadcast (16 MB); more are joined by a shuffle
 
 
@@ -54,13 +54,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], k: int, most: int = 1_000_000) ->
         yield ids, sets
 
 
-def _dealt(sets: list[np.ndarray], n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, low halves of the hashes, owners' numbers), a bucket at a time."""
+def _dealt(sets: list[np.ndarray], n: int, kind: type = np.uint32) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, hashes or their low halves, owners' numbers), a bucket at a time."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets), dtype=np.uint16 if len(sets) < 65536 else np.uint32), [len(s) for s in sets])
     bucket = ((flat >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-    order = np.lexsort((flat.astype(np.uint32), bucket))
-    flat, owner, bucket = flat[order].astype(np.uint32), owner[order], bucket[order]
+    order = np.lexsort((flat.astype(kind), bucket))
+    flat, owner, bucket = flat[order].astype(kind), owner[order], bucket[order]
     bounds = np.searchsorted(bucket, np.arange(n + 1))
     for b in range(n):
         if bounds[b] < bounds[b + 1]:
@@ -176,15 +176,15 @@ def group_edges(sets: DataFrame, n: int, percent: int) -> DataFrame:
                 ids, own = np.array(all_ids[at : at + 2000], np.int64), [np.frombuffer(x, np.uint64) for x in blobs[at : at + 2000]]
                 block, number = (part << 24) + number, number + 1
                 sizes = np.array([len(s) for s in own], np.int64)
-                yield _rows([(n + block % n, block, 0, ids.tobytes(), sizes.tobytes())] + [(b, block, 1, v.tobytes(), ids[o].tobytes()) for b, v, o in _dealt(own, n)])
+                yield _rows([(n + block % n, block, 0, ids.tobytes(), sizes.tobytes())] + [(b, block, 1, v.tobytes(), ids[o].tobytes()) for b, v, o in _dealt(own, n, np.uint64)])
 
     def count(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket >= n:
             return table.select(["block", "kind", "a", "b"])
         blocks, values, owners = (table.column(c).to_pylist() for c in ("block", "a", "b"))
-        value, owner = np.concatenate([np.frombuffer(v, np.uint32) for v in values]), np.concatenate([np.frombuffer(o, np.int64) for o in owners])
-        block = np.repeat(np.array(blocks), [len(v) // 4 for v in values])
+        value, owner = np.concatenate([np.frombuffer(v, np.uint64) for v in values]), np.concatenate([np.frombuffer(o, np.int64) for o in owners])
+        block = np.repeat(np.array(blocks), [len(v) // 8 for v in values])
         order, first, length = _shared(value)
         least = np.minimum.reduceat(owner[order], np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))) if len(order) else np.zeros(0, np.int64)
         runs = np.cumsum(np.concatenate([[True], first[1:] != first[:-1]])) - 1 if len(order) else np.zeros(0, np.int64)
@@ -218,7 +218,7 @@ def group_edges(sets: DataFrame, n: int, percent: int) -> DataFrame:
     return counted.groupBy("block").applyInArrow(prefixes, "a long, b long")
 
 
-_MARK = np.dtype([("id", "<i8"), ("least", "<i8"), ("times", "<u4"), ("value", "<u4"), ("bucket", "<u4")])
+_MARK = np.dtype([("id", "<i8"), ("least", "<i8"), ("value", "<u8"), ("times", "<u4"), ("bucket", "<u4")])
 
 
 def _tree_links(table: pa.Table, percent: int) -> pa.Table:
@@ -229,8 +229,8 @@ def _tree_links(table: pa.Table, percent: int) -> pa.Table:
     for p in np.unique(part):
         at = np.flatnonzero(part == p)
         if len(at) > 1:
-            tree = SignatureTree([np.frombuffer(blobs[i], np.uint64) for i in at], percent)
-            out += [(int(ids[at[x]]), int(ids[at[y]])) for x, y in tree.links(label[at])]
+            links = windowed_links([np.frombuffer(blobs[i], np.uint64) for i in at], percent, label[at])
+            out += [(int(ids[at[x]]), int(ids[at[y]])) for x, y in links]
     return pa.table([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 

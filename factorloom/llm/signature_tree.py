@@ -14,6 +14,23 @@ import numpy as np
 LEAF = 8
 
 
+def windowed_links(sets: list[np.ndarray], percent: int, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all that is connected beyond equal ``labels``, by one tree for each doubling of the size.
+
+    Two sets that link have sizes a <= b with 100 a >= percent b, so both are in the window that begins at the power
+    of two below a. A window's bitmaps are as wide as its largest set needs, whatever other sizes there are.
+    """
+    sizes, labels, found = np.array([len(s) for s in sets], np.int64), np.asarray(labels).copy(), []
+    for k in np.unique(np.floor(np.log2(sizes)).astype(np.int64)).tolist():
+        at = np.flatnonzero((sizes >= 1 << k) & (percent * sizes <= 100 * (2 << k)))
+        if len(at) > 1:
+            for x, y in SignatureTree([sets[i] for i in at], percent).links(labels[at]):
+                x, y = int(at[x]), int(at[y])
+                labels[labels == labels[y]] = labels[x]
+                found.append((x, y))
+    return found
+
+
 class SignatureTree:
     """``sets``: sorted uint64 arrays without repeats, none empty; a link: 100 * both >= percent * either."""
 
