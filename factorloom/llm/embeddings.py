@@ -21,8 +21,9 @@ from .common import materialize
 from .graph import components
 
 CELL = 1024  # vectors a cell should hold
-MOST_CELLS = 1024  # over all labels: bounds the centres that are broadcast (64 dimensions: 0.5 MB)
+MOST_CELLS = 4096  # over all labels: bounds the centres that are broadcast (64 dimensions: 2 MB); beyond, cells grow
 SAMPLE = 32  # vectors drawn for each centre
+ROWS = 1024  # vectors that are placed at once
 BLOCK = 2048  # vectors a side in one product
 
 
@@ -37,6 +38,13 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _unit_rows(column: pa.Array) -> np.ndarray:
+    """Unit vectors of a list column whose lists are of one length."""
+    x = column.flatten().to_numpy().reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Unit centres of unit vectors; an empty cell keeps its centre."""
     centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
@@ -59,10 +67,13 @@ def _centres(spark: SparkSession, rows: DataFrame) -> dict[tuple, np.ndarray]:
         return {}
     shares = spark.createDataFrame([(key[0], key[1], SAMPLE * k / (want[key] * CELL)) for key, k in cells.items()], f"label {rows.schema['label'].dataType.simpleString()}, dim int, share double")
     drawn = rows.join(F.broadcast(shares), ["label", "dim"]).filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    table = drawn.select("label", "dim", "rep", "vec").toArrow()  # about SAMPLE * MOST_CELLS rows at most
+    keys, order = list(zip(table.column("label").to_pylist(), table.column("dim").to_pylist())), np.argsort(table.column("rep").to_numpy(), kind="stable")
     by: dict[tuple, list] = {}
-    for r in drawn.orderBy("rep").select("label", "dim", "vec").collect():  # about SAMPLE * MOST_CELLS rows at most
-        by.setdefault((r["label"], r["dim"]), []).append(r["vec"])
-    return {key: spherical_kmeans(_unit(v), cells[key]) for key, v in by.items() if len(v) > 1}
+    for i in order.tolist():
+        by.setdefault(keys[i], []).append(i)
+    vecs = table.column("vec").combine_chunks()
+    return {key: spherical_kmeans(_unit_rows(vecs.take(pa.array(at))), cells[key]) for key, at in by.items() if len(at) > 1}
 
 
 def _product(table: pa.Table, least: float) -> pa.Table:
@@ -127,20 +138,20 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
 
     def place(batches):
         for batch in batches:
-            vecs, labels, dims = batch.column("vec").to_pylist(), batch.column("label").to_pylist(), batch.column("dim").to_pylist()
-            home, guests = np.zeros(len(vecs), np.int64), [[] for _ in vecs]
-            for key in set(zip(labels, dims)) & set(shared.value):
-                at = [i for i, k in enumerate(zip(labels, dims)) if k == key]
-                c = shared.value[key]
-                x = _unit([vecs[i] for i in at])
-                dots = x @ c.T
-                own = dots.argmax(axis=1)
-                gap = np.linalg.norm(c[:, None] - c[None], axis=2)[own]
-                near = dots[np.arange(len(at)), own][:, None] - dots <= reach * gap
-                near[np.arange(len(at)), own] = False
-                home[at] = own
-                for i, row in zip(at, near):
-                    guests[i] = np.flatnonzero(row).tolist()
+            vecs, keys = batch.column("vec"), list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist()))
+            home, guests = np.zeros(len(keys), np.int64), [[] for _ in keys]
+            for key in set(keys) & set(shared.value):
+                c, every = shared.value[key], [i for i, k in enumerate(keys) if k == key]
+                for start in range(0, len(every), ROWS):
+                    at = every[start : start + ROWS]
+                    dots = _unit_rows(vecs.take(pa.array(at))) @ c.T
+                    own = dots.argmax(axis=1)
+                    gap = np.sqrt(np.maximum(2 - 2 * (c[own] @ c.T), 0))  # between unit centres
+                    near = dots[np.arange(len(at)), own][:, None] - dots <= reach * gap + 1e-9
+                    near[np.arange(len(at)), own] = False
+                    home[at] = own
+                    for i, row in zip(at, near):
+                        guests[i] = np.flatnonzero(row).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "dim", "rep", "times", "vec")] + [pa.array(home), pa.array(guests, pa.list_(pa.int64()))], ["label", "dim", "rep", "times", "vec", "home", "guests"])
 
     kind = one.schema["label"].dataType.simpleString()
