@@ -5,7 +5,7 @@ words and word pairs, and runs of one word repeated, whatever the word. Each is
 hinge-loss model is fitted by dual coordinate descent; a sigmoid on rows kept apart turns margins into scores.
 
 Log-count ratios count all labelled training rows. The linear model is fitted on a bounded sample of them
-(``FIT_ROWS``), drawn by a hash of the id. Neither language, source, id nor labels are inputs of a score.
+(``FIT_ROWS``, ``FIT_FEATURES``), drawn by a hash of the id. Neither language, source, id nor labels are inputs of a score.
 """
 
 from __future__ import annotations
@@ -14,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hash_spans, lower_ascii, mix, pieces, text_view, words
 
 DIM = 1 << 18
-FIT_ROWS = 8000  # labelled rows at most, about, that the linear model and the sigmoid are fitted on
+FIT_ROWS, FIT_FEATURES = 8000, 12_000_000  # labelled rows, and features in them, that the linear model and the sigmoid are fitted on, at most, about
 SMALL_LABELS = 2_000_000  # labels that may be broadcast (32 MB); more are joined by a shuffle
-_CHUNK = 1 << 12
+_CHUNK, _GROUPS = 1 << 12, 64
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
@@ -61,6 +62,12 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
         yield at
 
 
+def log_count_ratios(sums: np.ndarray) -> np.ndarray:
+    """Of each feature: log of its share among class 1's features over that among class 0's, with one added to each count."""
+    p, q = sums[1] + 1.0, sums[0] + 1.0
+    return np.log(p / p.sum()) - np.log(q / q.sum())
+
+
 def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 1) -> np.ndarray:
     """Weights of the L2-regularised hinge loss, by coordinate descent in the dual; rows: (columns, values)."""
     w, alpha = np.zeros(DIM + 1), np.zeros(len(rows))
@@ -108,6 +115,9 @@ def train(spark: SparkSession, labelled: DataFrame, fit_rows: int = FIT_ROWS) ->
     """(weight and squared scale of each feature, constant) on the score's logit scale, from rows ``id long, text, y int`` (0 or 1).
 
     Returns the ratios folded into the weights. With rows of one class only, or none, the constant says it all.
+
+    Cases: null text counts as empty and has no features; repeated rows count each; ties of equal rows stand in any
+    order with the same result; texts of any length give their whole set of features; other columns are ignored.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,19 +127,23 @@ def train(spark: SparkSession, labelled: DataFrame, fit_rows: int = FIT_ROWS) ->
                 sums[y, at] += 1
                 rows[y] += 1
         if rows.sum():
-            yield pa.RecordBatch.from_pydict({"chunk": list(range(DIM // _CHUNK)), "sums": [sums[:, a : a + _CHUNK].tobytes() for a in range(0, DIM, _CHUNK)], "n0": [int(rows[0])] * (DIM // _CHUNK), "n1": [int(rows[1])] * (DIM // _CHUNK)})
+            group = TaskContext.get().partitionId() % _GROUPS
+            yield pa.RecordBatch.from_pydict({"chunk": list(range(DIM // _CHUNK)), "part": [group] * (DIM // _CHUNK), "sums": [sums[:, a : a + _CHUNK].tobytes() for a in range(0, DIM, _CHUNK)], "n0": [int(rows[0])] * (DIM // _CHUNK), "n1": [int(rows[1])] * (DIM // _CHUNK)})
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
-        return pa.table({"chunk": [table.column("chunk")[0].as_py()], "sums": [total.tobytes()], "n0": [sum(table.column("n0").to_pylist())], "n1": [sum(table.column("n1").to_pylist())]})
+        return pa.table({"chunk": [table.column("chunk")[0].as_py()], "part": [table.column("part")[0].as_py()], "sums": [total.tobytes()], "n0": [sum(table.column("n0").to_pylist())], "n1": [sum(table.column("n1").to_pylist())]})
 
-    schema = "chunk long, sums binary, n0 long, n1 long"
-    parts = labelled.mapInArrow(counts, schema).groupBy("chunk").applyInArrow(add, schema).orderBy("chunk").collect()  # a bounded number of rows
+    schema = "chunk long, part long, sums binary, n0 long, n1 long"
+    # few tasks with much to count each; their sums are added up in two steps, so that no task gets them all
+    few = labelled.coalesce(4 * spark.sparkContext.defaultParallelism)
+    added = few.mapInArrow(counts, schema).groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
+    parts = added.orderBy("chunk").collect()  # DIM / _CHUNK rows
     if not parts or not parts[0].n0 or not parts[0].n1:
         return np.zeros((2, DIM)), 0.0 if not parts else (3.0 if parts[0].n1 else -3.0)
-    sums = np.concatenate([np.frombuffer(p["sums"], np.int64).reshape(2, -1) for p in parts], axis=1) + 1.0
-    ratio = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
-    share = min(1.0, fit_rows / (parts[0].n0 + parts[0].n1))
+    sums = np.concatenate([np.frombuffer(p["sums"], np.int64).reshape(2, -1) for p in parts], axis=1)
+    ratio = log_count_ratios(sums)
+    share = min(1.0, fit_rows / (parts[0].n0 + parts[0].n1), FIT_FEATURES / max(1, int(sums.sum())))
     drawn = labelled.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 24)) < int(share * (1 << 24)))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +196,12 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float],
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_out: int = 2) -> DataFrame:
-    """``id, text, y`` of the documents with a label 0 or 1, but those whose crc32 of the id's text mod ``folds`` is ``held_out``."""
+    """``id, text, y`` of the documents with a label 0 or 1, but those whose crc32 of the id's text mod ``folds`` is ``held_out``.
+
+    Cases: null ids and labels that are null or neither 0 nor 1 are left out; of several labels of one id the largest
+    counts; repeated documents come out repeated; an empty table gives no rows; other columns are ignored, whatever
+    their names.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.filter(F.crc32(F.col("id").cast("string").cast("binary")) % folds != held_out).groupBy("id").agg(F.max("y").alias("y"))
     small = known.limit(SMALL_LABELS + 1).count() <= SMALL_LABELS
@@ -196,6 +215,9 @@ def is_held_out(id_col: str = "doc_id", folds: int = 4, held_out: int = 2):
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on the rows that are not held out, then score every row: ``id_col, held_out, score, predicted``."""
+    """Train on the rows that are not held out, then score every row: ``id_col, held_out, score, predicted``.
+
+    Cases: as for ``score``; a null id is not held out; without labels every score is 0.5.
+    """
     scored = score(spark, docs, train(spark, training_rows(docs, labels, id_col, text_col)), id_col, text_col)
     return scored.select(id_col, is_held_out(id_col).alias("held_out"), "score", "predicted")

@@ -258,3 +258,52 @@ def test_packing():
         assert (katz.unpack(katz.pack(x), x.dtype) == x).all()
         assert (katz.from_steps(katz.steps(np.sort(x)), x.dtype) == np.sort(x)).all()
     assert hashlib.sha256(katz.pack(np.arange(3))).hexdigest() == hashlib.sha256(katz.pack(np.arange(3))).hexdigest()
+
+
+def test_log_count_ratios():
+    """From documents' feature sets counted one by one."""
+    texts, y = ["good good words here", "bad words", "good", "bad bad BAD!!", ""], [1, 0, 1, 0, 1]
+    sets = list(quality.features(pa.array(texts)))
+    sums = np.zeros((2, quality.DIM), np.int64)
+    for s, k in zip(sets, y):
+        for f in s.tolist():
+            sums[k, f] += 1
+    got = quality.log_count_ratios(sums)
+    totals = [sum(len(s) for s, k in zip(sets, y) if k == c) + quality.DIM for c in (0, 1)]
+    for f in {*sets[0].tolist(), *sets[1].tolist()}:
+        p, q = (1 + sum(f in s.tolist() for s, k in zip(sets, y) if k == c) for c in (1, 0))
+        assert got[f] == pytest.approx(math.log(p / totals[1]) - math.log(q / totals[0]), abs=1e-12)
+
+
+def test_dual_coordinate_descent_finds_the_optimum(monkeypatch):
+    """Its primal objective comes to what plain subgradient steps with averaging reach on the same rows, and no higher."""
+    monkeypatch.setattr(quality, "DIM", 6)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 6))
+    y = np.where(x[:, 0] - 0.5 * x[:, 3] + 0.3 * rng.normal(size=80) > 0.2, 1, -1)
+    rows = [(np.arange(6), r) for r in x]
+    w = quality.dual_coordinate_descent(rows, y, cost=0.5, rounds=500)
+    full = np.hstack([x, np.ones((80, 1))])
+    primal = lambda v: 0.5 * v @ v + 0.5 * np.maximum(0, 1 - y * (full @ v)).sum()
+    v, best = np.zeros(7), np.inf
+    for t in range(1, 20001):
+        hit = y * (full @ v) < 1
+        v = v - (v - 0.5 * (y[hit, None] * full[hit]).sum(axis=0)) / (t + 10)
+        best = min(best, primal(v))
+    assert primal(w) <= best * 1.002
+    assert abs(primal(w) - best) < 0.01 * best
+
+
+def test_sigmoid_fit_is_the_likeliest():
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=500) * 2
+    y = np.where(rng.random(500) < 1 / (1 + np.exp(-(1.7 * m - 0.4))), 1, -1)
+    a, b = quality.sigmoid_fit(m, y)
+    up, n = (y > 0).sum(), len(y)
+    target = np.where(y > 0, (up + 1) / (up + 2), 1 / (n - up + 2))
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * m + b)))
+        return -(target * np.log(p) + (1 - target) * np.log(1 - p)).sum()
+
+    assert all(loss(a, b) <= loss(a + s, b + t) + 1e-3 for s in (-0.05, 0, 0.05) for t in (-0.05, 0, 0.05))
