@@ -27,7 +27,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, TextEncoder)
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 4 << 20):
             ids, first = enc.encode(*text_view(batch.column("text")))
             n_tokens, id_text, token_text = np.diff(first), enc.id_text, enc.token_text
             out: dict[str, list] = {"ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}

@@ -14,7 +14,7 @@ independently and their ids concatenated, with the same ids as for the whole tex
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -97,18 +97,20 @@ class FragmentEncoder:
         distinct, number = distinct_spans(raw, starts, ends)
         if len(self.places) + len(distinct) > _MOST_CACHED or self.held > _MOST_BYTES:
             self._clear()
-        fresh = [x for x in distinct if x not in self.places]
-        if fresh:
+        places = np.fromiter(map(self.places.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            fresh = [distinct[i] for i in missing.tolist()]
+            places[missing] = np.arange(len(self.lens), len(self.lens) + len(fresh))
             ids: list[list[int]] = []
             for i in range(0, len(fresh), 4096):  # the library's results are large
                 ids += [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh[i : i + 4096]], add_special_tokens=False)]
             lens = np.fromiter(map(len, ids), np.int32, len(ids))
-            self.places.update(zip(fresh, range(len(self.lens), len(self.lens) + len(fresh))))
+            self.places.update(zip(fresh, places[missing].tolist()))
             self.held += sum(map(len, fresh))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens, dtype=np.int64) - lens])
             self.lens = np.concatenate([self.lens, lens])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))])
-        places = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
         return places[number], first
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -65,7 +65,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_i
         name = f"part-{number:06d}-{uuid.uuid4().hex}"
         store, folder = _fs(path)
         sizes, ids_of, valid, total, out = [], [], [], 0, None
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 4 << 20):
             out = out or store.open_output_stream(os.path.join(folder, f"{name}.bin"))
             ids, first = enc.encode(*text_view(batch.column("text")))
             lens = np.diff(first)
