@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import string
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +50,25 @@ NOTICES = [
     Notice("apache-2", "terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions", "terms and conditions for use reproduction and distribution"),
     Notice("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee is hereby granted"),
     Notice("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Notice("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "to deal in the software without restriction"),
+    Notice("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies"),
+    Notice("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "you may not use this file except in compliance with the license"),
+    Notice("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    Notice("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    Notice("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "this source code form is subject to the terms of the mozilla public license"),
+    Notice("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "you can redistribute it and or modify it under the terms of the gnu"),
+    Notice("warranty-disclaimer", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "is provided as is without warranty of any kind"),
+    # names and short identifiers
+    Notice("mit", "the mit license", "mit license"),
+    Notice("mit", "spdx license identifier mit", "license identifier mit"),
+    Notice("apache-2", "spdx license identifier apache 2 0", "apache 2 0"),
+    Notice("apache-2", "the apache 2 license", "apache 2 license"),
+    Notice("gpl-3", "spdx license identifier gpl 3 0", "gpl 3 0"),
+    Notice("gpl-2", "spdx license identifier gpl 2 0", "gpl 2 0"),
+    Notice("bsd", "spdx license identifier bsd 3 clause", "bsd 3 clause"),
+    Notice("bsd", "spdx license identifier bsd 2 clause", "bsd 2 clause"),
+    Notice("mpl-2", "spdx license identifier mpl 2 0", "mpl 2 0"),
+    Notice("cc0", "creative commons zero cc0 1 0 universal", "cc0 1 0"),
 ]
 BITS = 16  # of a word number, below its position
 
@@ -71,17 +89,21 @@ def index(docs: DataFrame, text_col: str, vocabulary: list[str]) -> DataFrame:
     return docs.select(*keep, F.inline(F.transform(F.array(words(F.col(text_col))), scan)))
 
 
+def _constant(values: list, kind: str) -> Column:
+    """A constant array, as one literal however long it is."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
 def _starts(hits: Column, notice: list[int], order: list[int]) -> Column:
     """Starts of a run of word numbers; ``order`` has its positions from the rarest word on."""
 
-    def of(j: int) -> Column:
-        own = F.filter(hits, lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1).cast("long")) == notice[j])
+    def of(word: Column, j: Column) -> Column:
+        own = F.filter(hits, lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1).cast("long")) == word)
         return F.transform(own, lambda h: F.shiftright(h, BITS) - j)
 
-    def narrow(found: Column, j: int) -> Column:
-        return F.transform(F.array(found), lambda f: F.when(F.size(f) == 0, f).otherwise(F.array_intersect(f, of(j))))[0]
-
-    return reduce(narrow, order[1:], of(order[0]))
+    rest, words_ = _constant(order[1:], "bigint"), _constant(notice, "bigint")
+    first = of(F.lit(notice[order[0]]).cast("long"), F.lit(order[0]).cast("long"))
+    return F.aggregate(rest, first, lambda found, j: F.when(F.size(found) == 0, found).otherwise(F.array_intersect(found, of(F.get(words_, j.cast("int")), j))))
 
 
 def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: list[Notice] = NOTICES) -> DataFrame:
@@ -111,9 +133,11 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
             outside = [j for j in range(len(text)) if not at <= j < at + len(key)]
             inner = sum(idf[w] for w in key)
 
-            def score(start: Column, text=text, outside=outside, at=at, inner=inner, whole=whole) -> Column:
-                near = [F.when(F.array_contains(hits, F.shiftleft(start - at + j, BITS) + text[j]), idf[text[j]]).otherwise(0.0) for j in outside]
-                return reduce(lambda a, b: a + b, near, F.lit(inner)) / whole
+            around = [_constant(x, kind) for x, kind in ((outside, "bigint"), ([text[j] for j in outside], "bigint"), ([idf[text[j]] for j in outside], "double"))]
+
+            def score(start: Column, around=around, at=at, inner=inner, whole=whole) -> Column:
+                near = F.transform(around[0], lambda j, i: F.when(F.array_contains(hits, F.shiftleft(start - at + j, BITS) + F.get(around[1], i)), F.get(around[2], i)).otherwise(0.0))
+                return F.aggregate(near, F.lit(inner), lambda a, b: a + b) / whole
 
             def place(start: Column, notice=notice, score=score) -> Column:
                 return F.struct(F.lit(notice.label).alias("label"), F.lit(notice.base).alias("base"), start.alias("start"), score(start).alias("score"))

@@ -72,7 +72,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CLASSES = "reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x), least AS (SELECT x, min(y) y FROM reach GROUP BY 1)"
 
-_NOTICES = ", ".join(f"('{n.label}', {str(n.base).lower()}, {n.key.split()}, {n.text.split()}, {next(i for i in range(99) if n.text.split()[i:][: len(n.key.split())] == n.key.split())})" for n in licences.NOTICES)
+
+
+def _notice_row(n: licences.Notice) -> str:
+    """Label, base, key, text, offset of the key in the text, and the key's longest word with its place."""
+    key, text = n.key.split(), n.text.split()
+    longest = max(range(len(key)), key=lambda j: len(key[j]))
+    return f"('{n.label}', {str(n.base).lower()}, {key}, {text}, {next(i for i in range(len(text)) if text[i:][: len(key)] == key)}, '{key[longest]}', {longest})"
+
+
+_NOTICES = ", ".join(map(_notice_row, licences.NOTICES))
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) size FROM documents),
@@ -89,10 +98,13 @@ c AS (SELECT doc_id, sum(size) OVER (ORDER BY finish, ord, doc_id ROWS UNBOUNDED
 m AS (SELECT doc_id, count(*) copies FROM c WHERE queued <= (SELECT sum(size) FROM o) GROUP BY 1)
 SELECT r.doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) taken, source, CAST(coalesce(copies, 0) AS INTEGER) copies FROM r LEFT JOIN m ON m.doc_id = r.doc_id""",
     "op9_licences": rf"""WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
-notices(label, base, key, txt, off) AS (VALUES {_NOTICES}),
+pos AS (SELECT doc_id, unnest(w) x, generate_subscripts(w, 1) i FROM w),
+notices(label, base, key, txt, off, kx, ko) AS (VALUES {_NOTICES}),
 voc AS (SELECT DISTINCT unnest(txt) v FROM notices),
-idf AS (SELECT v, ln(((SELECT count(*) FROM w) + 1) / (count(doc_id) + 1)) + 1e-6 idf FROM voc LEFT JOIN w ON list_contains(w.w, v) GROUP BY 1),
-places AS (SELECT doc_id, label, base, key, txt, off, w, unnest(list_filter(range(1, len(w) - len(key) + 2), lambda i: w[i:i + len(key) - 1] = key)) s FROM w, notices),
+df AS (SELECT x, count(DISTINCT doc_id) n FROM pos WHERE x IN (SELECT v FROM voc) GROUP BY 1),
+idf AS (SELECT v, ln(((SELECT count(*) FROM w) + 1) / (coalesce(n, 0) + 1)) + 1e-6 idf FROM voc LEFT JOIN df ON x = v),
+near AS (SELECT doc_id, label, base, key, txt, off, i - ko s FROM pos JOIN notices ON x = kx),
+places AS (SELECT doc_id, label, base, key, txt, off, w, s FROM near JOIN w USING (doc_id) WHERE s >= 1 AND w[s:s + len(key) - 1] = key),
 words AS (SELECT doc_id, label, s, off, key, w, unnest(txt) v, generate_subscripts(txt, 1) j FROM places),
 scored AS (SELECT doc_id, label, s, sum(CASE WHEN j - 1 >= off AND j - 1 < off + len(key) OR (s - off + j - 1 >= 1 AND w[s - off + j - 1] = words.v) THEN idf ELSE 0 END) / sum(idf) score FROM words JOIN idf ON idf.v = words.v GROUP BY ALL),
 p AS (SELECT places.doc_id, places.label, base, places.s - 1 s, score FROM places JOIN scored ON scored.doc_id = places.doc_id AND scored.label = places.label AND scored.s = places.s),
