@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +43,29 @@ def portions(counts: DataFrame, key: str, capacity: int, threads: int = 1) -> Da
     """Ranges of ids packed to at most ``capacity`` ratings (``portion, id_to, n_rows, n_ratings``).
 
     Ids are walked in order and a portion closes when the next id would overfill it; capacity is at least the largest
-    row, and at most what gives each thread a portion. The walk is one fold over (id, count) pairs, a few bytes an
-    id: Spark's own partitioning takes the place of portions in a training, this is for reports and parity.
-    """
-    rows = counts.filter("ratings_count > 0")
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col("ratings_count").cast("long").alias("n"))))
-    total, most = F.sum("ratings_count"), F.max("ratings_count")
-    cap = F.greatest(F.when(total < capacity * threads, F.ceil(total / threads)).otherwise(F.lit(capacity)), most).cast("long")
-    fold = """
-        aggregate(pairs, named_struct('done', cast(array() as array<struct<id_to: bigint, n_rows: bigint, n_ratings: bigint>>), 'id', 0L, 'rows', 0L, 'sum', 0L),
-            (a, p) -> if(a.rows > 0 and a.sum + p.n > cap,
-                named_struct('done', concat(a.done, array(named_struct('id_to', a.id, 'n_rows', a.rows, 'n_ratings', a.sum))), 'id', p.id, 'rows', 1L, 'sum', p.n),
-                named_struct('done', a.done, 'id', p.id, 'rows', a.rows + 1L, 'sum', a.sum + p.n)),
-            a -> if(a.rows > 0, concat(a.done, array(named_struct('id_to', a.id, 'n_rows', a.rows, 'n_ratings', a.sum))), a.done))
+    row, and at most what gives each thread a portion. Where a portion ends depends on all before it, so one task
+    walks over the sorted (id, count) pairs as they stream by and holds the open portion only. Spark's own
+    partitioning takes the place of portions in a training, this is for reports and parity.
     """
-    out = rows.agg(pairs.alias("pairs"), cap.alias("cap")).select(F.posexplode(F.expr(fold)).alias("portion", "p"))
-    return out.select(F.col("portion").cast("long").alias("portion"), "p.id_to", "p.n_rows", "p.n_ratings")
+    rows = counts.filter("ratings_count > 0").select(F.col(key).cast("long").alias("id"), F.col("ratings_count").cast("long").alias("n"))
+    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    cap = max(-(-size.total // threads) if size.total < capacity * threads else capacity, size.most)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, last, n_rows, total = 0, 0, 0, 0
+        names = ["portion", "id_to", "n_rows", "n_ratings"]
+        for batch in batches:
+            done = []
+            for i, n in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist()):
+                if n_rows and total + n > cap:
+                    done.append((number, last, n_rows, total))
+                    number, n_rows, total = number + 1, 0, 0
+                last, n_rows, total = i, n_rows + 1, total + n
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in range(4)], names)
+        if n_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, last, n_rows, total)], names)
+
+    return rows.orderBy("id").coalesce(1).mapInArrow(walk, "portion long, id_to long, n_rows long, n_ratings long")
 
 
 def lookup_user(users: DataFrame, extra: DataFrame, login: str | None = None, user_id: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +29,18 @@ def _query(sql: str | None = None):
     return register
 
 
-def _saver(v: Views):
-    """Write and reread in the shared folder, or a local one in a plain local session."""
-    import tempfile
-    import uuid
-
+def _root(v: Views) -> str:
+    """A fresh path in the shared folder, or in a local one in a plain local session."""
     place = v.spark.conf.get("spark.checkpoint.dir", None)
     master = v.spark.sparkContext.master
     if not place and not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{(place or 'file://' + tempfile.mkdtemp(prefix='factorloom-')).rstrip('/')}/factorloom-{uuid.uuid4().hex}"
+    return f"{(place or 'file://' + tempfile.mkdtemp(prefix='factorloom-')).rstrip('/')}/factorloom-{uuid.uuid4().hex}"
+
+
+def _saver(v: Views):
+    """Write and reread under a fresh path."""
+    root = _root(v)
 
     def save(df: DataFrame, name: str) -> DataFrame:
         path = f"{root}/{name}-{uuid.uuid4().hex}"
@@ -346,6 +350,36 @@ def ingest_counts(v: Views) -> DataFrame:
     return movielens.counts(v.table("customer"), v.table("part"), v.raw())
 
 
+def _ingested(v: Views, kind: str) -> DataFrame:
+    """Write a data set in its published format, read it back, and count by the users' own ids."""
+    root = _root(v)
+
+    def write(name: str, df: DataFrame) -> None:
+        file, sep, schema = movielens.FORMATS[kind][name]
+        rest = [F.lit("0")] * (len(schema.split(", ")) - len(df.columns))
+        df.select(F.concat_ws(sep, *[F.col(c).cast("string") for c in df.columns], *rest)).write.text(f"{root}/{file}")
+
+    write("users", v.table("customer").select((F.col("c_custkey") + 1).alias("id")))
+    write("items", v.table("part").select((F.col("p_partkey") + 1).alias("id"), "p_name"))
+    write("ratings", v.raw().select("user_id", "item_id", "rating"))
+    users, items, ratings = movielens.read(v.spark, root, kind)
+    rows = ratings.join(users.select("id", F.col("list_id").alias("user_id")), "user_id").join(items.select(F.col("id").alias("item_id"), "name"), "item_id")
+    return rows.groupBy("id").agg(F.count("*").alias("n_ratings"), F.sum("rating").alias("sum_rating"), F.min("name").alias("first_name"))
+
+
+_INGESTED = f"WITH {fx.RAW} SELECT user_id id, count(*) n_ratings, CAST(sum(rating) AS BIGINT) sum_rating, min(p_name) first_name FROM raw JOIN part ON p_partkey + 1 = item_id GROUP BY 1"
+
+
+@_query(_INGESTED)
+def ingest_100k(v: Views) -> DataFrame:
+    return _ingested(v, "100k")
+
+
+@_query(_INGESTED)
+def ingest_1m(v: Views) -> DataFrame:
+    return _ingested(v, "1m")
+
+
 # trainings: what must hold of a result whatever the draws; then the results themselves, without an SQL form
 
 
