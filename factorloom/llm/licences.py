@@ -153,7 +153,10 @@ def _unary(f):
 
 
 def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digest of ``scan``'s places: counts and bounds of the base notices, labels and the best score to 6 decimals."""
+    """Digest of ``scan``'s places: counts and bounds of the base notices, labels and the best score to 6 decimals.
+
+    Cases: without places the bounds are null, the labels "" and the score 0; rows come out as often as they go in.
+    """
     base = F.filter("places", lambda p: p["base"])
     labels = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda p: p["label"]))), ",")
     starts = F.transform(base, lambda p: p["start"])

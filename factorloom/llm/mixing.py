@@ -111,6 +111,9 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **how) ->
 
     Each row of the plan meets one row of ``docs``: they are joined by a key of all columns, and of equal rows (a
     repeated id, or null ids over one text) one stands for all on the side of the texts. Names from __fl_ on are reserved.
+
+    Cases: as for ``plan``: texts without words are taken no times; null ids and sources are values like others; equal
+    rows are taken up to ``repeats`` times each; an empty table gives no rows; all columns stay, whatever their names.
     """
     key = row_key(docs)
     taken = plan(spark, docs, id_col, carry=tuple(key), **how).filter("copies > 0")

@@ -127,7 +127,11 @@ def part_documents(path: str, width: int, part: tuple, step: int = 4096) -> Iter
 
 
 def read(spark: SparkSession, store: TokenStore, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """The store's documents from its files: ``id_col, start, n_tokens, ids_crc32`` and, if asked, ``ids``; a task a part."""
+    """The store's documents from its files: ``id_col, start, n_tokens, ids_crc32`` and, if asked, ``ids``; a task a part.
+
+    Cases: a null id comes back null, repeated documents as often as they were written, empty ones with the end id
+    alone; a store without parts gives no rows; a file that doesn't fit the manifest is an error.
+    """
     path, width = store.path, store.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,5 +156,5 @@ def _batch(rows: list[tuple], id_col: str, with_ids: bool) -> pa.RecordBatch:
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write ``docs`` to a store in the shared folder and read it back."""
+    """Write ``docs`` to a store in the shared folder and read it back. Cases: as for ``write`` and ``read``."""
     return read(spark, write(spark, docs, scratch(spark, "tokens"), tokenizer, end_id))
