@@ -9,11 +9,12 @@ Texts become sets of word shingles. Three exact steps leave little for the trees
    Texts that share such a shingle form groups; all links lie within groups.
 3. Within a group a signature tree finds links that connect all that is connected. A group too large for one task
    is cut into blocks: each block first on its own, then the representatives of the blocks' components, and last
-   only texts still apart from their group's largest component meet all its blocks.
+   only texts still apart from their group's largest component meet its blocks of like sizes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -266,10 +267,17 @@ def set_links(spark: SparkSession, sets: DataFrame, groups: DataFrame, n: int, p
     big = big.join(labels, big["id"] == labels["node"], "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
     main = big.groupBy("part", "label").count().groupBy("part").agg(F.max_by("label", "count").alias("main"))
     big = materialize(spark, big.join(main, "part"), "labelled")
-    apart = F.col("label") != F.col("main")
-    where = F.when(apart, F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("cuts"))))
-    rest = big.join(big.filter(apart).select("part").distinct(), "part", "left_semi")
-    found.append(links(rest.select(F.explode(where).alias("at"), "part", "id", "label", "shingles").select(F.xxhash64("part", "at").alias("task"), "part", "id", "label", "shingles")))
+    # a link's sizes are at most one class apart, so what is apart meets the blocks of three classes
+    big = materialize(spark, big.withColumn("class", F.floor(F.log("n") / (1.0001 * max(math.log(100 / percent), 1e-6))).cast("long")), "classed")
+    apart = big.filter(F.col("label") != F.col("main"))
+    rest = big.filter(F.col("label") == F.col("main")).join(apart.select("part").distinct(), "part", "left_semi")
+    sizes = big.groupBy("part", "class").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
+    sizes = materialize(spark, sizes, "classes")
+    at_home = rest.join(sizes, ["part", "class"]).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    goes = apart.withColumn("class", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1))).join(sizes, ["part", "class"])
+    goes = goes.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = at_home.select("part", "class", "at", "id", "label", "shingles").unionByName(goes.select("part", "class", "at", "id", "label", "shingles"))
+    found.append(links(both.select(F.xxhash64("part", "class", "at").alias("task"), "part", "id", "label", "shingles")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

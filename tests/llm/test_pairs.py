@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from factorloom.llm import embeddings, graph, jaccard
-from factorloom.llm.signature_tree import SignatureTree
+from factorloom.llm.signature_tree import SignatureTree, windowed_links
 
 from .conftest import ODD
 
@@ -61,9 +61,9 @@ def test_signature_tree(seed):
                 own.add(int(rng.integers(3000)))
         sets.append(np.sort(np.array(list(own), np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 175 * len(np.intersect1d(a, b)) >= 75 * (len(a) + len(b))]
-    found = SignatureTree(sets, 75).links()
-    assert set(map(frozenset, found)) <= set(map(frozenset, links)) | {frozenset()}
-    assert closure(range(len(sets)), found) == closure(range(len(sets)), links)
+    for found in (SignatureTree(sets, 75).links(), windowed_links(sets, 75, np.arange(len(sets)))):
+        assert set(map(frozenset, found)) <= set(map(frozenset, links)) | {frozenset()}
+        assert closure(range(len(sets)), found) == closure(range(len(sets)), links)
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)], [(i, i ^ 1) for i in range(20)] + [(5, None), (None, 3)]])
