@@ -28,7 +28,7 @@ from .graph import Forest, components
 from .signature_tree import windowed_links
 
 K, PERCENT = 5, 75
-BLOCK_SHINGLES = 250_000  # shingles of a group that a task compares at once
+BLOCK_SHINGLES = 2_000_000  # shingles of a group that a task compares at once (16 MB); to cut smaller groups costs more rounds than it saves
 SMALL_IDS = 1_000_000  # ids that may be broadcast (16 MB); more are joined by a shuffle
 
 
