@@ -303,7 +303,9 @@ _STEP = "WITH {r}, {f}, s AS (SELECT {k} id, CAST(count(*) AS DOUBLE) / 16 d, su
 
 def _step(v: Views, key: str, other: str, fixed: DataFrame) -> DataFrame:
     """The half-step that trainings run, at rank 2; a row of more than 50 ratings is summed in pieces."""
-    plan = als.layout(v.ratings().filter("dataset_type in (1, 2)"), key, other, 2, _saver(v), hot=50)
+    save = _saver(v)
+    ratings = save(v.ratings().filter("dataset_type in (1, 2)").select("user_id", "item_id", "rating"), "ratings")
+    plan = als.layout(ratings, key, other, 2, save, hot=50)
     out = als.half_step(plan, fixed.select("id", "features"), 1 / 16)
     return out.select("id", *[F.round(F.element_at("features", k + 1), 6).alias(f"f{k}") for k in (0, 1)])
 
