@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.split import resplit
 
+TASK_ROWS = 500_000  # order lines that a task should get, about: with all steps by user some 250 MB
+
 
 class Views:
     """Lazy views over ``<sf_dir>/<table>.parquet``; each names the columns it needs, so scans read no others."""
@@ -17,16 +21,26 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def parts(self) -> int:
+        """Tasks for a step over all order lines, by their number, which the files' footers tell."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.table("lineitem").count() // TASK_ROWS))
+
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` by hash of ``key`` for a join by it; few rows are left to Spark, which may broadcast them."""
+        return df.repartition(self.parts, key) if self.parts > self.spark.sparkContext.defaultParallelism else df
+
     def raw(self) -> DataFrame:
         """user_id, item_id, rating, dataset_type 0: the best quantity of a part that a customer ordered, in steps of 10.
 
-        One exchange by user after the join: the grouping and every per-user window that follows reuse it.
+        One exchange by user after the join: the grouping and every per-user window that follows reuse it. Its number
+        of tasks follows the number of rows: left to the session, tasks would grow with the input.
         """
-        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-        orders = self.table("orders").select("o_orderkey", "o_custkey")
+        lines = self.dealt(self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity"), "l_orderkey")
+        orders = self.dealt(self.table("orders").select("o_orderkey", "o_custkey"), "o_orderkey")
         rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         rows = rows.select((F.col("o_custkey") + 1).cast("int").alias("user_id"), (F.col("l_partkey") + 1).cast("int").alias("item_id"), "l_quantity")
-        rows = rows.repartition("user_id").groupBy("user_id", "item_id").agg(F.max("l_quantity").alias("q"))
+        rows = rows.repartition(self.parts, "user_id").groupBy("user_id", "item_id").agg(F.max("l_quantity").alias("q"))
         return rows.select("user_id", "item_id", F.ceil(F.col("q") / 10).cast("short").alias("rating"), F.lit(0).cast("short").alias("dataset_type"))
 
     def ratings(self) -> DataFrame:
@@ -39,7 +53,8 @@ class Views:
         return self.ratings().withColumn("dataset_type", kind.cast("short"))
 
     def users(self) -> DataFrame:
-        rated = self.table("orders").join(self.table("lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select((F.col("o_custkey") + 1).cast("int").alias("_rated")).distinct()
+        lines, orders = self.dealt(self.table("lineitem").select("l_orderkey"), "l_orderkey"), self.dealt(self.table("orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+        rated = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select((F.col("o_custkey") + 1).cast("int").alias("_rated")).distinct()
         rows = self.table("customer").select((F.col("c_custkey") + 1).cast("int").alias("id"), F.col("c_name").alias("login"))
         rows = rows.join(rated, rows["id"] == rated["_rated"], "left")
         return rows.select("id", "login", F.col("_rated").alias("list_id"), (F.col("id") % 7 == 0).alias("are_ratings_modified"), (F.col("id") % 10 != 0).alias("is_used_for_train"))

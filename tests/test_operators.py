@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from factorloom.functions.ranking import global_row_number
 from factorloom.functions.vectors import human_size, random_int, same_elements
 from factorloom.operators import als, changes, evaluate, recommend, scans, sgd, split, stats
+from factorloom.plans import fixtures
+from factorloom.plans.fixtures import Views
 from factorloom.schema import Options
 from factorloom.sources.factors import read_binary
 
@@ -189,3 +191,17 @@ def test_shift_from_part_of_the_predictions(spark):
     rows = spark.createDataFrame([(1, 1, 5, 1), (1, 2, 2, 3), (2, 1, 3, 3), (2, 2, 4, 0)], R).withColumn("predict", F.col("rating") + 0.5)
     want = evaluate.global_shift(rows, 3).first().shift
     assert evaluate.shift_of(stats.global_avg(rows), rows.filter("dataset_type = 3"), 3).first().shift == pytest.approx(want)
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """More rows make more tasks, not larger ones, and the rows stay the same."""
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, Views(spark, sf).mixed_ratings().collect()))
+    users = sorted(map(tuple, Views(spark, sf).users().select("id", "list_id").collect()), key=str)
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
+    v = Views(spark, sf)
+    lines = v.table("lineitem").count()
+    assert v.parts == -(-lines // 500) > spark.sparkContext.defaultParallelism
+    assert v.mixed_ratings().rdd.getNumPartitions() == v.parts
+    assert sorted(map(tuple, v.mixed_ratings().collect())) == want
+    assert sorted(map(tuple, v.users().select("id", "list_id").collect()), key=str) == users
