@@ -334,7 +334,7 @@ k AS (SELECT s.*, row_number() OVER (PARTITION BY s.user_id ORDER BY predict DES
 
 
 def _top(v: Views) -> DataFrame:
-    return recommend.top_n(v.spark, v.user_factors(), v.item_factors(), recommend.exclusions(v.raw(), v.extra()), 3.5, 20, 2.5)
+    return recommend.top_n(v.spark, v.user_factors(), v.item_factors(), recommend.exclusions(v.raw(), v.extra()), 3.5, 20, 2.5, save=_saver(v))
 
 
 @_query(f"{_TOP} SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, predict FROM k WHERE rank <= 20")
@@ -461,5 +461,9 @@ def train_and_recommend(v: Views) -> DataFrame:
     ratings = save(v.ratings(), "ratings")
     users, items = als.train_mllib(ratings.filter("dataset_type in (1, 2)"), 10, 5, 0.05)
     users, items = save(users, "users"), save(items, "items")
-    shift = evaluate.global_shift(evaluate.predict(ratings, users, items), TEST).first().shift or 0.0
-    return recommend.top_n(v.spark, users, items, recommend.exclusions(ratings), 3.5, 20, shift)
+    known = ratings.select("user_id", "item_id", "rating", "dataset_type")
+    for side, key in ((users, "user_id"), (items, "item_id")):
+        known = known.join(side.select(F.col("id").alias(key)), key, "left_semi")
+    tested = evaluate.predict(ratings.filter(F.col("dataset_type") == TEST), users, items)
+    shift = evaluate.shift_of(stats.global_avg(known), tested, TEST).first().shift or 0.0  # only the tested ratings move with factors
+    return recommend.top_n(v.spark, users, items, recommend.exclusions(ratings), 3.5, 20, shift, save=save)

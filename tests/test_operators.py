@@ -205,3 +205,39 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     assert v.mixed_ratings().rdd.getNumPartitions() == v.parts
     assert sorted(map(tuple, v.mixed_ratings().collect())) == want
     assert sorted(map(tuple, v.users().select("id", "list_id").collect()), key=str) == users
+
+
+@pytest.mark.parametrize("small", [None, 40 * 32, 0])
+@pytest.mark.parametrize("common", [0.0, 3.0])
+def test_bounds_lose_no_recommendation(spark, save, monkeypatch, small, common):
+    """Many equal items, a head in blocks, users whose list it settles and others: all as brute force has it."""
+    rng = np.random.default_rng(5)
+    u, i = rng.integers(-8, 9, (90, 4)) / 8.0, rng.integers(-8, 9, (200, 4)) / 8.0
+    u[:, 0] += common
+    u[3] = 0.0
+    i[::3] = i[0]
+    i[100:120] *= 4
+    users = spark.createDataFrame([(a + 1, x.tolist()) for a, x in enumerate(u)], "id int, features array<double>")
+    items = spark.createDataFrame([(3 * b + 1, x.tolist()) for b, x in enumerate(i)], "id int, features array<double>")
+    gone = {(a + 1, 3 * int(b) + 1) for a in range(90) for b in rng.choice(200, a % 7, replace=False)} | {(5, 3 * b + 1) for b in range(0, 150)}
+    monkeypatch.setattr(recommend, "HEAD_BLOCK", 16)
+    monkeypatch.setattr(recommend, "ITEM_BLOCK", 32)
+    rated = spark.createDataFrame(sorted(gone), "user_id int, item_id int")
+    got = recommend.top_n(spark, users, items, recommend.exclusions(rated), 0.25, 6, 0.25, small, save).collect()
+    for a in range(90):
+        best = sorted(((-(u[a] @ i[b] + 0.25), 3 * b + 1) for b in range(200) if (a + 1, 3 * b + 1) not in gone and u[a] @ i[b] + 0.25 >= 0.25))[:6]
+        own = sorted((r for r in got if r.user_id == a + 1), key=lambda r: r.rank)
+        assert [(r.rank, r.item_id, r.predict) for r in own] == [(k + 1, b, -p) for k, (p, b) in enumerate(best)]
+
+
+def test_few_items_are_left_of_equal_ones(spark, save, monkeypatch):
+    """Of 5,000 equal items a user with two exclusions can be given the first five of three, so no more are searched."""
+    seen = []
+    head = recommend._head
+    monkeypatch.setattr(recommend, "FEW", 0)
+    monkeypatch.setattr(recommend, "_head", lambda axis, ids, table, rest: seen.append(len(ids)) or head(axis, ids, table, rest))
+    users = spark.createDataFrame([(1, [1.0])], "id int, features array<double>")
+    items = spark.range(1, 5001).select(F.col("id").cast("int").alias("id"), F.array(F.lit(1.0)).alias("features"))
+    rated = spark.createDataFrame([(1, 1), (1, 3)], "user_id int, item_id int")
+    assert [r.item_id for r in recommend.top_n(spark, users, items, recommend.exclusions(rated), 0.0, 3, save=save).orderBy("rank").collect()] == [2, 4, 5]
+    assert seen == [5]
