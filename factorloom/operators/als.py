@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 HOT = 100_000  # ratings of one row from which its sums are taken in several blocks
 BLOCK_VALUES = 16 << 20  # factor values that the ratings of one block may ask for: bounds a task's memory (128 MB)
+BLOCK_RATINGS = 1_000_000  # ratings of a block, about: at low ranks they take more memory than the factors
 SOLVED_AT_ONCE = 1 << 21  # values of the normal equations that are solved together
 
 
@@ -60,16 +61,18 @@ class Layout:
 def layout(ratings: DataFrame, key: str, other: str, rank: int, save: Callable[[DataFrame, str], DataFrame], hot: int = HOT) -> Layout:
     """Deal ratings into blocks by row, by their number and the rank; a row with more than ``hot`` ratings into several.
 
+    A block is a range of rows. Ids that arose together often rate the same, and then a factor goes to few blocks.
     ``part`` is -1 for a whole row, else the number of its piece.
     """
-    blocks = max(1, -(-ratings.count() * rank // BLOCK_VALUES), ratings.sparkSession.sparkContext.defaultParallelism)
+    n = ratings.count()
+    blocks = max(1, -(-n * rank // BLOCK_VALUES), -(-n // BLOCK_RATINGS), ratings.sparkSession.sparkContext.defaultParallelism)
     counts = ratings.groupBy(key).agg(F.count("*").alias("_n"))
     big = save(counts.filter(F.col("_n") > hot).select(F.col(key).alias("_key"), F.ceil(F.col("_n") / hot).cast("int").alias("_parts")), "large")
     rows = ratings.join(big, ratings[key] == big["_key"], "left")
     part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(other), F.col("_parts"))).otherwise(F.lit(-1)).cast("int")
     rows = rows.select(part.alias("part"), F.col(key).cast("int").alias("key"), F.col(other).cast("int").alias("other"), F.col("rating").cast("float").alias("rating"))
-    rows = rows.select(F.pmod(F.xxhash64("key", "part"), F.lit(blocks)).cast("int").alias("block"), "part", "key", "other", "rating")
-    cells = save(rows.repartition(blocks, "block").sortWithinPartitions("block", "key", "part", "other"), "cells")
+    rows = rows.repartitionByRange(blocks, "key", "part").sortWithinPartitions("key", "part", "other")
+    cells = save(rows.select(F.spark_partition_id().alias("block"), "part", "key", "other", "rating"), "cells")
     links = save(cells.select("other", "block").distinct(), "links")
     return Layout(cells, links, big.limit(1).count() > 0)
 

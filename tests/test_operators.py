@@ -241,3 +241,13 @@ def test_few_items_are_left_of_equal_ones(spark, save, monkeypatch):
     rated = spark.createDataFrame([(1, 1), (1, 3)], "user_id int, item_id int")
     assert [r.item_id for r in recommend.top_n(spark, users, items, recommend.exclusions(rated), 0.0, 3, save=save).orderBy("rank").collect()] == [2, 4, 5]
     assert seen == [5]
+
+
+def test_blocks_are_ranges_of_few_ratings(spark, save, monkeypatch):
+    """Blocks are bounded by ratings, and groups of neighbours that share items ask for each factor about once."""
+    monkeypatch.setattr(als, "BLOCK_RATINGS", 100)
+    rows = [(g * 10 + a + 1, g * 10 + b + 1, 3, 1) for g in range(16) for a in range(10) for b in range(10)]
+    plan = als.layout(spark.createDataFrame(rows, R), "user_id", "item_id", 2, save)
+    sizes = [r["count"] for r in plan.cells.groupBy("block").count().collect()]
+    assert sum(sizes) == 1600 and max(sizes) <= 400
+    assert plan.links.count() <= 2 * 160 + 40
