@@ -56,6 +56,7 @@ class Layout:
     cells: DataFrame
     links: DataFrame
     split: bool  # whether some row lies in several blocks
+    blocks: int  # their number, at most: a half-step has a task for each
 
 
 def layout(ratings: DataFrame, key: str, other: str, rank: int, save: Callable[[DataFrame, str], DataFrame], hot: int = HOT) -> Layout:
@@ -74,7 +75,7 @@ def layout(ratings: DataFrame, key: str, other: str, rank: int, save: Callable[[
     rows = rows.repartitionByRange(blocks, "key", "part").sortWithinPartitions("key", "part", "other")
     cells = save(rows.select(F.spark_partition_id().alias("block"), "part", "key", "other", "rating"), "cells")
     links = save(cells.select("other", "block").distinct(), "links")
-    return Layout(cells, links, big.limit(1).count() > 0)
+    return Layout(cells, links, big.limit(1).count() > 0, blocks)
 
 
 def _solve(a: np.ndarray, b: np.ndarray, n: np.ndarray, reg: float) -> np.ndarray:
@@ -84,7 +85,8 @@ def _solve(a: np.ndarray, b: np.ndarray, n: np.ndarray, reg: float) -> np.ndarra
 def half_step(plan: Layout, fixed: DataFrame, reg: float) -> DataFrame:
     """``id, features`` of the laid out side from ``fixed`` (``id, features`` of the other side).
 
-    A block sums each row's normal equations and solves many at once. Pieces of one row are added up first.
+    A block sums each row's normal equations and solves many at once. Pieces of one row are added up first. Each block
+    is a task: dealt by hash into as many tasks as the session sets, a task would get more blocks as the input grows.
     """
     sent = plan.links.join(fixed.select(F.col("id").alias("other"), F.col("features").cast("array<double>").alias("features")), "other")
 
@@ -121,7 +123,8 @@ def half_step(plan: Layout, fixed: DataFrame, reg: float) -> DataFrame:
             out.append(pa.table({"id": pa.array(key[starts][~whole], pa.int32()), "features": pa.nulls(len(raw), pa.list_(pa.float64())), "sums": pa.array(raw, pa.binary())}))
         return pa.concat_tables(out)
 
-    out = plan.cells.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(solve, "id int, features array<double>, sums binary")
+    by_block = lambda df: df.repartitionById(plan.blocks, F.col("block")).groupBy("block")
+    out = by_block(plan.cells).cogroup(by_block(sent)).applyInArrow(solve, "id int, features array<double>, sums binary")
     if not plan.split:
         return out.select("id", "features")
 

@@ -230,6 +230,20 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     assert sorted(map(tuple, v.users().select("id", "list_id").collect()), key=str) == users
 
 
+def test_half_step_has_a_task_for_each_block(spark, save, monkeypatch):
+    """More ratings make more tasks of a half-step, whatever the session's number, and factors stay the same."""
+    r = make(spark)
+    fixed = save(als.random_factors(r.select(F.col("item_id").alias("id")), 3, 1), "fixed")
+    step = lambda: als.half_step(als.layout(r, "user_id", "item_id", 3, save), fixed, 0.1)
+    want = {x.id: x.features for x in step().collect()}
+    monkeypatch.setattr(als, "BLOCK_RATINGS", 30)
+    out = step()
+    blocks = -(-r.count() // 30)
+    assert out.rdd.getNumPartitions() == blocks > 4
+    got = {x.id: x.features for x in out.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
 @pytest.mark.parametrize("small", [None, 40 * 32, 0])
 @pytest.mark.parametrize("common", [0.0, 3.0])
 def test_bounds_lose_no_recommendation(spark, save, monkeypatch, small, common):
