@@ -33,9 +33,9 @@ def _prefix(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
 
 
-def sgd_page(ratings: DataFrame, epoch: int, page: int, size: int, seed: int = 42) -> DataFrame:
-    """Rows page*size+1 to (page+1)*size of the shuffled order, with their ``position``."""
-    rows = global_row_number(sgd_order(ratings, epoch, seed), _prefix(F.col("shuffled")), ["shuffled", "user_id", "item_id"], "position")
+def sgd_page(ratings: DataFrame, epoch: int, page: int, size: int, seed: int = 42, parts: int | None = None) -> DataFrame:
+    """Rows page*size+1 to (page+1)*size of the shuffled order, with their ``position``; ``parts``: tasks for it."""
+    rows = global_row_number(sgd_order(ratings, epoch, seed), _prefix(F.col("shuffled")), ["shuffled", "user_id", "item_id"], "position", parts)
     return rows.filter((F.col("position") > page * size) & (F.col("position") <= (page + 1) * size)).select("position", "user_id", "item_id", "rating")
 
 

@@ -238,7 +238,7 @@ def sgd_order(v: Views) -> DataFrame:
 
 @_query(f"WITH {fx.RATINGS}, o AS (SELECT user_id, item_id, rating, row_number() OVER (ORDER BY md5(concat_ws(':', user_id, item_id, 45)), user_id, item_id) AS position FROM r WHERE dataset_type IN (1, 2)) SELECT position, user_id, item_id, rating FROM o WHERE position > 2000 AND position <= 3000")
 def sgd_page(v: Views) -> DataFrame:
-    return scans.sgd_page(v.ratings(), 3, 2, 1000)
+    return scans.sgd_page(v.ratings(), 3, 2, 1000, parts=v.parts)
 
 
 @_query(f"""WITH RECURSIVE {fx.RATINGS}, s AS (SELECT user_id id, count(*) n, row_number() OVER (ORDER BY user_id) k FROM r GROUP BY 1),

@@ -244,6 +244,13 @@ def test_half_step_has_a_task_for_each_block(spark, save, monkeypatch):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
 
+def test_page_has_as_many_tasks_as_asked(spark):
+    ratings = Views(spark, "/root/testdata/sf0.001").ratings()
+    few, many = scans.sgd_page(ratings, 3, 2, 1000), scans.sgd_page(ratings, 3, 2, 1000, parts=9)
+    assert many.rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == 1000
+
+
 @pytest.mark.parametrize("small", [None, 40 * 32, 0])
 @pytest.mark.parametrize("common", [0.0, 3.0])
 def test_bounds_lose_no_recommendation(spark, save, monkeypatch, small, common):
