@@ -26,9 +26,18 @@ class Views:
         """Tasks for a step over all order lines, by their number, which the files' footers tell."""
         return max(self.spark.sparkContext.defaultParallelism, -(-self.table("lineitem").count() // TASK_ROWS))
 
+    @property
+    def many(self) -> bool:
+        return self.parts > self.spark.sparkContext.defaultParallelism
+
+    @property
+    def blocks(self) -> int | None:
+        """Blocks of a side in MLlib's training; few ratings are left to its own number (10)."""
+        return max(10, self.parts) if self.many else None
+
     def dealt(self, df: DataFrame, key: str) -> DataFrame:
         """``df`` by hash of ``key`` for a join by it; few rows are left to Spark, which may broadcast them."""
-        return df.repartition(self.parts, key) if self.parts > self.spark.sparkContext.defaultParallelism else df
+        return df.repartition(self.parts, key) if self.many else df
 
     def raw(self) -> DataFrame:
         """user_id, item_id, rating, dataset_type 0: the best quantity of a part that a customer ordered, in steps of 10.

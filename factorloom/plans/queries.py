@@ -260,19 +260,25 @@ def factor_row_lookup(v: Views) -> DataFrame:
 _PREDICTED = f"WITH {fx.RATINGS}, {fx.FACTORS}, p AS (SELECT user_id, item_id, rating, dataset_type, uf.f0 * itf.f0 + uf.f1 * itf.f1 AS predict FROM r JOIN uf ON uf.id = user_id JOIN itf ON itf.id = item_id)"
 
 
+def _sides(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Factors of both sides; dealt by item too, so that the join by item has as many tasks as the one by user."""
+    return v.user_factors(), v.dealt(v.item_factors(), "id")
+
+
 def _predicted(v: Views) -> DataFrame:
-    return evaluate.predict(v.ratings(), v.user_factors(), v.item_factors())
+    return evaluate.predict(v.ratings(), *_sides(v))
 
 
 @_query(f"{_PREDICTED} SELECT user_id, item_id, predict + CAST(0.5 AS DOUBLE) AS predict FROM p")
 def predict_als(v: Views) -> DataFrame:
-    return evaluate.predict(v.ratings().select("user_id", "item_id"), v.user_factors(), v.item_factors(), 0.5)
+    return evaluate.predict(v.ratings().select("user_id", "item_id"), *_sides(v), 0.5)
 
 
 @_query(f"{_PREDICTED} SELECT user_id, item_id, CAST(2.5 AS DOUBLE) + CAST(user_id % 8 AS DOUBLE) / 8 + CAST(item_id % 4 AS DOUBLE) / 8 + predict AS predict FROM p")
 def predict_sgd(v: Views) -> DataFrame:
     bias = lambda df, m: df.withColumn("bias", (F.col("id") % m).cast("double") / 8)
-    return evaluate.predict_biased(v.ratings().select("user_id", "item_id"), bias(v.user_factors(), 8), bias(v.item_factors(), 4), 2.5)
+    users, items = _sides(v)
+    return evaluate.predict_biased(v.ratings().select("user_id", "item_id"), bias(users, 8), bias(items, 4), 2.5)
 
 
 _RMSE = "SELECT count(*) n, avg({p}) mean_predict, sqrt(sum(({p} - rating) * ({p} - rating)) / count(*)) rmse FROM p WHERE dataset_type = {k}"

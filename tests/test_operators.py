@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.ranking import global_row_number
 from factorloom.functions.vectors import human_size, random_int, same_elements
 from factorloom.operators import als, changes, evaluate, recommend, scans, sgd, split, stats
-from factorloom.plans import fixtures
+from factorloom.plans import fixtures, queries
 from factorloom.plans.fixtures import Views
 from factorloom.schema import Options
 from factorloom.sources.factors import read_binary
@@ -230,6 +230,23 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     assert sorted(map(tuple, v.users().select("id", "list_id").collect()), key=str) == users
 
 
+def test_predictions_by_item_have_as_many_tasks(spark, monkeypatch):
+    """The join by item follows the rows as the one by user does, whatever the session's number of tasks."""
+    sf = "/root/testdata/sf0.001"
+    names = ("rmse_test", "rmse_test_shifted", "rmse_validate", "predict_als", "predict_sgd", "global_avg_shift")
+    of = lambda n: sorted(tuple(round(x, 9) for x in r) for r in queries.QUERIES[n](spark, sf).collect())
+    want = {n: of(n) for n in names}
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        v = Views(spark, sf)
+        assert queries._predicted(v).rdd.getNumPartitions() == v.parts != int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert {n: of(n) for n in names} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_half_step_has_a_task_for_each_block(spark, save, monkeypatch):
     """More ratings make more tasks of a half-step, whatever the session's number, and factors stay the same."""
     r = make(spark)
