@@ -411,7 +411,7 @@ def _check(v: Views, users: DataFrame, items: DataFrame, rank: int, predict) ->
 def als_train_check(v: Views) -> DataFrame:
     """MLlib's training at rank 10."""
     save = _saver(v)
-    users, items = (save(df, "factors") for df in als.train_mllib(_fitted(v), 10, 5, 0.05))
+    users, items = (save(df, "factors") for df in als.train_mllib(_fitted(v), 10, 5, 0.05, blocks=v.blocks))
     return _check(v, users, items, 10, lambda rows: evaluate.predict(rows, users, items))
 
 
@@ -442,7 +442,7 @@ def train_and_recommend_check(v: Views) -> DataFrame:
 @_query()
 def als_train(v: Views) -> DataFrame:
     """Factors by MLlib at rank 10, five iterations."""
-    users, items = als.train_mllib(_fitted(v), 10, 5, 0.05)
+    users, items = als.train_mllib(_fitted(v), 10, 5, 0.05, blocks=v.blocks)
     return users.withColumn("kind", F.lit("user")).unionByName(items.withColumn("kind", F.lit("item")))
 
 
@@ -465,7 +465,7 @@ def train_and_recommend(v: Views) -> DataFrame:
     """The whole way: split, MLlib factors, shift, and the best items for every user."""
     save = _saver(v)
     ratings = save(v.ratings(), "ratings")
-    users, items = als.train_mllib(ratings.filter("dataset_type in (1, 2)"), 10, 5, 0.05)
+    users, items = als.train_mllib(ratings.filter("dataset_type in (1, 2)"), 10, 5, 0.05, blocks=v.blocks)
     users, items = save(users, "users"), save(items, "items")
     known = ratings.select("user_id", "item_id", "rating", "dataset_type")
     for side, key in ((users, "user_id"), (items, "item_id")):

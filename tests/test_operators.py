@@ -247,6 +247,18 @@ def test_predictions_by_item_have_as_many_tasks(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_mllib_blocks_follow_the_ratings(spark, monkeypatch):
+    """More ratings make more blocks of MLlib's training, so that none grows with them."""
+    sf, asked, train = "/root/testdata/sf0.001", [], als.train_mllib
+    monkeypatch.setattr(als, "train_mllib", lambda *a, **k: asked.append(k.get("blocks")) or train(*a, **k))
+    few = queries.QUERIES["als_train"](spark, sf).count()
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 400)
+    parts = Views(spark, sf).parts
+    many = queries.QUERIES["als_train"](spark, sf)
+    assert many.count() == few and many.filter("size(features) = 10").count() == few
+    assert asked == [None, parts] and parts > 10
+
+
 def test_half_step_has_a_task_for_each_block(spark, save, monkeypatch):
     """More ratings make more tasks of a half-step, whatever the session's number, and factors stay the same."""
     r = make(spark)
