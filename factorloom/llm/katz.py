@@ -134,6 +134,33 @@ def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return from_steps(head, np.int64)[run], total - (total[start] - delta[start])[run], run
 
 
+def _falling(counts: np.ndarray) -> np.ndarray:
+    """Stable order by falling counts; those of 65,535 and more are one class."""
+    return np.argsort((65535 - np.minimum(counts, 65535)).astype(np.uint16), kind="stable")
+
+
+def _rank(x: np.ndarray) -> np.ndarray:
+    """The place of each value in ascending order."""
+    out = np.empty(len(x), np.int64)
+    out[np.argsort(x, kind="stable")] = np.arange(len(x))
+    return out
+
+
+def pack_sums(sums: np.ndarray) -> bytes:
+    """Sums of histories by column; of the two columns of counts, what counts 1..TOP don't tell already."""
+    rest = sums.copy()
+    for at in (0, TOP + 1):
+        rest[:, at] -= rest[:, at + 1 : at + 1 + TOP] @ np.arange(1, TOP + 1)
+    return pack(rest.T.ravel())
+
+
+def unpack_sums(data: bytes) -> np.ndarray:
+    sums = unpack(data, np.int64).reshape(_SUMS, -1).T.copy()
+    for at in (0, TOP + 1):
+        sums[:, at] += sums[:, at + 1 : at + 1 + TOP] @ np.arange(1, TOP + 1)
+    return sums
+
+
 class Discounts:
     """Good-Turing ratios d_1..d_TOP from counts of counts n_1..n_(TOP+1), renormalised so that counts above TOP stay.
 
@@ -243,6 +270,12 @@ class Block:
             v, t, first, ids, valid, learn = _parts(f.read())
         return Block(from_steps(v, U64), unpack(t, np.uint32), from_steps(first, np.int64), unpack(ids, np.int64), unpack(valid, np.uint8), unpack(learn, np.uint8))
 
+    def number(self, model: Model, words: Grams) -> None:
+        """Numbers of the words over all buckets that rise as counts fall, so that most are small; and their order here."""
+        stride = model.levels[0].stride
+        self.numbers = np.where(words.ids < 0, -1, words.ids % stride * model.buckets + words.ids // stride)[: words.size]
+        self.rank = _rank(self.numbers)
+
     def per_token(self, per_text: np.ndarray) -> np.ndarray:
         return np.repeat(per_text, np.diff(self.first))
 
@@ -258,8 +291,8 @@ class Block:
         history, stride, least = self.histories(below), model.levels[level - 1].stride, model.least(level)
         sent = np.flatnonzero((below.counts[history] >= least) & (below.counts[below.token] >= least))
         width = len(self.vocabulary)
-        codes, at, back = np.unique(history[sent] * width + self.tokens[sent], return_index=True, return_inverse=True)
-        h, w = codes // max(width, 1), codes % max(width, 1)
+        codes, at, back = np.unique(_rank(below.ids)[history[sent]] * width + self.rank[self.tokens[sent]], return_index=True, return_inverse=True)
+        h, w = history[sent[at]], self.tokens[sent[at]].astype(np.int64)
         bucket = np.minimum(below.ids[h] // stride, model.buckets - 1)
         parts = -(-below.counts[h] // SALT_AT)
         if (parts > 1).any():
@@ -316,14 +349,16 @@ def _stats(total: np.ndarray, numbered: int, texts: int = 0) -> bytes:
 
 
 def _numbers(total: np.ndarray, least: int | None) -> np.ndarray:
-    """A number for each n-gram that may be a history, in their order; -1 for the others."""
-    may = total >= least if least is not None else np.zeros(len(total), bool)
-    return np.where(may, np.cumsum(may) - 1, -1)
+    """A number for each n-gram that may be a history, by falling counts and in their order; -1 for the others."""
+    number = np.full(len(total), -1, np.int64)
+    may = np.flatnonzero(total >= least) if least is not None else np.zeros(0, np.int64)
+    number[may[_falling(total[may])]] = np.arange(len(may))
+    return number
 
 
 def _answer(total: np.ndarray, number: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts for a block, in the order it sent its n-grams, and the numbers of those that have one."""
-    return pack(total.astype(np.uint32)), steps(number[number >= 0])
+    """Counts for a block, in the order it sent its n-grams, and the numbers of those that have one, by falling counts."""
+    return pack(total.astype(np.uint32)), steps(np.sort(number[number >= 0]))
 
 
 def count_words(n: int, least: int | None):
@@ -359,7 +394,8 @@ def _told(model: Model, level: int, grams: Grams, rows: list[dict]) -> None:
     for r, c in zip(own, counts):
         x = np.full(len(c), -1, np.int64)
         if least is not None:
-            x[c >= least] = from_steps(r["b"], np.int64) + r["bucket"] * stride
+            may = np.flatnonzero(c >= least)
+            x[may[_falling(c[may])]] = from_steps(r["b"], np.int64) + r["bucket"] * stride
         ids.append(x)
     none = [np.zeros(0, np.int64)]
     grams.told(np.concatenate(counts or none), np.concatenate(ids or none), model.texts, model.buckets * stride)
@@ -369,7 +405,7 @@ def _backoff(model: Model, level: int, rows: list[dict], grams: list[Grams], low
     """(alpha, share) of each history of a block; 1 where none was asked for or told. ``lower``: denominators of their suffixes."""
     below = grams[level - 1]
     alpha, share = np.ones(len(below.ids)), np.ones(len(below.ids))
-    told = [(from_steps(r["a"], np.int64), unpack(r["b"], np.int64).reshape(_SUMS, -1).T) for r in rows if r["kind"] == ALPHA and r["level"] == level]
+    told = [(from_steps(r["a"], np.int64), unpack_sums(r["b"])) for r in rows if r["kind"] == ALPHA and r["level"] == level]
     if told:
         keys, sums = (np.concatenate(x) for x in zip(*told))
         order = np.argsort(keys)
@@ -387,6 +423,7 @@ def _rebuilt(model: Model, levels: int, rows: list[dict]) -> tuple[Block, list[G
     b = Block.load(next(r["a"] for r in rows if r["kind"] == FILE).decode())
     grams, backoff, lower = [Grams(len(b.vocabulary), b.tokens.astype(np.int64))], [()], [np.zeros(0)]
     _told(model, 0, grams[0], rows)
+    b.number(model, grams[0])
     lower.append(np.full(grams[0].size + 2, model.whole, np.int64))
     for level in range(1, levels):
         grams.append(b.grams(model, level, grams[-1]))
@@ -406,11 +443,14 @@ def send(model: Model, level: int):
         g = b.grams(model, level, below)
         own = np.bincount(g.token[b.per_token(b.learn) > 0], minlength=g.size + 2)[: g.size].astype(np.uint32)
         suffix = below.counts[below.token[g.sample]]
-        h, w = below.ids[g.history], known[0].ids[g.word]
+        h, w = below.ids[g.history], b.numbers[g.word]
         out = []
         for x, y in _cuts(g.bucket):
             at = x + _runs(h[x:y])
-            out.append((COUNTS, int(g.bucket[x]), block, pack_pairs(h[x:y], w[x:y]), _join(pack(own[x:y]), pack(suffix[x:y].astype(np.uint32))), _join(pack(below.counts[g.history[at]]))))
+            lows = suffix[x:y]
+            if level == 1:  # a pair's suffix is its word: told once for each word
+                lows = lows[np.unique(w[x:y], return_index=True)[1]]
+            out.append((COUNTS, int(g.bucket[x]), block, pack_pairs(h[x:y], w[x:y]), _join(pack(own[x:y]), pack(lows.astype(np.uint32))), _join(pack(below.counts[g.history[at]]))))
         # what was not sent is below its cutoff here: its history is asked at once
         unsent = g.before[g.token > g.size]
         asked = np.unique(below.ids[unsent])
@@ -445,6 +485,8 @@ def count_grams(model: Model, level: int):
         for r in rows:
             h, w, run_ = unpack_pairs(r["a"])
             own, suffix = (unpack(x, np.uint32) for x in _parts(r["b"]))
+            if level == 1:
+                suffix = suffix[np.unique(w, return_inverse=True)[1]]
             for c, x in zip(columns, (h, w, own, suffix, unpack(_parts(r["c"])[0], np.int64)[run_])):
                 c.append(x)
         sizes = [len(x) for x in columns[0]]
@@ -485,7 +527,7 @@ def count_grams(model: Model, level: int):
         ids = h1[starts]
         home = np.minimum(ids // model.levels[level - 1].stride, model.buckets - 1)
         by = np.argsort(home, kind="stable")
-        out += [(CONTEXT, int(home[by[x]]), -1, steps(ids[by[x:y]]), pack(sums[by[x:y]].T.ravel()), b"") for x, y in _cuts(home[by])]
+        out += [(CONTEXT, int(home[by[x]]), -1, steps(ids[by[x:y]]), pack_sums(sums[by[x:y]]), b"") for x, y in _cuts(home[by])]
         return _table([*out, (TABLE, bucket, -1, pack_pairs(h1, w1), pack(kept_total.astype(np.uint32)), b""), (TOTALS, bucket, -1, _stats(total, int(number.max(initial=-1)) + 1), b"", b"")])
 
     return run
@@ -500,7 +542,7 @@ def answer(table: pa.Table) -> pa.Table:
     ids = np.concatenate([from_steps(r["a"], np.int64) for r in told])
     keys, back = np.unique(ids, return_inverse=True)
     sums = np.zeros((len(keys), _SUMS), np.int64)
-    np.add.at(sums, back, np.concatenate([unpack(r["b"], np.int64).reshape(_SUMS, -1).T for r in told]))
+    np.add.at(sums, back, np.concatenate([unpack_sums(r["b"]) for r in told]))
     key, block = np.concatenate([from_steps(r["a"], np.int64) for r in asks]), np.concatenate([unpack(r["b"], np.int64) for r in asks])
     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
     hit = keys[at] == key
@@ -508,7 +550,7 @@ def answer(table: pa.Table) -> pa.Table:
     by = np.lexsort((at, block))
     by = by[np.concatenate([[True], (at[by][1:] != at[by][:-1]) | (block[by][1:] != block[by][:-1])])] if len(by) else by
     at, block = at[by], block[by]
-    return _table([(ALPHA, rows[0]["bucket"], int(block[x]), steps(keys[at[x:y]]), pack(sums[at[x:y]].T.ravel()), b"") for x, y in _cuts(block)])
+    return _table([(ALPHA, rows[0]["bucket"], int(block[x]), steps(keys[at[x:y]]), pack_sums(sums[at[x:y]]), b"") for x, y in _cuts(block)])
 
 
 def evaluate(model: Model):
@@ -567,7 +609,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     level_of = lambda df, level: df.withColumn("level", F.lit(level))
     known = level_of(by_word.filter(F.col("kind").isin(FILE, COUNTS)), 0)
     for level in range(1, order):
-        sent = known.repartition(n, "block").groupBy("block").applyInArrow(send(model, level), SCHEMA).repartition(n, "bucket")
+        sent = known.filter(F.col("kind") != ALPHA).repartition(n, "block").groupBy("block").applyInArrow(send(model, level), SCHEMA).repartition(n, "bucket")
         found = _stored(spark, sent.groupBy("bucket").applyInArrow(count_grams(model, level), SCHEMA), f"order{level + 1}")
         model.learn(_totals(found))
         alphas = found.filter(F.col("kind").isin(CONTEXT, ASK)).groupBy("bucket").applyInArrow(answer, SCHEMA)
