@@ -146,16 +146,26 @@ def _rank(x: np.ndarray) -> np.ndarray:
     return out
 
 
+_LOW, _HIGH = [1, 2, 4, 8, 10], [7, 3, 5, 9, 11]  # columns of numbers of counts that share a byte, four bits each
+
+
 def pack_sums(sums: np.ndarray) -> bytes:
-    """Sums of histories by column; of the two columns of counts, what counts 1..TOP don't tell already."""
+    """Sums of histories by column: numbers of counts up to 15 two in a byte, then what is left of them, and of the
+    two columns of counts what the numbers of counts 1..TOP don't tell already."""
     rest = sums.copy()
     for at in (0, TOP + 1):
         rest[:, at] -= rest[:, at + 1 : at + 1 + TOP] @ np.arange(1, TOP + 1)
-    return pack(rest.T.ravel())
+    low, high = np.minimum(sums[:, _LOW], 15), np.minimum(sums[:, _HIGH], 15)
+    rest[:, _LOW] -= low
+    rest[:, _HIGH] -= high
+    return _join(pack((low | high << 4).astype(np.uint8).T.ravel()), pack(rest.T.ravel()))
 
 
 def unpack_sums(data: bytes) -> np.ndarray:
-    sums = unpack(data, np.int64).reshape(_SUMS, -1).T.copy()
+    small, rest = _parts(data)
+    sums, small = unpack(rest, np.int64).reshape(_SUMS, -1).T.copy(), unpack(small, np.uint8).reshape(len(_LOW), -1).T
+    sums[:, _LOW] += small & 15
+    sums[:, _HIGH] += small >> 4
     for at in (0, TOP + 1):
         sums[:, at] += sums[:, at + 1 : at + 1 + TOP] @ np.arange(1, TOP + 1)
     return sums
@@ -245,20 +255,26 @@ class Grams:
 
 
 class Block:
-    """Texts of a block: ``vocabulary`` (ascending hashes), ``tokens`` (numbers in it), ``first`` token of each text."""
+    """Texts of a block: ``tokens`` (numbers of words by ascending hash), ``size`` (words), ``first`` token of each text.
+
+    ``vocabulary`` (the hashes) is there until the block is saved: its words get numbers then that are told by all blocks.
+    """
 
-    def __init__(self, vocabulary, tokens, first, ids, valid, learn):
-        self.vocabulary, self.tokens, self.first, self.ids, self.valid, self.learn = vocabulary, tokens, first, ids, valid, learn
+    def __init__(self, size, tokens, first, ids, valid, learn, vocabulary=None):
+        self.size, self.tokens, self.first, self.ids, self.valid, self.learn, self.vocabulary = size, tokens, first, ids, valid, learn, vocabulary
 
     @staticmethod
     def of(hashes: np.ndarray, first: np.ndarray, ids: list, learn: np.ndarray) -> Block:
         vocabulary, tokens = np.unique(hashes, return_inverse=True)
-        return Block(vocabulary, tokens.astype(np.uint32), first, np.array([x or 0 for x in ids], np.int64), np.array([x is not None for x in ids], np.uint8), learn.astype(np.uint8))
+        return Block(len(vocabulary), tokens.astype(np.uint32), first, np.array([x or 0 for x in ids], np.int64), np.array([x is not None for x in ids], np.uint8), learn.astype(np.uint8), vocabulary)
 
     def save(self, folder: str) -> str:
         path = f"{folder}/{uuid.uuid4().hex}"
         system, at = fs.FileSystem.from_uri(path)
-        parts = [steps(self.vocabulary), pack(self.tokens), steps(self.first), pack(self.ids), pack(self.valid), pack(self.learn)]
+        counts = np.bincount(self.tokens, minlength=self.size)
+        place = np.empty(self.size, np.uint32)
+        place[_falling(counts)] = np.arange(self.size)  # frequent words get small numbers, which take less
+        parts = [pack(counts.astype(np.uint32)), pack(place[self.tokens]), steps(self.first), pack(self.ids), pack(self.valid), pack(self.learn)]
         with system.open_output_stream(at) as f:
             f.write(_join(*parts))
         return path
@@ -267,8 +283,9 @@ class Block:
     def load(path: str) -> Block:
         system, at = fs.FileSystem.from_uri(path)
         with system.open_input_stream(at) as f:
-            v, t, first, ids, valid, learn = _parts(f.read())
-        return Block(from_steps(v, U64), unpack(t, np.uint32), from_steps(first, np.int64), unpack(ids, np.int64), unpack(valid, np.uint8), unpack(learn, np.uint8))
+            c, t, first, ids, valid, learn = _parts(f.read())
+        by = _falling(unpack(c, np.uint32)).astype(np.uint32)
+        return Block(len(by), by[unpack(t, np.uint32)], from_steps(first, np.int64), unpack(ids, np.int64), unpack(valid, np.uint8), unpack(learn, np.uint8))
 
     def number(self, model: Model, words: Grams) -> None:
         """Numbers of the words over all buckets that rise as counts fall, so that most are small; and their order here."""
@@ -290,13 +307,13 @@ class Block:
         """The n-grams of this order that may reach its cutoff, with ``history``, ``word``, ``bucket`` and a ``token`` of each."""
         history, stride, least = self.histories(below), model.levels[level - 1].stride, model.least(level)
         sent = np.flatnonzero((below.counts[history] >= least) & (below.counts[below.token] >= least))
-        width = len(self.vocabulary)
+        width = self.size
         codes, at, back = np.unique(_rank(below.ids)[history[sent]] * width + self.rank[self.tokens[sent]], return_index=True, return_inverse=True)
         h, w = history[sent[at]], self.tokens[sent[at]].astype(np.int64)
         bucket = np.minimum(below.ids[h] // stride, model.buckets - 1)
         parts = -(-below.counts[h] // SALT_AT)
         if (parts > 1).any():
-            bucket = (bucket + (mix(self.vocabulary[w]) % parts.astype(U64)).astype(np.int64)) % model.buckets
+            bucket = (bucket + (mix(self.numbers[w].astype(U64)) % parts.astype(U64)).astype(np.int64)) % model.buckets
         order = np.argsort(bucket.astype(np.uint16 if model.buckets < 1 << 16 else np.int64), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -421,7 +438,7 @@ def _rebuilt(model: Model, levels: int, rows: list[dict]) -> tuple[Block, list[G
     Last, the denominators of the histories' suffixes, up to the order that comes next.
     """
     b = Block.load(next(r["a"] for r in rows if r["kind"] == FILE).decode())
-    grams, backoff, lower = [Grams(len(b.vocabulary), b.tokens.astype(np.int64))], [()], [np.zeros(0)]
+    grams, backoff, lower = [Grams(b.size, b.tokens.astype(np.int64))], [()], [np.zeros(0)]
     _told(model, 0, grams[0], rows)
     b.number(model, grams[0])
     lower.append(np.full(grams[0].size + 2, model.whole, np.int64))
@@ -608,12 +625,14 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     model = Model(n, cutoffs, _totals(by_word))
     level_of = lambda df, level: df.withColumn("level", F.lit(level))
     known = level_of(by_word.filter(F.col("kind").isin(FILE, COUNTS)), 0)
+    answers = []  # alphas go to the blocks once, when texts are scored: they are not stored between
     for level in range(1, order):
-        sent = known.filter(F.col("kind") != ALPHA).repartition(n, "block").groupBy("block").applyInArrow(send(model, level), SCHEMA).repartition(n, "bucket")
+        sent = known.repartition(n, "block").groupBy("block").applyInArrow(send(model, level), SCHEMA).repartition(n, "bucket")
         found = _stored(spark, sent.groupBy("bucket").applyInArrow(count_grams(model, level), SCHEMA), f"order{level + 1}")
         model.learn(_totals(found))
-        alphas = found.filter(F.col("kind").isin(CONTEXT, ASK)).groupBy("bucket").applyInArrow(answer, SCHEMA)
-        alphas = _stored(spark, alphas, f"alpha{level + 1}")
-        known = known.unionByName(level_of(found.filter(F.col("kind") == COUNTS), level)).unionByName(level_of(alphas, level))
+        answers.append(level_of(found.filter(F.col("kind").isin(CONTEXT, ASK)).groupBy("bucket").applyInArrow(answer, SCHEMA), level))
+        known = known.unionByName(level_of(found.filter(F.col("kind") == COUNTS), level))
+    for alphas in answers:
+        known = known.unionByName(alphas)
     out = known.repartition(n, "block").groupBy("block").applyInArrow(evaluate(model), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -260,6 +260,35 @@ def test_packing():
     assert hashlib.sha256(katz.pack(np.arange(3))).hexdigest() == hashlib.sha256(katz.pack(np.arange(3))).hexdigest()
 
 
+def test_sums_and_numbers_of_ngrams():
+    """Sums of histories come back whole, large ones too; numbers rise as counts fall; a pair's suffix is told once a word."""
+    rng = np.random.default_rng(1)
+    for top in (3, 40, 2**40):
+        sums = rng.integers(0, top, (500, katz._SUMS))
+        assert (katz.unpack_sums(katz.pack_sums(sums)) == sums).all()
+    few = rng.integers(0, 3, (5000, katz._SUMS))
+    few[:, 0], few[:, 6] = few[:, 1:6] @ np.arange(1, 6), few[:, 7:] @ np.arange(1, 6)
+    assert len(katz.pack_sums(few)) < 0.75 * len(katz.pack(few.T.ravel()))
+    total = np.array([1, 70_000, 0, 5, 5, 90_000, 2])
+    number = katz._numbers(total, 2)
+    assert number.tolist() == [-1, 0, -1, 2, 3, 1, 4]
+    may = np.flatnonzero(total >= 2)
+    assert (number[may[katz._falling(total[may])]] == np.arange(5)).all()
+
+
+def test_blocks_keep_their_texts(tmp_path):
+    """A block's file gives its tokens back in about one byte a token where words are as frequent as in texts, without their hashes."""
+    rng = np.random.default_rng(2)
+    hashes = katz.mix((rng.zipf(1.5, 50_000) % 3000).astype(np.uint64))
+    first = np.arange(0, 50_001, 50)
+    block = katz.Block.of(hashes, first, [None, *range(999)], np.arange(1000) % 2 == 0)
+    path = block.save(f"file://{tmp_path}")
+    again = katz.Block.load(path)
+    assert again.size == len(np.unique(hashes)) and (again.tokens == np.unique(hashes, return_inverse=True)[1]).all()
+    assert (again.first == first).all() and (again.ids[1:] == range(999)).all() and again.valid.tolist() == [0] + [1] * 999
+    assert (tmp_path / path.rpartition("/")[2]).stat().st_size < 50_000
+
+
 def test_log_count_ratios():
     """From documents' feature sets counted one by one."""
     texts, y = ["good good words here", "bad words", "good", "bad bad BAD!!", ""], [1, 0, 1, 0, 1]
