@@ -13,7 +13,7 @@ once says nothing.
 
 Nothing the size of the vocabulary or of an n-gram table is in one place. Texts form blocks of some 1.5 million tokens,
 kept as files in the shared folder. Order by order, each block sends its distinct n-grams to buckets, where counts are
-summed, stored as Parquet tables partitioned by kind, and sent back, with a number for each n-gram that may go on as
+summed, and what is sent back is stored as Parquet partitioned by kind, with a number for each n-gram that may go on as
 a history. From the second order on an n-gram is a pair of such numbers, of history and word, so only words are ever
 told apart by a hash (64 bits, see ``hash_spans``). An n-gram can't reach its cutoff unless its history and its
 suffix do; those below 2 stay in their block, as a single one is known to be single. N-grams are dealt by history; a history seen more than ``SALT_AT`` times is
@@ -45,20 +45,75 @@ END = np.uint64(0x454E44)
 U64 = np.uint64
 SCHEMA = "kind int, bucket long, block long, a binary, b binary, c binary"
 _KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-FILE, COUNTS, TOTALS, TABLE, CONTEXT, ASK, ALPHA = range(7)
+FILE, COUNTS, TOTALS, CONTEXT, ASK, ALPHA = range(6)
+
+
+def _zstd(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _places(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of bits, word of 64 bits, place in it) of the bits below the first one, one after the other; those that go on in the next word."""
+    bits = size - (size > 0)
+    end = np.cumsum(bits, dtype=np.int64)
+    start = end - bits
+    place = (start & 63).astype(np.uint8)
+    return bits, start >> 6, place, np.flatnonzero(place + bits > 64)
+
+
+def _pack_sizes(x: np.ndarray) -> bytes:
+    """Numbers from 0 on: how many bits each has, two in a byte and compressed, then the bits below the first one of each."""
+    size = np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+    pair = np.minimum(size, 15)
+    pair = np.append(pair, np.zeros(len(pair) % 2, np.uint8)).reshape(-1, 2)
+    more = size > 1
+    bits, word, place, over = _places(size[more])
+    low = x[more].astype(U64)
+    low ^= U64(1) << bits.astype(U64)
+    words = np.zeros(int(word[-1]) + 2 if len(word) else 0, U64)
+    if len(word):
+        at = _runs(word)
+        words[word[at]] = np.add.reduceat(low << place.astype(U64), at)
+        words[word[over] + 1] += low[over] >> (64 - place[over]).astype(U64)
+    return _join(_zstd((pair[:, 0] | pair[:, 1] << 4).tobytes()), _zstd(size[size >= 15].tobytes()), words.astype("<u8").tobytes()[: (int(bits.sum(dtype=np.int64)) + 7) // 8])
+
+
+def _unpack_sizes(data: bytes, n: int) -> np.ndarray:
+    pair, large, raw = _parts(data)
+    pair = np.frombuffer(pa.decompress(pair, (n + 1) // 2, codec="zstd", asbytes=True), np.uint8)
+    size = np.stack([pair & 15, pair >> 4], axis=1).ravel()[:n]
+    most = np.flatnonzero(size == 15)
+    if len(most):
+        size[most] = np.frombuffer(pa.decompress(large, len(most), codec="zstd", asbytes=True), np.uint8)
+    out, more = (size > 0).astype(np.int64), size > 1
+    bits, word, place, over = _places(size[more])
+    words = np.frombuffer(raw + bytes(16 + -len(raw) % 8), "<u8")
+    low = words[word] >> place.astype(U64)
+    low[over] |= words[word[over] + 1] << (64 - place[over]).astype(U64)
+    first = U64(1) << bits.astype(U64)
+    out[more] = low & (first - U64(1)) | first
+    return out
 
 
 def pack(x: np.ndarray) -> bytes:
     """Compressed bytes of an array, byte planes apart."""
-    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
-    return len(x).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    return len(x).to_bytes(8, "little") + (b"\0" + _zstd(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()) if len(x) else b"")
+
+
+def pack_sizes(x: np.ndarray) -> bytes:
+    """The same for numbers that are small for the most part, with sizes and bits apart: takes less where they follow no order."""
+    if len(x) == 0 or int(x.min()) < 0 or int(x.max()) >= 1 << 40:
+        return pack(x)
+    return len(x).to_bytes(8, "little") + b"\1" + _pack_sizes(x)
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
     n, size = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
     if n == 0:
         return np.zeros(0, dtype)
-    raw = pa.decompress(data[8:], n * size, codec="zstd", asbytes=True)
+    if data[8]:
+        return _unpack_sizes(data[9:], n).astype(dtype)
+    raw = pa.decompress(data[9:], n * size, codec="zstd", asbytes=True)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(dtype).reshape(n)
 
 
@@ -122,13 +177,13 @@ def pack_pairs(a: np.ndarray, b: np.ndarray) -> bytes:
     at = _runs(a)
     delta = np.diff(b, prepend=b[:1] * 0)
     delta[at] = b[at]
-    return _join(steps(a[at]), pack(np.diff(np.append(at, len(a))).astype(np.uint32)), pack(delta))
+    return _join(pack_sizes(np.diff(a[at], prepend=0)), pack_sizes(np.diff(np.append(at, len(a)))), pack_sizes(delta))
 
 
 def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, number of the run of each)"""
     head, lens, delta = _parts(data)
-    lens, delta = unpack(lens, np.uint32).astype(np.int64), unpack(delta, np.int64)
+    lens, delta = unpack(lens, np.int64), unpack(delta, np.int64)
     start, total = np.cumsum(lens) - lens, np.cumsum(delta)
     run = np.repeat(np.arange(len(lens)), lens)
     return from_steps(head, np.int64)[run], total - (total[start] - delta[start])[run], run
@@ -158,7 +213,7 @@ def pack_sums(sums: np.ndarray) -> bytes:
     low, high = np.minimum(sums[:, _LOW], 15), np.minimum(sums[:, _HIGH], 15)
     rest[:, _LOW] -= low
     rest[:, _HIGH] -= high
-    return _join(pack((low | high << 4).astype(np.uint8).T.ravel()), pack(rest.T.ravel()))
+    return _join(pack((low | high << 4).astype(np.uint8).T.ravel()), pack_sizes(rest.T.ravel()))
 
 
 def unpack_sums(data: bytes) -> np.ndarray:
@@ -171,6 +226,44 @@ def unpack_sums(data: bytes) -> np.ndarray:
     return sums
 
 
+class Curve:
+    """The count to expect of a word from its number, as numbers rise while counts fall: from how many words have which
+    count, single below 32 and in 16 classes for each doubling from there on. Whole numbers, so that all expect the same."""
+
+    CLASSES = 32 + 16 * 59
+
+    def __init__(self, words: np.ndarray):
+        i = np.arange(self.CLASSES)
+        low = np.where(i < 32, i, 16 + i % 16 << np.maximum(i // 16 - 1, 0))
+        width = np.where(i < 32, 1, 1 << np.maximum(i // 16 - 1, 0))
+        by = np.flatnonzero(words)[::-1]
+        self.words, self.low, self.width = words[by], low[by], width[by]
+        self.end = np.cumsum(self.words)
+
+    @staticmethod
+    def tally(counts: np.ndarray) -> np.ndarray:
+        """How many counts each class has."""
+        up = np.maximum(np.frexp(counts.astype(np.float64))[1].astype(np.int64) - 5, 0)
+        return np.bincount(16 * up + (counts >> up), minlength=Curve.CLASSES)
+
+    def at(self, numbers: np.ndarray) -> np.ndarray:
+        if len(self.end) == 0:
+            return np.zeros(len(numbers), np.int64)
+        x = np.minimum(numbers, self.end[-1] - 1)
+        k = np.searchsorted(self.end, x, side="right")
+        left = self.end[k] - x
+        return self.low[k] + self.width[k] * (2 * left - 1) // (2 * self.words[k])
+
+    def pack(self, numbers: np.ndarray, counts: np.ndarray) -> bytes:
+        """Counts of words as what they are above or below the expected ones."""
+        off = counts.astype(np.int64) - self.at(numbers)
+        return pack_sizes(off << 1 ^ off >> 63)
+
+    def unpack(self, numbers: np.ndarray, data: bytes) -> np.ndarray:
+        off = unpack(data, np.int64)
+        return (off >> 1 ^ -(off & 1)) + self.at(numbers)
+
+
 class Discounts:
     """Good-Turing ratios d_1..d_TOP from counts of counts n_1..n_(TOP+1), renormalised so that counts above TOP stay.
 
@@ -207,8 +300,8 @@ class Level:
 class Model:
     """Totals of the training: tokens N, distinct words V, texts, and the levels learned so far."""
 
-    def __init__(self, buckets: int, cutoffs: tuple[int, ...], totals: np.ndarray):
-        self.buckets, self.cutoffs = buckets, cutoffs
+    def __init__(self, buckets: int, cutoffs: tuple[int, ...], totals: np.ndarray, words: np.ndarray):
+        self.buckets, self.cutoffs, self.curve = buckets, cutoffs, Curve(words)
         self.n, self.v, self.texts = int(totals[0]), int(totals[1]), int(totals[-2])
         self.levels = [Level(Discounts(totals[2 : 3 + TOP].tolist()), cutoffs[0], max(1, int(totals[-1])))]
         freed = float(self.levels[0].discounts.freed(totals[2 : 2 + TOP]))
@@ -339,7 +432,7 @@ def make_blocks(folder: str, n: int, folds: int, held_out: int):
             counts = np.bincount(b.tokens[b.per_token(learn)], minlength=len(b.vocabulary)).astype(np.uint32)
             bounds = np.searchsorted(_range_of(b.vocabulary, n), np.arange(n + 1))
             rows = [(FILE, n + block % n, block, b.save(folder).encode(), np.array([learn.sum()], "<i8").tobytes(), b"")]
-            rows += [(COUNTS, i, block, steps(b.vocabulary[x:y]), pack(counts[x:y]), b"") for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if x < y]
+            rows += [(COUNTS, i, block, steps(b.vocabulary[x:y]), pack_sizes(counts[x:y]), b"") for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if x < y]
             return _rows(rows)
 
         for piece in pieces(batches, "text"):
@@ -375,11 +468,11 @@ def _numbers(total: np.ndarray, least: int | None) -> np.ndarray:
 
 def _answer(total: np.ndarray, number: np.ndarray) -> tuple[bytes, bytes]:
     """Counts for a block, in the order it sent its n-grams, and the numbers of those that have one, by falling counts."""
-    return pack(total.astype(np.uint32)), steps(np.sort(number[number >= 0]))
+    return pack_sizes(total.astype(np.uint32)), steps(np.sort(number[number >= 0]))
 
 
 def count_words(n: int, least: int | None):
-    """A bucket's words: total counts and numbers to each block, the table, and counts of counts."""
+    """A bucket's words: total counts and numbers to each block, and counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -396,8 +489,7 @@ def count_words(n: int, least: int | None):
             own = back[end : end + len(k)]
             out.append((COUNTS, bucket, r["block"], *_answer(total[own], number[own]), b""))
             end += len(k)
-        seen = total > 0
-        return _table([*out, (TABLE, bucket, -1, steps(distinct[seen]), pack(total[seen]), b""), (TOTALS, bucket, -1, _stats(total, int(number.max(initial=-1)) + 1), b"", b"")])
+        return _table([*out, (TOTALS, bucket, -1, _stats(total, int(number.max(initial=-1)) + 1), pack(Curve.tally(total[number >= 0])), b"")])
 
     return run
 
@@ -466,8 +558,11 @@ def send(model: Model, level: int):
             at = x + _runs(h[x:y])
             lows = suffix[x:y]
             if level == 1:  # a pair's suffix is its word: told once for each word
-                lows = lows[np.unique(w[x:y], return_index=True)[1]]
-            out.append((COUNTS, int(g.bucket[x]), block, pack_pairs(h[x:y], w[x:y]), _join(pack(own[x:y]), pack(lows.astype(np.uint32))), _join(pack(below.counts[g.history[at]]))))
+                lasts, one = np.unique(w[x:y], return_index=True)
+                lows = model.curve.pack(lasts, lows[one])
+            else:
+                lows = pack_sizes(lows.astype(np.uint32))
+            out.append((COUNTS, int(g.bucket[x]), block, pack_pairs(h[x:y], w[x:y]), _join(pack_sizes(own[x:y]), lows), _join(pack(below.counts[g.history[at]]))))
         # what was not sent is below its cutoff here: its history is asked at once
         unsent = g.before[g.token > g.size]
         asked = np.unique(below.ids[unsent])
@@ -489,7 +584,7 @@ _SUMS = 2 * (TOP + 1)  # of a history: the counts that reach the cutoff, how man
 
 
 def count_grams(model: Model, level: int):
-    """A bucket's n-grams: total counts and numbers to each block, the table, sums of histories and questions for alphas."""
+    """A bucket's n-grams: total counts and numbers to each block, sums of histories and questions for alphas."""
     cutoff, least = model.cutoffs[level], model.least(level + 1)
 
     def run(table: pa.Table) -> pa.Table:
@@ -501,9 +596,13 @@ def count_grams(model: Model, level: int):
         columns: list[list[np.ndarray]] = [[] for _ in range(5)]
         for r in rows:
             h, w, run_ = unpack_pairs(r["a"])
-            own, suffix = (unpack(x, np.uint32) for x in _parts(r["b"]))
+            own, suffix = _parts(r["b"])
+            own = unpack(own, np.uint32)
             if level == 1:
-                suffix = suffix[np.unique(w, return_inverse=True)[1]]
+                lasts, back = np.unique(w, return_inverse=True)
+                suffix = model.curve.unpack(lasts, suffix)[back]
+            else:
+                suffix = unpack(suffix, np.uint32)
             for c, x in zip(columns, (h, w, own, suffix, unpack(_parts(r["c"])[0], np.int64)[run_])):
                 c.append(x)
         sizes = [len(x) for x in columns[0]]
@@ -517,7 +616,7 @@ def count_grams(model: Model, level: int):
         total = np.bincount(gram, own, len(first)).astype(np.int64)
         number = _numbers(total, least)
         kept = total >= cutoff
-        h1, w1, kept_total = h[first][kept], w[first][kept], total[kept]
+        h1, kept_total = h[first][kept], total[kept]
         # where something is surely freed: a discounted count is here, or the whole history is and part of it is below the cutoff
         starts, count1 = _runs(h1), count[first][kept]
         whole = np.add.reduceat(kept_total, starts) if len(starts) else kept_total
@@ -545,7 +644,7 @@ def count_grams(model: Model, level: int):
         home = np.minimum(ids // model.levels[level - 1].stride, model.buckets - 1)
         by = np.argsort(home, kind="stable")
         out += [(CONTEXT, int(home[by[x]]), -1, steps(ids[by[x:y]]), pack_sums(sums[by[x:y]]), b"") for x, y in _cuts(home[by])]
-        return _table([*out, (TABLE, bucket, -1, pack_pairs(h1, w1), pack(kept_total.astype(np.uint32)), b""), (TOTALS, bucket, -1, _stats(total, int(number.max(initial=-1)) + 1), b"", b"")])
+        return _table([*out, (TOTALS, bucket, -1, _stats(total, int(number.max(initial=-1)) + 1), b"", b"")])
 
     return run
 
@@ -601,6 +700,11 @@ def _totals(stored: DataFrame) -> np.ndarray:
     return np.append(rows[:, :-1].sum(axis=0), rows[:, -1].max())
 
 
+def _tally(stored: DataFrame) -> np.ndarray:
+    """Words by class of counts, from the buckets' tallies."""
+    return sum((unpack(r.b, np.int64) for r in stored.filter((F.col("kind") == TOTALS) & (F.length("b") > 0)).select("b").collect()), np.zeros(Curve.CLASSES, np.int64))
+
+
 def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, order: int = ORDER, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
@@ -622,7 +726,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     system.create_dir(at, recursive=True)
     by_word = rows.mapInArrow(make_blocks(folder, n, folds, held_out), SCHEMA).groupBy("bucket").applyInArrow(count_words(n, min(cutoffs[1], 2) if order > 1 else None), SCHEMA)
     by_word = _stored(spark, by_word, "order1")
-    model = Model(n, cutoffs, _totals(by_word))
+    model = Model(n, cutoffs, _totals(by_word), _tally(by_word))
     level_of = lambda df, level: df.withColumn("level", F.lit(level))
     known = level_of(by_word.filter(F.col("kind").isin(FILE, COUNTS)), 0)
     answers = []  # alphas go to the blocks once, when texts are scored: they are not stored between

@@ -276,6 +276,52 @@ def test_sums_and_numbers_of_ngrams():
     assert (number[may[katz._falling(total[may])]] == np.arange(5)).all()
 
 
+def test_sizes_and_bits_apart():
+    """Numbers of any size come back; sizes and bits apart take a tenth less than byte planes where numbers follow no order."""
+    rng = np.random.default_rng(3)
+    for dtype in (np.uint8, np.uint32, np.int64):
+        for x in ([], [0], [1], [0, 2], rng.integers(0, 200, 1001), *(2.0 ** rng.uniform(0, min(top, np.iinfo(dtype).bits - 1), 5001) for top in (38, 62))):
+            x = np.asarray(x).astype(dtype)
+            assert katz.unpack(katz.pack_sizes(x), dtype).tolist() == x.tolist()
+    assert katz.unpack(katz.pack_sizes(np.array([-5, 3, 2**62])), np.int64).tolist() == [-5, 3, 2**62]
+    gaps = (2.0 ** rng.uniform(3, 20, 20_000)).astype(np.int64)
+    assert len(katz.pack_sizes(gaps)) < 0.92 * len(katz.pack(gaps))
+
+
+def test_counts_expected_of_words():
+    """Any counts come back from what they are off the curve, which takes less than the counts; words of a few counts lie on it."""
+    rng = np.random.default_rng(4)
+    counts, buckets = np.maximum(1, 3e5 / np.arange(1, 300_001) ** 1.05).astype(np.int64), 12
+    bucket, number, tally = rng.integers(0, buckets, len(counts)), np.zeros(len(counts), np.int64), np.zeros(katz.Curve.CLASSES, np.int64)
+    for i in range(buckets):
+        own = np.flatnonzero(bucket == i)
+        number[own] = katz._numbers(counts[own], 1) * buckets + i
+        tally += katz.Curve.tally(counts[own])
+    curve, some = katz.Curve(tally), np.argsort(number)[:5000]
+    assert tally.sum() == len(counts) and (curve.unpack(number[some], curve.pack(number[some], counts[some])) == counts[some]).all()
+    assert len(curve.pack(number[some], counts[some])) < 0.8 * len(katz.pack(counts[some].astype(np.uint32)))
+    odd = np.array([0, 1, 31, 32, 2**31, 2**45])
+    for c in (curve, katz.Curve(katz.Curve.tally(odd)), katz.Curve(np.zeros(katz.Curve.CLASSES, np.int64))):
+        assert (c.unpack(odd * 7, c.pack(odd * 7, odd)) == odd).all()
+    flat = katz.Curve(katz.Curve.tally(np.repeat([3, 2, 1], 10)))
+    assert flat.at(np.arange(30)).tolist() == [3] * 10 + [2] * 10 + [1] * 10 and flat.at(np.array([10**9])).tolist() == [1]
+
+
+def test_only_what_is_read_again_is_stored(spark, corpus, monkeypatch):
+    """Every kind of rows that an order stores is read by a later step."""
+    stored, kinds = katz._stored, []
+
+    def watched(spark, df, name):
+        out = stored(spark, df, name)
+        kinds.append({r.kind for r in out.select("kind").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(katz, "_stored", watched)
+    assert katz.score_texts(spark, corpus).count() == corpus.count()
+    later = {katz.COUNTS, katz.TOTALS, katz.CONTEXT, katz.ASK}
+    assert len(kinds) == 3 and kinds[0] <= {katz.FILE, katz.COUNTS, katz.TOTALS} and all(k <= later for k in kinds[1:])
+
+
 def test_blocks_keep_their_texts(tmp_path):
     """A block's file gives its tokens back in about one byte a token where words are as frequent as in texts, without their hashes."""
     rng = np.random.default_rng(2)
