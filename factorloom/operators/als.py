@@ -22,9 +22,16 @@ BLOCK_RATINGS = 1_000_000  # ratings of a block, about: at low ranks they take m
 SOLVED_AT_ONCE = 1 << 21  # values of the normal equations that are solved together
 
 
-def train_mllib(ratings: DataFrame, rank: int, iterations: int, reg: float, seed: int = 42, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(user factors, item factors) as ``id, features``. The columns are swapped since MLlib solves its user side last."""
-    als = ALS(rank=rank, maxIter=iterations, regParam=reg, userCol="item_id", itemCol="user_id", ratingCol="rating", seed=seed, coldStartStrategy="drop")
+def train_mllib(ratings: DataFrame, rank: int, iterations: int, reg: float, seed: int = 42, blocks: int | None = None, place: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(user factors, item factors) as ``id, features``. The columns are swapped since MLlib solves its user side last.
+
+    One side's factors are checkpointed in each iteration: MLlib then deletes what the iteration before sent, which
+    is a factor for about each rating and half-step. ``place``: where to, if the session has no folder for it.
+    """
+    sc = ratings.sparkSession.sparkContext
+    if place and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(place)
+    als = ALS(rank=rank, maxIter=iterations, regParam=reg, userCol="item_id", itemCol="user_id", ratingCol="rating", seed=seed, coldStartStrategy="drop", checkpointInterval=1)
     if blocks:
         als = als.setNumBlocks(blocks)
     model = als.fit(ratings.select("user_id", "item_id", F.col("rating").cast("float").alias("rating")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import als, changes, evaluate, recommend, scans, sgd, split, stats
 from ..schema import TEST, UNASSIGNED, VALIDATE, Options
-from ..sources import movielens
+from ..sources import movielens, scratch
 from ..sources.store import Store, can_reuse
 
 
@@ -34,9 +34,7 @@ class Engine:
         return "file://" + tempfile.mkdtemp(prefix="factorloom-")
 
     def _save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self._scratch}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return scratch.write(df, f"{self._scratch}/{name}-{uuid.uuid4().hex}")
 
     def _drop_scratch(self) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._scratch)
@@ -130,7 +128,7 @@ class Engine:
         if o.alg == "als":
             old = store.load_model() if can_reuse(info, o.alg, o.db_type, o.rank, o.double_precision) else None
             if old is None and o.user_reg == o.item_reg and not o.first_factor_is_avg:
-                uf, itf = als.train_mllib(fitted, o.rank, o.iterations, o.user_reg, o.seed)
+                uf, itf = als.train_mllib(fitted, o.rank, o.iterations, o.user_reg, o.seed, place=self._scratch)
             else:
                 uf, itf = als.train_own(spark, fitted, o.rank, o.iterations, o.user_reg, o.item_reg, self._save, o.seed, old[:2] if old else None, o.first_factor_is_avg)
             predicted = evaluate.predict(asked, uf, itf)

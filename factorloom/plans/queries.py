@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import als, changes, evaluate, recommend, scans, sgd, split, stats
 from ..schema import TEST, VALIDATE
-from ..sources import movielens
+from ..sources import movielens, scratch
 from . import fixtures as fx
 from .fixtures import Views
 
@@ -43,9 +43,7 @@ def _saver(v: Views):
     root = _root(v)
 
     def save(df: DataFrame, name: str) -> DataFrame:
-        path = f"{root}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return v.spark.read.schema(df.schema).parquet(path)
+        return scratch.write(df, f"{root}/{name}-{uuid.uuid4().hex}")
 
     return save
 
@@ -442,7 +440,7 @@ def train_and_recommend_check(v: Views) -> DataFrame:
 @_query()
 def als_train(v: Views) -> DataFrame:
     """Factors by MLlib at rank 10, five iterations."""
-    users, items = als.train_mllib(_fitted(v), 10, 5, 0.05, blocks=v.blocks)
+    users, items = als.train_mllib(_saver(v)(_fitted(v), "fitted"), 10, 5, 0.05, blocks=v.blocks, place=_root(v))
     return users.withColumn("kind", F.lit("user")).unionByName(items.withColumn("kind", F.lit("item")))
 
 

@@ -1,5 +1,9 @@
 """Small hand-made cases and properties of the engine's operators."""
 
+import os
+import time
+import urllib.parse
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +14,7 @@ from factorloom.operators import als, changes, evaluate, recommend, scans, sgd,
 from factorloom.plans import fixtures, queries
 from factorloom.plans.fixtures import Views
 from factorloom.schema import Options
+from factorloom.sources import scratch
 from factorloom.sources.factors import read_binary
 
 R = "user_id int, item_id int, rating short, dataset_type short"
@@ -324,3 +329,34 @@ def test_blocks_are_ranges_of_few_ratings(spark, save, monkeypatch):
     sizes = [r["count"] for r in plan.cells.groupBy("block").count().collect()]
     assert sum(sizes) == 1600 and max(sizes) <= 400
     assert plan.links.count() <= 2 * 160 + 40
+
+
+def shuffled(spark, want=lambda n: True):
+    """Bytes of shuffle files, once they are as wanted (their deletion is not waited for by Spark) or after a while."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for _ in range(50):
+        found = files.getAllFiles().toList()
+        n = sum(f.length() for f in (found.apply(k) for k in range(found.size())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data"))
+        if want(n):
+            break
+        time.sleep(0.1)
+    return n
+
+
+def test_written_steps_leave_no_shuffle_files(spark, tmp_path):
+    df = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 700).alias("k")).count()
+    for name in ("a", "b"):
+        before = shuffled(spark)
+        out = scratch.write(df, f"{tmp_path}/{name}")
+        assert shuffled(spark, lambda n: n <= before) <= before
+        assert out.count() == 700 and out.agg(F.sum("count")).first()[0] == 5000
+    assert spark.conf.get(scratch.CLEANUP) == "false" and df.count() == 700
+
+
+def test_mllib_checkpoints_each_iteration(spark, save, monkeypatch, tmp_path):
+    """MLlib deletes what an iteration sent at the next checkpoint, if there is a folder for it."""
+    asked, cls, r = [], als.ALS, save(make(spark), "ratings")
+    monkeypatch.setattr(als, "ALS", lambda **k: asked.append(cls(**k)) or asked[-1])
+    als.train_mllib(r, 3, 3, 0.05, place=str(tmp_path / "points"))
+    place = urllib.parse.urlparse(spark.sparkContext.getCheckpointDir()).path
+    assert [a.getCheckpointInterval() for a in asked] == [1] and any(n.startswith("rdd-") for n in os.listdir(place))
