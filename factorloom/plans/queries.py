@@ -396,9 +396,8 @@ def _fitted(v: Views) -> DataFrame:
 _FITTED = f"WITH {fx.RATINGS}, t AS (SELECT * FROM r WHERE dataset_type IN (1, 2)) SELECT (SELECT count(DISTINCT user_id) FROM t) n_users, (SELECT count(DISTINCT item_id) FROM t) n_items, (SELECT count(*) FROM t) n_predicted, 1 complete, 1 better_than_mean"
 
 
-def _check(v: Views, users: DataFrame, items: DataFrame, rank: int, predict) -> DataFrame:
-    """Rows of both sides, predictions of all fitted ratings, whether all factors are there, and whether they beat the mean."""
-    fitted = _fitted(v)
+def _check(fitted: DataFrame, users: DataFrame, items: DataFrame, rank: int, predict) -> DataFrame:
+    """Rows of both sides, predictions of all ``fitted`` ratings, whether all factors are there, and whether they beat the mean."""
     side = lambda df: df.agg(F.count("*").alias("n"), F.count_if((F.size("features") == rank) & F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x))).alias("whole"))
     u, i, mean = side(users).first(), side(items).first(), fitted.agg(F.avg("rating")).first()[0]
     e, m = F.col("predict") - F.col("rating"), F.col("rating") - F.lit(mean)
@@ -409,22 +408,27 @@ def _check(v: Views, users: DataFrame, items: DataFrame, rank: int, predict) ->
 def als_train_check(v: Views) -> DataFrame:
     """MLlib's training at rank 10."""
     save = _saver(v)
-    users, items = (save(df, "factors") for df in als.train_mllib(_fitted(v), 10, 5, 0.05, blocks=v.blocks))
-    return _check(v, users, items, 10, lambda rows: evaluate.predict(rows, users, items))
+    fitted = save(_fitted(v), "fitted")
+    users, items = (save(df, "factors") for df in als.train_mllib(fitted, 10, 5, 0.05, blocks=v.blocks, place=_root(v)))
+    return _check(fitted, users, items, 10, lambda rows: evaluate.predict(rows, users, items))
 
 
 @_query(_FITTED)
 def als_train_custom_check(v: Views) -> DataFrame:
     """The own loop at rank 10."""
-    users, items = als.train_own(v.spark, _fitted(v), 10, 3, 0.05, 0.1, _saver(v), first_is_avg=True)
-    return _check(v, users, items, 10, lambda rows: evaluate.predict(rows, users, items))
+    save = _saver(v)
+    fitted = save(_fitted(v), "fitted")
+    users, items = als.train_own(v.spark, fitted, 10, 3, 0.05, 0.1, save, first_is_avg=True)
+    return _check(fitted, users, items, 10, lambda rows: evaluate.predict(rows, users, items))
 
 
 @_query(_FITTED)
 def sgd_train_check(v: Views) -> DataFrame:
     """Two epochs of stochastic gradient descent at rank 10."""
-    users, items, bias = sgd.train(v.spark, _fitted(v), 10, 2, 0.01, (0.02, 0.02, 0.02, 0.02), _saver(v))
-    return _check(v, users, items, 10, lambda rows: evaluate.predict_biased(rows, users, items, bias))
+    save = _saver(v)
+    fitted = save(_fitted(v), "fitted")
+    users, items, bias = sgd.train(v.spark, fitted, 10, 2, 0.01, (0.02, 0.02, 0.02, 0.02), save)
+    return _check(fitted, users, items, 10, lambda rows: evaluate.predict_biased(rows, users, items, bias))
 
 
 @_query("SELECT CAST(20 AS BIGINT) most, CAST(0 AS BIGINT) already_rated, CAST(0 AS BIGINT) out_of_order")

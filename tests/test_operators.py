@@ -360,3 +360,12 @@ def test_mllib_checkpoints_each_iteration(spark, save, monkeypatch, tmp_path):
     als.train_mllib(r, 3, 3, 0.05, place=str(tmp_path / "points"))
     place = urllib.parse.urlparse(spark.sparkContext.getCheckpointDir()).path
     assert [a.getCheckpointInterval() for a in asked] == [1] and any(n.startswith("rdd-") for n in os.listdir(place))
+
+
+@pytest.mark.parametrize("name", ["als_train_check", "als_train_custom_check", "sgd_train_check"])
+def test_checks_derive_the_ratings_once(spark, monkeypatch, name):
+    """What is fitted is what is checked, written once: the views' exchanges run no second time."""
+    made, views = [], Views.ratings
+    monkeypatch.setattr(Views, "ratings", lambda v: made.append(1) or views(v))
+    row = queries.QUERIES[name](spark, "/root/testdata/sf0.001").first()
+    assert made == [1] and row.complete == row.better_than_mean == 1
