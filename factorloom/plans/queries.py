@@ -467,7 +467,7 @@ def train_and_recommend(v: Views) -> DataFrame:
     """The whole way: split, MLlib factors, shift, and the best items for every user."""
     save = _saver(v)
     ratings = save(v.ratings(), "ratings")
-    users, items = als.train_mllib(ratings.filter("dataset_type in (1, 2)"), 10, 5, 0.05, blocks=v.blocks)
+    users, items = als.train_mllib(ratings.filter("dataset_type in (1, 2)"), 10, 5, 0.05, blocks=v.blocks, place=_root(v))
     users, items = save(users, "users"), save(items, "items")
     known = ratings.select("user_id", "item_id", "rating", "dataset_type")
     for side, key in ((users, "user_id"), (items, "item_id")):
