@@ -434,7 +434,8 @@ def sgd_train_check(v: Views) -> DataFrame:
 @_query("SELECT CAST(20 AS BIGINT) most, CAST(0 AS BIGINT) already_rated, CAST(0 AS BIGINT) out_of_order")
 def train_and_recommend_check(v: Views) -> DataFrame:
     """Of the whole way: the longest list, and items that should not be there or stand in the wrong place."""
-    best, rated = _saver(v)(train_and_recommend(v), "best"), v.raw().select("user_id", "item_id")
+    save = _saver(v)
+    best, rated = save(train_and_recommend(v), "best"), save(v.raw().select("user_id", "item_id"), "rated")
     again = best.join(rated, ["user_id", "item_id"], "left_semi").agg(F.count("*")).first()[0]
     lists = best.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "predict"))).alias("l"))
     wrong = F.exists(F.transform("l", lambda x, k: (x["rank"] != k + 1) | F.coalesce(x["predict"] > F.get(F.col("l"), k - 1)["predict"], F.lit(False))), lambda x: x)

@@ -369,3 +369,13 @@ def test_checks_derive_the_ratings_once(spark, monkeypatch, name):
     monkeypatch.setattr(Views, "ratings", lambda v: made.append(1) or views(v))
     row = queries.QUERIES[name](spark, "/root/testdata/sf0.001").first()
     assert made == [1] and row.complete == row.better_than_mean == 1
+
+
+def test_recommending_leaves_no_files_of_trainings(spark, monkeypatch):
+    """MLlib has a folder for its checkpoints wherever it trains, and the exchanges of the check are deleted with it."""
+    places, names, train, write = [], [], als.train_mllib, scratch.write
+    monkeypatch.setattr(als, "train_mllib", lambda *a, **k: places.append(k.get("place")) or train(*a, **k))
+    monkeypatch.setattr(scratch, "write", lambda df, path: names.append(path.rsplit("/", 1)[1].split("-")[0]) or write(df, path))
+    row = queries.QUERIES["train_and_recommend_check"](spark, "/root/testdata/sf0.001").first()
+    assert (row.already_rated, row.out_of_order) == (0, 0) and len(places) == 1 and places[0]
+    assert {"ratings", "users", "items", "best", "rated"} <= set(names)
