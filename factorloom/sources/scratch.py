@@ -19,4 +19,15 @@ def write(df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a frame that ``write`` gave, when nothing reads it any more; other frames are left alone."""
+    path = df.__dict__.get("_written")
+    if path:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

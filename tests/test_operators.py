@@ -379,3 +379,21 @@ def test_recommending_leaves_no_files_of_trainings(spark, monkeypatch):
     row = queries.QUERIES["train_and_recommend_check"](spark, "/root/testdata/sf0.001").first()
     assert (row.already_rated, row.out_of_order) == (0, 0) and len(places) == 1 and places[0]
     assert {"ratings", "users", "items", "best", "rated"} <= set(names)
+
+
+def test_sgd_moves_portions_and_deletes_earlier_steps(spark, tmp_path):
+    """A stratum gets and gives portions of flat arrays, not a row a rating; of all steps only the last one's files stay."""
+    names, frames = iter(range(1000)), []
+
+    def write(df, name):
+        frames.append((name, scratch.write(df, f"{tmp_path}/{name}-{next(names)}")))
+        if name in ("factors", "stratum", "visits"):
+            rows = frames[-1][1].agg(F.count("*").alias("portions"), F.sum("n").alias("rows")).first()
+            assert rows.portions <= 9 and rows.rows == (r.count() if name == "visits" else 50)
+        return frames[-1][1]
+
+    r = make(spark)
+    users, items, _ = sgd.train(spark, r, 3, 2, 0.05, (0.01,) * 4, write, blocks=3)
+    assert [n for n, _ in frames if n in ("visits", "stratum")] == (["visits"] + ["stratum"] * 3) * 2
+    assert users.count() == 30 and items.count() == 20
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["items", "ratings", "stratum", "users"]
